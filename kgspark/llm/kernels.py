@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a run of texts: byte buffer, text offsets, word bounds and first word of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.ndarray = WS):
         self.raw, self.offsets = data, offsets
         self.data = LOWER[data] if lower else data
         n = len(data)
@@ -55,7 +55,7 @@ class Words:
             self.starts = self.ends = np.zeros(0, np.int64)
             self.first = np.zeros(len(offsets), np.int64)
             return
-        space = WS[data]
+        space = gaps[data]
         before, after = np.empty(n, bool), np.empty(n, bool)
         before[0], before[1:] = True, space[:-1]
         after[-1], after[:-1] = True, space[1:]

@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, mixing, substrings
+from . import bpe, jaccard, mixing, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc(column: str = "doc_id") -> Column:
+    """crc32 of an id as text."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def classified(scored: DataFrame, held_out: Column, least: float) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.expr(f"int(score >= {least})").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), crc() % 5 != 0)
+    return classified(toxicity.scored(documents.select("doc_id", "text"), model), crc() % 5 == 0, 0.5)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.with_shards(*mixing.drawn(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), 64, 0)
     taken = (F.col("_mix_size") * F.size("_mix_shards")).alias("taken")
@@ -34,11 +49,19 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"), window=35, keep_text=False)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), crc() % 4 != 2)
+    return classified(quality.scored(documents.select("doc_id", "text"), model), crc() % 4 == 2, 0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_substrings": op9_substrings,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
