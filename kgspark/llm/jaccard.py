@@ -6,9 +6,11 @@ texts with one set are one node.
 1. Candidates: linked sets of sizes x <= y differ in at most
    d = (1 - t) / (1 + t) * (x + y) shingles.  The hash space is cut into more
    than d parts, so linked sets agree in a whole part; every set gives the key
-   of each of its parts, for each size band in which it may have a partner.
-   Sets with equal keys are joined to the least of them, which makes candidate
-   classes without listing pairs.
+   of each well-filled part, for each size band in which it may have a partner.
+   A set with more than d keys besides those that very many sets have leaves
+   these out: its partners agree with it in one of the others.  Sets with equal
+   keys are joined to the least of them, which makes candidate classes without
+   listing pairs.
 2. Tiles: a class is cut into blocks by size, and only blocks whose sizes can
    meet are compared.  In a tile each set has a hashed bitmap; the bits that one
    has and the other lacks bound the overlap from above, and pairs that pass are
@@ -38,44 +40,60 @@ from .components import components
 from .kernels import Words, chunks, grams, mix, sequence_value
 
 BLOCK = 512  # sets of a block; a tile compares two blocks at most
+COMMON = 16  # sets of a key before sets with enough other keys leave it out
 BAND = 1.4  # a size band reaches to this multiple of its least size
 ONE = np.uint64(1)
 
 
 @functools.cache
-def bands(num: int, den: int, upto: int = 1 << 40) -> list[tuple[int, int, int, int]]:
-    """(least size, largest size, largest partner, parts) of each band, for similarity num/den."""
+def bands(num: int, den: int, upto: int = 1 << 40) -> list[tuple[int, int, int, int, int]]:
+    """(least size, largest partner, d, parts, least shingles of a key's part) of each band, for similarity num/den.
+
+    Parts are so many that more than d of them probably hold enough shingles; the
+    fuller a key's part, the fewer sets agree in it by chance.
+    """
     out, low = [], 1
     while low < upto:
         high = max(low, int(low * BAND) - 1)
         partner = high * den // num
         differ = (high + partner) * (den - num) // (den + num)
-        empty = (differ + 1) * math.exp(-low / (differ + 1))  # parts expected to hold nothing
-        out.append((low, high, partner, differ + 1 + (math.ceil(1.5 * empty) + 2 if empty > 0.05 else 0)))
+        parts, filled = next(
+            (parts, filled)
+            for filled in (4, 3, 2, 1, 0)
+            for parts in range(differ + 1, int(1.25 * (differ + 1)) + 3, max(1, differ // 50))
+            if not filled or _well_filled(low, parts, filled) > differ
+        )
+        out.append((low, partner, differ, parts, filled))
         low = high + 1
     return out
 
 
-def keys_of(values: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Candidate keys of a sorted array of distinct shingle values."""
+def _well_filled(size: int, parts: int, filled: int) -> float:
+    """A low estimate of the parts that hold at least ``filled`` of ``size`` shingles."""
+    mean = size / parts
+    less = sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(filled))
+    return parts * (1 - less) - 1.5 * math.sqrt(parts * less * (1 - less))
+
+
+def keys_of(values: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
+    """(keys beyond d + 1, keys) of a sorted array of distinct shingle values, for each of its bands."""
     size = len(values)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
     high32 = values >> np.uint64(32)
     out = []
-    table = bands(num, den)
-    for number, (low, high, partner, parts) in enumerate(table):
+    for number, (low, partner, differ, parts, filled) in enumerate(bands(num, den)):
         if low > size:
             break
         if partner < size:
             continue
         edges = np.searchsorted(high32, -(-(np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts)))
-        held = edges[1:] > edges[:-1]
-        differ = (high + partner) * (den - num) // (den + num)
+        held = edges[1:] - edges[:-1] >= filled
         key = mix(mix(sums[edges[1:]] - sums[edges[:-1]] + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(number))
-        # With more filled parts than may differ, one of them agrees; else empty parts count as well, and then
-        # they do in the partner too or the partner has enough filled parts itself.
-        out.append(key[held] if int(held.sum()) > differ else key)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        # Of more than d filled parts one agrees with a partner's.  A set with fewer gives all its parts; a partner
+        # with fewer does so too, and one with more is found as above.
+        spare = int(held.sum()) - differ - 1
+        out.append((spare, key[held] if spare >= 0 else key))
+    return out
 
 
 def sets(words: Words, n: int) -> Iterator[np.ndarray]:
@@ -97,13 +115,13 @@ def name_of(values: np.ndarray) -> int:
 
 
 def signed(n: int, num: int, den: int) -> Callable:
-    """(id, text) -> (id, size, set, keys): keys only at the first text of the partition with that set."""
+    """(id, text) -> (id, size, set, bands): keys by band, only at the first text of the partition with that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part, words in chunks(batch, "text", lower=True):
-                sizes, names, keys = [], [], []
+                sizes, names, given = [], [], []
                 for values in sets(words, n):
                     sizes.append(len(values))
                     name = name_of(values) if len(values) else None
@@ -111,21 +129,21 @@ def signed(n: int, num: int, den: int) -> Callable:
                     fresh = name is not None and name not in seen
                     if fresh:
                         seen.add(name)
-                    keys.append(keys_of(values, num, den).view(np.int64) if fresh else None)
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "size": pa.array(sizes, pa.int64()), "set": pa.array(names, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                    given.append([{"spare": spare, "keys": key.view(np.int64)} for spare, key in keys_of(values, num, den)] if fresh else None)
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "size": pa.array(sizes, pa.int64()), "set": pa.array(names, pa.int64()), "bands": pa.array(given, pa.list_(pa.struct([("spare", pa.int32()), ("keys", pa.list_(pa.int64()))])))})
 
     return run
 
 
 def arrays(n: int) -> Callable:
-    """(text) -> (set, size, shingles): names and sorted arrays."""
+    """(text) -> (set, shingles): names and sorted arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, words in chunks(batch, "text", lower=True):
                 all_ = [v for v in sets(words, n) if len(v)]
                 if all_:
-                    yield pa.RecordBatch.from_pydict({"set": pa.array([name_of(v) for v in all_], pa.int64()), "size": pa.array([len(v) for v in all_], pa.int64()), "shingles": pa.array([v.tobytes() for v in all_], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"set": pa.array([name_of(v) for v in all_], pa.int64()), "shingles": pa.array([v.tobytes() for v in all_], pa.binary())})
 
     return run
 
@@ -192,32 +210,45 @@ def compare(num: int, den: int) -> Callable:
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, common: int = COMMON) -> DataFrame:
     """docs -> id_col, n_shingles long, component_id: texts link when den * overlap >= num * union of their n-word shingles."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    marked = shared.written(rows.mapInArrow(signed(n, num, den), f"id {id_type}, size long, set long, keys array<long>"), "signed")
-
-    first = Window.partitionBy("key").orderBy("set").rowsBetween(Window.unboundedPreceding, 0)
-    keys = marked.where("keys is not null").select("set", F.explode("keys").alias("key"))
-    candidates = keys.select("set", F.first("set").over(first).alias("least")).where("set <> least").distinct()
-    classes = components(candidates.select(F.col("set").alias("u"), F.col("least").alias("v")), "classes")
+    marked = shared.written(rows.mapInArrow(signed(n, num, den), f"id {id_type}, size long, set long, bands array<struct<spare:int,keys:array<long>>>"), "signed")
+
+    keys = marked.where("bands is not null").select("set", F.posexplode("bands").alias("band", "b")).select("set", "band", F.col("b.spare").alias("spare"), F.explode("b.keys").alias("key"))
+    held = Window.partitionBy("key").orderBy("set")
+    first = F.first("set").over(held.rowsBetween(Window.unboundedPreceding, 0))
+    nth = F.row_number().over(held)
+    # Members of a key beyond the first, and how many the key has; the last row of a key has the number of all.
+    stars = keys.select("set", "band", "spare", "key", first.alias("least"), nth.alias("nth"), F.lead("set").over(held).isNull().alias("last"))
+    stars = stars_table = shared.written(stars.where("set <> least"), "stars")
+    wide = stars.where(F.col("last") & (F.col("nth") > common)).select("key", "least", "band")
+    stars = stars.join(wide.select("key", F.lit(True).alias("common")), "key", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    crowded = stars.where("common").select("set", "band", "key").union(wide.select(F.col("least").alias("set"), "band", "key")).distinct()
+    crowded = crowded.groupBy("set", "band").agg(F.count("*").alias("crowded"))
+    stars = stars.join(crowded, ["set", "band"], "left").where("not common or crowded > spare")
+    classes = components(stars.select(F.col("set").alias("u"), F.col("least").alias("v")).distinct(), "classes")
     classes = classes.union(classes.select(F.col("component").alias("node"), "component").distinct())
 
     # One text for each set of a class, by the least id that has it.
-    chosen = marked.where("set is not null").join(classes, F.col("set") == F.col("node")).groupBy("set", "component").agg(F.min("id").alias("least_id"))
-    texts = rows.join(chosen.select("least_id").distinct(), rows["id"].eqNullSafe(F.col("least_id")), "left_semi")
-    full = texts.select("text").mapInArrow(arrays(n), "set long, size long, shingles binary").dropDuplicates(["set"]).join(chosen.select("set", "component"), "set")
-
+    chosen = marked.where("set is not null").join(classes, F.col("set") == F.col("node")).groupBy("set", "component", "size").agg(F.min("id").alias("least_id"))
+    chosen = shared.written(chosen, "chosen")
     place = Window.partitionBy("component").orderBy("size", "set")
-    full = full.withColumn("block", F.floor((F.row_number().over(place) - 1) / block))
-    reach = full.groupBy("component", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    placed = chosen.withColumn("block", F.floor((F.row_number().over(place) - 1) / block))
+    reach = placed.groupBy("component", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     mine = reach.select("component", F.col("block").alias("a"), F.col("high").alias("a_high"))
     theirs = reach.select(F.col("component").alias("c"), F.col("block").alias("b"), F.col("low").alias("b_low"))
     tiles = mine.join(theirs, (F.col("component") == F.col("c")) & (F.col("a") <= F.col("b")) & (F.col("b_low") * num <= F.col("a_high") * den)).select("component", "a", "b")
     sides = tiles.select("component", "a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).union(tiles.where("a < b").select("component", "a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
-    edges = full.join(sides, ["component", "block"]).groupBy("component", "a", "b").applyInArrow(compare(num, den), "u long, v long")
+    sides = placed.join(sides, ["component", "block"]).select("set", "component", "a", "b", "side")
+
+    texts = rows.join(chosen.select("least_id").distinct(), rows["id"].eqNullSafe(F.col("least_id")), "left_semi")
+    full = texts.select("text").mapInArrow(arrays(n), "set long, shingles binary").dropDuplicates(["set"])
+    edges = full.join(sides, "set").groupBy("component", "a", "b").applyInArrow(compare(num, den), "u long, v long")
     linked = components(edges, "linked")
+    for done in (stars_table, chosen):
+        shared.drop(done)
 
     names = marked.select("id", "size", "set").join(linked, F.col("set") == F.col("node"), "left").withColumn("class", F.coalesce("component", "set"))
     least = names.where("class is not null").groupBy("class").agg(F.min("id").alias("least_id"))

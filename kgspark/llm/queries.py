@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, mixing, quality, substrings, toxicity
+from . import bpe, jaccard, mixing, pseudonyms, quality, substrings, toxicity, warc
+
+
+PII_KEY = b"set a secret of your own"  # parameter of op4 and of the pipeline; a deployment passes its own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), taken, F.col("_mix_shards").alias("shards"))
 
 
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -45,6 +52,19 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.records(warc.read_chunks(spark, manifest, with_data=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN refers IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers AS refers_to
+FROM (SELECT page_id, html, CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id IS DISTINCT FROM max(page_id) OVER (PARTITION BY html)
+      THEN max(page_id) OVER (PARTITION BY html) END AS refers FROM pages)
+"""
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"), window=35, keep_text=False)
 
@@ -58,10 +78,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_pseudonyms": op4_pseudonyms,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_warc": op8_warc,
     "op9_substrings": op9_substrings,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": OP8_SQL,
+}
