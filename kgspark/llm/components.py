@@ -40,6 +40,12 @@ def star_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"u": pa.array(part, pa.int64()), "v": pa.array([root(x) for x in part], pa.int64())})
 
 
+def to_least(rows: DataFrame) -> DataFrame:
+    """(u, v, m) -> the edges (v, m) and (u, m).  Rows are exploded, not united, so no partitioning is taken over."""
+    pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    return rows.select(F.inline(pairs)).where("u is not null and u <> v")
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """edges (u, v: long, not null) -> (node, component), component the smallest node reachable.
 
@@ -50,13 +56,13 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     state = shared.written(edges.mapInArrow(star_forest, EDGE).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     mark = None
     for _ in range(rounds):
-        both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = state.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        # large star: neighbours above u, and u itself, to the least around u
+        large = to_least(both.where("v > u").join(low, "u", "right")).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v")
+        # small star: neighbours below u, and u itself, to the least of them
+        small = to_least(down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u"))
         after = shared.written(small.mapInArrow(star_forest, EDGE).distinct(), name)
         shared.drop(state)
         state = after

@@ -86,7 +86,7 @@ def keys_of(values: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarra
             break
         if partner < size:
             continue
-        edges = np.searchsorted(high32, -(-(np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts)))
+        edges = np.searchsorted(high32, ((np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(parts - 1)) // np.uint64(parts))
         held = edges[1:] - edges[:-1] >= filled
         key = mix(mix(sums[edges[1:]] - sums[edges[:-1]] + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(number))
         # Of more than d filled parts one agrees with a partner's.  A set with fewer gives all its parts; a partner
@@ -223,13 +223,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Members of a key beyond the first, and how many the key has; the last row of a key has the number of all.
     stars = keys.select("set", "band", "spare", "key", first.alias("least"), nth.alias("nth"), F.lead("set").over(held).isNull().alias("last"))
     stars = stars_table = shared.written(stars.where("set <> least"), "stars")
-    wide = stars.where(F.col("last") & (F.col("nth") > common)).select("key", "least", "band")
-    stars = stars.join(wide.select("key", F.lit(True).alias("common")), "key", "left").withColumn("common", F.coalesce("common", F.lit(False)))
-    crowded = stars.where("common").select("set", "band", "key").union(wide.select(F.col("least").alias("set"), "band", "key")).distinct()
+    wide = stars.where(F.col("last") & (F.col("nth") > common)).select("key", F.lit(True).alias("common"))
+    stars = stars.join(wide, "key", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    crowded = stars.where("common").select(F.explode(F.array("set", "least")).alias("set"), "band", "key").distinct()
     crowded = crowded.groupBy("set", "band").agg(F.count("*").alias("crowded"))
     stars = stars.join(crowded, ["set", "band"], "left").where("not common or crowded > spare")
     classes = components(stars.select(F.col("set").alias("u"), F.col("least").alias("v")).distinct(), "classes")
-    classes = classes.union(classes.select(F.col("component").alias("node"), "component").distinct())
+    classes = classes.select(F.explode(F.array("node", "component")).alias("node"), "component").distinct()
 
     # One text for each set of a class, by the least id that has it.
     chosen = marked.where("set is not null").join(classes, F.col("set") == F.col("node")).groupBy("set", "component", "size").agg(F.min("id").alias("least_id"))
@@ -240,7 +240,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mine = reach.select("component", F.col("block").alias("a"), F.col("high").alias("a_high"))
     theirs = reach.select(F.col("component").alias("c"), F.col("block").alias("b"), F.col("low").alias("b_low"))
     tiles = mine.join(theirs, (F.col("component") == F.col("c")) & (F.col("a") <= F.col("b")) & (F.col("b_low") * num <= F.col("a_high") * den)).select("component", "a", "b")
-    sides = tiles.select("component", "a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).union(tiles.where("a < b").select("component", "a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
+    # (exploded instead of united: the groups below need an exchange of their own)
+    sides = tiles.select("component", "a", "b", F.explode(F.expr("if(a = b, array(a), array(a, b))")).alias("block")).withColumn("side", F.expr("int(block <> a)"))
     sides = placed.join(sides, ["component", "block"]).select("set", "component", "a", "b", "side")
 
     texts = rows.join(chosen.select("least_id").distinct(), rows["id"].eqNullSafe(F.col("least_id")), "left_semi")
