@@ -286,7 +286,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.where("again").groupBy("tid").agg(F.collect_list(F.struct("anchor", "home")).alias("found"))
     pieces = texts.join(found, "tid").select("tid", "text", "found").mapInArrow(cut_pieces(window), "home long, tid long, start long, words long, piece binary")
     pieces = shared.written(pieces, "pieces")
+    # a table of its own, so that the join below can split homes with very many pieces
     large = pieces.groupBy("home").agg(F.sum("words").alias("n")).where(F.col("n") > shard_words).select("home", F.ceil(F.col("n") / shard_words).alias("shards"))
+    large = shared.written(large, "large")
     pieces = pieces.join(large, "home", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("shard", F.pmod(F.xxhash64("tid"), "shards"))
     marks = pieces.repartition("home", "shard").sortWithinPartitions("home", "shard", "tid", "start").mapInArrow(match_homes(window), "tid long, low long, high long, digest binary")
     across = F.when(F.col("digest").isNull(), 2).otherwise(F.count("*").over(Window.partitionBy("digest", F.when(F.col("digest").isNull(), F.col("tid")))))
