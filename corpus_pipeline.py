@@ -1,15 +1,62 @@
-"""Corpus pipeline: stages that each apply one operator to all that the stage before kept."""
+"""Corpus pipeline: stages that each apply one operator to all that the stage before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's docs.  All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from kgspark.llm import bpe, jaccard, mixing, pseudonyms, quality, shared
+from kgspark.llm.queries import PII_KEY
+
+LEAST_QUALITY = 0.5
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents whose score is under LEAST_QUALITY go."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
+    return quality.scored(docs, model, score_col="_score").where(F.col("_score") >= LEAST_QUALITY).drop("_score")
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of near duplicates (5 words, 0.8) the document of the least id stays."""
+    classes = jaccard.near_duplicates(docs.select("doc_id", "text"), n=5, num=80, den=100)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    docs = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # rows that share an id: one of those with its least text
+    return docs.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"])).alias("r")).select("doc_id", "r.*").select(docs.columns)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: personal values become format-preserving pseudonyms."""
+    out = pseudonyms.pseudonymised(docs, PII_KEY, counts_col=None)
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: a row for each time that the mix takes a document."""
+    return mixing.mixed(docs).drop("shard")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: the ids of every document, checked by decoding them."""
+    import public_tokenizers
+
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality classifier", good), ("n-gram Jaccard join", distinct), ("PII", private), ("mixing sources to target weights", mixture), ("byte-level BPE", tokens)]
 
-STAGES: list = []
-ORACLE_SQL = None
+ORACLE_SQL = None  # the trained classifier, the keyed permutation and the encoder are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number + 1 < len(STAGES):
+            docs = shared.written(docs, "stage")
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, mixing, pseudonyms, quality, substrings, toxicity, warc
+from . import bpe, covertree, embedding_dedup, jaccard, mixing, pseudonyms, quality, substrings, toxicity, warc
 
 
 PII_KEY = b"set a secret of your own"  # parameter of op4 and of the pipeline; a deployment passes its own
@@ -25,6 +25,20 @@ def classified(scored: DataFrame, held_out: Column, least: float) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.expr(f"int(score >= {least})").alias("predicted"))
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, p.vec_id, CAST(list_sum(list_transform(list_zip(q.e, p.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"), crc() % 5 != 0)
@@ -52,6 +66,22 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+c(vec_id, low) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.v, c.low FROM c JOIN l ON l.u = c.vec_id),
+m AS (SELECT vec_id, min(low) AS component_id FROM c GROUP BY 1),
+n AS (SELECT u, count(*) AS k FROM l GROUP BY 1)
+SELECT m.vec_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_links, m.component_id, m.vec_id = m.component_id AS kept FROM m LEFT JOIN n ON n.u = m.vec_id
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.records(warc.read_chunks(spark, manifest, with_data=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -76,16 +106,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cover_tree": op1_cover_tree,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_pseudonyms": op4_pseudonyms,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_warc": op8_warc,
     "op9_substrings": op9_substrings,
     "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_cover_tree": OP1_SQL,
+    "op7_embedding_dedup": OP7_SQL,
     "op8_warc": OP8_SQL,
 }
