@@ -7,6 +7,8 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kgspark.llm import bpe, jaccard, mixing, pseudonyms, quality, shared
@@ -24,10 +26,13 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of near duplicates (5 words, 0.8) the document of the least id stays."""
     classes = jaccard.near_duplicates(docs.select("doc_id", "text"), n=5, num=80, den=100)
+    classes = shared.written(classes, "near")
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    docs = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # rows that share an id: one of those with its least text
-    return docs.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"])).alias("r")).select("doc_id", "r.*").select(docs.columns)
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    # rows share an id: the least of those that have it
+    return out.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"])).alias("r")).select("doc_id", "r.*").select(docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,15 +53,31 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality classifier", good), ("n-gram Jaccard join", distinct), ("PII", private), ("mixing sources to target weights", mixture), ("byte-level BPE", tokens)]
+def stage(function: Callable) -> Callable:
+    """The stage in a session whose batches suit long texts."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.small_batches(spark)
+        return function(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [
+    ("quality classifier", stage(good)),
+    ("n-gram Jaccard join", stage(distinct)),
+    ("PII", stage(private)),
+    ("mixing sources to target weights", stage(mixture)),
+    ("byte-level BPE encoding and decoding", stage(tokens)),
+]
 
 ORACLE_SQL = None  # the trained classifier, the keyed permutation and the encoder are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for number, (_, function) in enumerate(STAGES):
+        docs = function(spark, docs, sf_dir)
         if number + 1 < len(STAGES):
             docs = shared.written(docs, "stage")
     return docs

@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-MEMO_ENTRIES = 600_000  # pre-tokens remembered in a worker before the memo is emptied
+MEMO_ENTRIES = 250_000  # pre-tokens remembered in a worker before the memo is emptied
 
 
 class PerfectHash:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .kernels import LOWER, Words, chunks, grams
 
@@ -121,6 +122,22 @@ def map_texts(rows: DataFrame, schema: str, make: Callable[[pa.RecordBatch, Word
     return rows.mapInArrow(run, schema)
 
 
+def scored(docs: DataFrame, text_col: str, score_col: str, score: Callable[[Words], np.ndarray]) -> DataFrame:
+    """docs with a column score_col (double; replaces one of that name); rows go to Python once, as structs."""
+    kept = [c for c in docs.columns if c != score_col]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    place = kept.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row")
+            for part, words in chunks(pa.RecordBatch.from_arrays([row, row.field(place).cast(pa.large_string())], ["row", "text"]), "text", lower=True):
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(score(words), pa.float64())], ["row", "score"])
+
+    out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    return out.select("row.*", F.col("score").alias(score_col))
+
+
 def sampled_features(rows: DataFrame, make: Callable[[Words], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of a bounded sample, one row of each family of copies, in an order that reruns keep."""
 

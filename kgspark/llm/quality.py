@@ -130,7 +130,4 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
 def scored(docs: DataFrame, model: Additive, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a column score_col (double, 0 to 1; replaces one of that name)."""
-    kept = [c for c in docs.columns if c != score_col]
-    rows = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = ft.map_texts(rows, f"row {rows.schema['row'].dataType.simpleString()}, score double", lambda part, words: {"row": part.column("row"), "score": model.score(quality_features(words))})
-    return out.select("row.*", F.col("score").alias(score_col))
+    return ft.scored(docs, text_col, score_col, lambda words: model.score(quality_features(words)))

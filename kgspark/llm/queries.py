@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, covertree, embedding_dedup, jaccard, mixing, pseudonyms, quality, substrings, toxicity, warc
+from . import bpe, covertree, embedding_dedup, jaccard, mixing, pseudonyms, quality, shared, substrings, toxicity, warc
 
 
 PII_KEY = b"set a secret of your own"  # parameter of op4 and of the pipeline; a deployment passes its own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

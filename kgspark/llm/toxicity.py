@@ -2,9 +2,11 @@
 
 Features: densities of a fixed and of a learned lexicon, nearness of lexicon
 words to second-person words, capitals, punctuation and obfuscation (words whose
-digits and signs stand for letters).  The lexicon is learned from a part of the
-training sample by smoothed log odds of document frequencies, one document of
-each family of copies.
+digits and signs stand for letters).  The lexicon, of words and of beginnings of
+words, is learned from the training sample by smoothed log odds of document
+frequencies, one document of each family of copies.  Trees see features by the
+lexicon of the other half of the sample, so that they learn what it is worth on
+texts that it was not made from; margins of folds left out fit the calibration.
 
 Training uses at most ``most`` labelled documents (a documented bound; nothing
 else is sampled).  Defined cases: null and empty texts get the score of
@@ -14,6 +16,7 @@ every score is 0; further columns are ignored.
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +28,9 @@ from .kernels import Words
 
 MOST = 40_000  # labelled documents to learn from
 LEXICON_WORDS = 4_000  # most learned words
-SUPPORT = 4  # least toxic documents of a learned word
+SUPPORT = 3  # least toxic documents of a learned word
+HEAD = 6  # bytes of a word's beginning
+HEAD_MARK = np.uint64(0x7F4A7C159E3779B9)
 NEAR = 5  # words on either side
 SECOND = ft.word_values(ft.SECOND_PERSON)
 
@@ -63,12 +68,21 @@ def streams(words: Words) -> tuple[Words, np.ndarray, np.ndarray]:
     return bare, values, hidden
 
 
+def heads(bare: Words) -> np.ndarray:
+    """Values of the beginnings of words that are longer, 0 of others."""
+    cut = copy.copy(bare)
+    cut.ends = np.minimum(bare.ends, bare.starts + HEAD)
+    return np.where(bare.ends - bare.starts > HEAD, cut.hashes() ^ HEAD_MARK, np.uint64(0))
+
+
 def learn_lexicon(rows: DataFrame, most: int = LEXICON_WORDS, support: int = SUPPORT) -> Lexicon:
     """Words of the highest log odds among (text, label); bounded by ``most``."""
 
     def run(part: pa.RecordBatch, words: Words) -> dict:
         bare, values, _ = streams(words)
         text = np.repeat(np.arange(len(words)), np.diff(bare.first))
+        begin = heads(bare)
+        text, values = np.concatenate((text, text[begin > 0])), np.concatenate((values, begin[begin > 0]))
         order = np.lexsort((values, text))
         text, values = text[order], values[order]
         new = np.concatenate(([True], (text[1:] != text[:-1]) | (values[1:] != values[:-1]))) if len(text) else np.zeros(0, bool)
@@ -96,6 +110,11 @@ def toxicity_features(words: Words, lexicon: Lexicon) -> np.ndarray:
     odds = np.zeros(len(values))
     if learned.any():
         odds[learned] = lexicon.odds[np.searchsorted(lexicon.values, values[learned])]
+    begin = heads(bare)
+    begun = ft.among(begin, lexicon.values) & (begin > 0)
+    begin_odds = np.zeros(len(values))
+    if begun.any():
+        begin_odds[begun] = lexicon.odds[np.searchsorted(lexicon.values, begin[begun])]
     second = ft.among(values, SECOND)
     hit = fixed | learned
     text = np.repeat(np.arange(len(words)), np.diff(bare.first))
@@ -111,6 +130,7 @@ def toxicity_features(words: Words, lexicon: Lexicon) -> np.ndarray:
     kinds, most = ft.repeats(values[hit], np.concatenate(([0], np.cumsum(hit)))[bare.first])
     return np.column_stack([
         np.log1p(n), n_fixed, ft.per(n_fixed, n), hits, ft.per(hits, n), c.per_text(bare, odds), ft.per(c.per_text(bare, odds), n), top, kinds, most,
+        c.per_text(bare, begun), ft.per(c.per_text(bare, begun), n), ft.per(c.per_text(bare, begin_odds), n),
         ft.per(c.per_text(bare, second), n), ft.per(c.per_text(bare, hit & near), np.maximum(hits, 1)), ft.per(c.per_text(bare, hidden), n), c.per_text(bare, hidden & hit),
         *(ft.per(c.bytes_in(t), size) for t in (ft.UPPER, ft.MARK, ft.SYMBOL, ft.STOP, ft.DIGIT, ft.HIGH)),
     ])
@@ -198,20 +218,26 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST) -> Model:
-    """Lexicon from half of the sample (by hash of the text), trees and calibration from the other half's two parts."""
+    """Lexicons of both halves of the sample (by hash of the text) for the trees, that of all of it for the model."""
     rows = ft.training_rows(docs, labels, id_col, text_col, label_col, learn, most).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(2)))
-    lexicon = learn_lexicon(rows.where("part = 0"))
-    x, y = ft.sampled_features(rows.where("part = 1"), lambda words: toxicity_features(words, lexicon))
-    if not len(y):
-        return Model(lexicon, Boosted(np.zeros((0, 20)), y), Isotonic(y, y))
-    third = np.arange(len(y)) % 3 == 0
-    trees = Boosted(x[~third], y[~third])
-    return Model(lexicon, trees, Isotonic(trees.margin(x[third]), y[third]))
+    xs, ys = [], []
+    for part in (0, 1):
+        half = learn_lexicon(rows.where(F.col("part") != part))
+        x, y = ft.sampled_features(rows.where(F.col("part") == part), lambda words, half=half: toxicity_features(words, half))
+        if len(y):
+            xs.append(x)
+            ys.append(y)
+    lexicon = learn_lexicon(rows)
+    if not xs:
+        return Model(lexicon, Boosted(np.zeros((0, 1)), np.zeros(0)), Isotonic(np.zeros(0), np.zeros(0)))
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    fold, left_out = np.arange(len(y)) % 3, np.zeros(len(y))
+    for k in range(3):
+        if (fold == k).any() and (fold != k).any():
+            left_out[fold == k] = Boosted(x[fold != k], y[fold != k]).margin(x[fold == k])
+    return Model(lexicon, Boosted(x, y), Isotonic(left_out, y))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a column score_col (double, 0 to 1; replaces one of that name)."""
-    kept = [c for c in docs.columns if c != score_col]
-    rows = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = ft.map_texts(rows, f"row {rows.schema['row'].dataType.simpleString()}, score double", lambda part, words: {"row": part.column("row"), "score": model.score(words)})
-    return out.select("row.*", F.col("score").alias(score_col))
+    return ft.scored(docs, text_col, score_col, model.score)
