@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .kernels import released
+
 MEMO_ENTRIES = 250_000  # pre-tokens remembered in a worker before the memo is emptied
 
 
@@ -167,6 +169,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     """
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path, pattern)
         for batch in batches:
@@ -194,6 +197,7 @@ def decoded(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """(id, ids) -> id_col, data binary: the bytes that the ids stand for; null ids give null."""
     id_type = tokens.select(id_col).schema[0].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path, pattern)
         for batch in batches:

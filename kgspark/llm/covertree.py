@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .kernels import released
 from .vectors import block_count, matrix, packed, usable
 
 LEAF = 96  # points of a leaf at most, unless they are one place
@@ -164,6 +165,7 @@ def tree_of(k: int, scale: float) -> Callable:
 def searcher(k: int) -> Callable:
     """Rows (q, share, query_tree, data_tree), sorted by (q, share) -> (query_id, vec_id, score)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, search = None, None
 

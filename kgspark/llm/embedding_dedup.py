@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import shared
 from .components import components
+from .kernels import released
 from .vectors import block_count, matrix, packed, usable
 
 SAMPLE = 5_000  # vectors that the rotation and the cells are fitted on
@@ -130,6 +131,7 @@ class Tile:
 
 
 def compare(axes: dict[int, np.ndarray], least: float) -> Callable:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

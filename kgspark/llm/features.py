@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .kernels import LOWER, Words, chunks, grams
+from .kernels import LOWER, Words, chunks, grams, released
 
 
 def table_of(chars: str) -> np.ndarray:
@@ -114,6 +114,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 def map_texts(rows: DataFrame, schema: str, make: Callable[[pa.RecordBatch, Words], dict]) -> DataFrame:
     """rows (with a column ``text``) chunk by chunk through ``make``."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in chunks(batch, "text", lower=True):
@@ -128,6 +129,7 @@ def scored(docs: DataFrame, text_col: str, score_col: str, score: Callable[[Word
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
     place = kept.index(text_col)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("row")

@@ -37,9 +37,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shared
 from .components import components
-from .kernels import Words, chunks, grams, mix, sequence_value
+from .kernels import Words, chunks, grams, mix, released, sequence_value
 
-BLOCK = 512  # sets of a block; a tile compares two blocks at most
+BLOCK = 512  # sets of a block at most, and no more than BLOCK_SHINGLES in it unless one set has more; a tile compares two blocks
+BLOCK_SHINGLES = 200_000
 COMMON = 16  # sets of a key before sets with enough other keys leave it out
 BAND = 1.4  # a size band reaches to this multiple of its least size
 ONE = np.uint64(1)
@@ -117,6 +118,7 @@ def name_of(values: np.ndarray) -> int:
 def signed(n: int, num: int, den: int) -> Callable:
     """(id, text) -> (id, size, set, bands): keys by band, only at the first text of the partition with that set."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -138,6 +140,7 @@ def signed(n: int, num: int, den: int) -> Callable:
 def arrays(n: int) -> Callable:
     """(text) -> (set, shingles): names and sorted arrays."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, words in chunks(batch, "text", lower=True):
@@ -235,7 +238,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = marked.where("set is not null").join(classes, F.col("set") == F.col("node")).groupBy("set", "component", "size").agg(F.min("id").alias("least_id"))
     chosen = shared.written(chosen, "chosen")
     place = Window.partitionBy("component").orderBy("size", "set")
-    placed = chosen.withColumn("block", F.floor((F.row_number().over(place) - 1) / block))
+    filled = F.sum(F.lit(1.0 / block) + F.col("size") / BLOCK_SHINGLES).over(place.rowsBetween(Window.unboundedPreceding, 0))
+    placed = chosen.withColumn("block", F.floor(filled))
     reach = placed.groupBy("component", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     mine = reach.select("component", F.col("block").alias("a"), F.col("high").alias("a_high"))
     theirs = reach.select(F.col("component").alias("c"), F.col("block").alias("b"), F.col("low").alias("b_low"))

@@ -8,12 +8,16 @@ weights, taken from prefix sums, so no Python object is made for a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20  # bytes of text handled at once (a longer text is handled alone)
+CHUNK_BYTES = 1 << 19  # bytes of text handled at once (a longer text is handled alone)
 
 WS = np.zeros(256, dtype=bool)
 WS[[0x20, *range(0x09, 0x0E)]] = True
@@ -44,6 +48,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def released(run: Callable) -> Callable:
+    """A task's function that gives its freed memory back to the system when it ends; Python workers outlive tasks."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 class Words:
     """Words of a run of texts: byte buffer, text offsets, word bounds and first word of each text."""
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .features import DIGIT
-from .kernels import column_buffer
+from .kernels import column_buffer, released
 
 ROUNDS = 10
 MEMO_ENTRIES = 200_000
@@ -221,6 +221,7 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", counts_co
     kept = [c for c in docs.columns if c not in (text_col, counts_col)]
     rows = docs.select(F.struct(*kept).alias("row") if kept else F.lit(0).alias("row"), F.col(text_col).alias("text"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pseudonyms(key, back)
         for batch in batches:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shared
-from .kernels import chunks, grams, groups, sliding
+from .kernels import chunks, grams, groups, released, sliding
 
 SHARD_WORDS = 200_000  # words of a reference shard; bounds an automaton's memory
 
@@ -160,6 +160,7 @@ def anchors(window: int) -> Callable:
     """(tid, text) -> (anchor, tid, many): the distinct anchors of every text; many: chosen at two places of it."""
     width = window - max(1, window // 3) + 1
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in chunks(batch, "text"):
@@ -184,6 +185,7 @@ def anchors(window: int) -> Callable:
 def cut_pieces(window: int) -> Callable:
     """(tid, text, found) -> (home, tid, start, words, piece): runs of windows whose anchors have one home."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in chunks(batch, "text"):
@@ -220,6 +222,7 @@ def cut_pieces(window: int) -> Callable:
 def match_homes(window: int) -> Callable:
     """Sorted pieces of homes (and shards) -> (tid, low, high, digest): marked words, and windows for other shards to find."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[str, list] = {"tid": [], "low": [], "high": [], "digest": []}
 
@@ -293,7 +296,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = pieces.repartition("home", "shard").sortWithinPartitions("home", "shard", "tid", "start").mapInArrow(match_homes(window), "tid long, low long, high long, digest binary")
     across = F.when(F.col("digest").isNull(), 2).otherwise(F.count("*").over(Window.partitionBy("digest", F.when(F.col("digest").isNull(), F.col("tid")))))
     spans = marks.withColumn("n", across).where("n > 1").groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    stripped = texts.join(spans, "tid", "left").select("tid", "text", "copies", "spans").mapInArrow(lambda batches: strip(batches, window), "tid long, n_words long, n_removed long, kept string, kept_sha256 string")
+    stripped = texts.join(spans, "tid", "left").select("tid", "text", "copies", "spans").mapInArrow(released(lambda batches: strip(batches, window)), "tid long, n_words long, n_removed long, kept string, kept_sha256 string")
     if not keep_text:
         stripped = stripped.drop("kept")
     ids = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tid"))

@@ -25,6 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import shared
+from .kernels import released
 
 LEAST = 1000  # bytes of the smallest payload that is worth a revisit record
 FILE_BYTES = 256 << 20  # of compressed records, before another archive is begun
@@ -83,6 +84,7 @@ class Archive:
 
 
 def writer(folder: str, file_bytes: int) -> Callable:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = None
         for batch in batches:
@@ -191,6 +193,7 @@ def reader(chunk_bytes: int, with_data: bool) -> Callable:
                     raise ValueError(f"payload of {fixed[0]} does not match its digest")
             source.skip(4)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column("archive").to_pylist():
