@@ -3,7 +3,7 @@
 Documents fall into blocks of their source by a keyed hash of their content.
 Every source gets a quota of block draws: whole epochs of all its blocks, then
 one partial epoch of blocks in permuted order, whose last block is cut at a
-document.  A multivariate-hypergeometric splitting tree divides these exact
+document, and this document at a word, so that the target is met to the word.  A multivariate-hypergeometric splitting tree divides these exact
 quotas among the output shards: at each node the left half of the shards draws
 its number of block draws without replacement, and the rest goes right.  Each
 shard takes disjoint runs of its sources' permuted draws and shuffles locally.
@@ -124,7 +124,8 @@ def with_block(sized: DataFrame, sources: list[Source]) -> DataFrame:
 
 
 def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, block_words: int = 100_000, n_shards: int = 64, seed: int = 0) -> tuple[DataFrame, list[Source]]:
-    """docs with _mix_size, _mix_source_size, _mix_target, _mix_copies (times taken), _mix_block ... and the plan.
+    """docs with _mix_size, _mix_source_size, _mix_target, _mix_copies (times taken), _mix_part (words of its last copy
+    in the partial pass) and the plan.
 
     Sources in order of code point, null last, get the weights in turn.  Every
     copy count is floor(target / size) or one more, so no document is taken
@@ -139,21 +140,22 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sources = plan(figures, weights, cap, block_words)
     shared.drop(figures)
     rows = with_block(sized, sources)
-    even = rows.where("_mix_block <> _mix_whole or _mix_rest <= 0").withColumn("_mix_last", F.expr("int(_mix_block < _mix_whole)"))
-    # The block in which a source's last pass ends: in permuted order while documents fit, then the
-    # smallest of the others, up to the document whose half is beyond the target.
+    whole = F.expr("int(_mix_block < _mix_whole)")
+    even = rows.where("_mix_block <> _mix_whole or _mix_rest <= 0").withColumns({"_mix_last": whole, "_mix_part": F.col("_mix_size") * whole})
+    # The block in which a source's last pass ends: whole documents in permuted order, then a part of the next one.
     cut = rows.where("_mix_block = _mix_whole and _mix_rest > 0")
-    order = Window.partitionBy("_mix_number").orderBy("_mix_key", F.col(id_col)).rowsBetween(Window.unboundedPreceding, 0)
-    cut = cut.withColumn("_mix_sum", F.sum("_mix_size").over(order)).withColumn("_mix_fits", F.expr("_mix_sum <= _mix_rest"))
-    full = Window.partitionBy("_mix_number")
-    small = Window.partitionBy("_mix_number", "_mix_fits").orderBy("_mix_size", "_mix_key", F.col(id_col)).rowsBetween(Window.unboundedPreceding, 0)
-    cut = cut.withColumn("_mix_left", F.expr("_mix_rest") - F.coalesce(F.max(F.when(F.col("_mix_fits"), F.col("_mix_sum"))).over(full), F.lit(0)))
-    cut = cut.withColumn("_mix_sum", F.sum("_mix_size").over(small))
-    cut = cut.withColumn("_mix_last", F.expr("int(_mix_fits or _mix_sum - _mix_size / 2 <= _mix_left)")).drop("_mix_sum", "_mix_fits", "_mix_left")
+    order = Window.partitionBy("_mix_number").orderBy("_mix_key", F.col(id_col), "_mix_size").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.floor("_mix_rest") - (F.sum("_mix_size").over(order) - F.col("_mix_size"))
+    cut = cut.withColumn("_mix_part", F.greatest(F.lit(0), F.least(F.col("_mix_size"), left)).cast("long")).withColumn("_mix_last", F.expr("int(_mix_part > 0)"))
     out = even.unionByName(cut)
     return out.withColumn("_mix_copies", F.col("_mix_epochs") + F.col("_mix_last")), sources
 
 
+def taken() -> Column:
+    """Words that the mix takes of a document of ``drawn``."""
+    return F.col("_mix_size") * F.col("_mix_epochs") + F.col("_mix_part")
+
+
 def shard_table(spark, sources: list[Source], n_shards: int, seed: int) -> DataFrame:
     """(_mix_number, _mix_block, _mix_epoch) -> _mix_shard for every block draw; at most sources * cap + cap * MAX_BLOCKS rows."""
     quotas = [s.n_blocks * s.epochs + s.whole + (s.rest > 0 and s.whole < s.n_blocks) for s in sources]
@@ -181,6 +183,11 @@ def mixed(docs: DataFrame, n_shards: int = 64, seed: int = 0, **options) -> Data
     rows, sources = drawn(docs, n_shards=n_shards, seed=seed, **options)
     rows = with_shards(rows, sources, n_shards, seed)
     rows = rows.select("*", F.posexplode("_mix_shards").alias("_mix_epoch", "_mix_shard"))
+    # Of the document at which the last pass ends, the words that it still takes.
+    text_col = options.get("text_col", "text")
+    cut = (F.col("_mix_epoch") == F.col("_mix_epochs")) & (F.col("_mix_part") < F.col("_mix_size"))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.col("_mix_part").cast("int")), " ")
+    rows = rows.withColumn(text_col, F.when(cut, part).otherwise(F.col(text_col)))
     rows = rows.withColumn("_mix_order", F.xxhash64(F.lit(seed + 1), "_mix_shard", "_mix_epoch", "_mix_key"))
     rows = rows.repartition(n_shards, "_mix_shard").sortWithinPartitions("_mix_shard", "_mix_order")
     return rows.select(*[c for c in docs.columns if c != "shard"], F.col("_mix_shard").alias("shard"))

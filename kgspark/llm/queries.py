@@ -48,8 +48,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.with_shards(*mixing.drawn(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), 64, 0)
-    taken = (F.col("_mix_size") * F.size("_mix_shards")).alias("taken")
-    return rows.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), taken, F.col("_mix_shards").alias("shards"))
+    return rows.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), mixing.taken().alias("taken"), F.col("_mix_shards").alias("shards"))
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
