@@ -12,10 +12,12 @@ texts with one set are one node.
    keys are joined to the least of them, which makes candidate classes without
    listing pairs.
 2. Tiles: a class is cut into blocks by size, and only blocks whose sizes can
-   meet are compared.  In a tile each set has a hashed bitmap; the bits that one
-   has and the other lacks bound the overlap from above, and pairs that pass are
-   decided by intersecting the exact sorted arrays.  Pairs already connected in
-   the tile are skipped, so a tile gives a forest, never all its pairs.
+   meet are compared.  Each set has a hashed bitmap; the bits that one has and
+   the other lacks bound the overlap from above.  A first round of tiles on
+   bitmaps alone parts the classes into those whose sets may be linked; a second
+   round, on these much smaller classes, decides pairs that pass the bound by
+   intersecting the exact sorted arrays.  Pairs already connected in a tile are
+   skipped, so a tile gives a forest, never all its pairs.
 3. Components of the forests' edges are the result.
 
 Defined cases: null and empty texts, and texts without words, have empty sets
@@ -116,14 +118,14 @@ def name_of(values: np.ndarray) -> int:
 
 
 def signed(n: int, num: int, den: int) -> Callable:
-    """(id, text) -> (id, size, set, bands): keys by band, only at the first text of the partition with that set."""
+    """(id, text) -> (id, size, set, bits, bands): bitmap, and keys by band, only at the first text of the partition with that set."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part, words in chunks(batch, "text", lower=True):
-                sizes, names, given = [], [], []
+                sizes, names, given, bits = [], [], [], []
                 for values in sets(words, n):
                     sizes.append(len(values))
                     name = name_of(values) if len(values) else None
@@ -131,14 +133,15 @@ def signed(n: int, num: int, den: int) -> Callable:
                     fresh = name is not None and name not in seen
                     if fresh:
                         seen.add(name)
+                    bits.append(bitmap(values, width_of(len(values))).tobytes() if fresh else None)
                     given.append([{"spare": spare, "keys": key.view(np.int64)} for spare, key in keys_of(values, num, den)] if fresh else None)
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "size": pa.array(sizes, pa.int64()), "set": pa.array(names, pa.int64()), "bands": pa.array(given, pa.list_(pa.struct([("spare", pa.int32()), ("keys", pa.list_(pa.int64()))])))})
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "size": pa.array(sizes, pa.int64()), "set": pa.array(names, pa.int64()), "bits": pa.array(bits, pa.binary()), "bands": pa.array(given, pa.list_(pa.struct([("spare", pa.int32()), ("keys", pa.list_(pa.int64()))])))})
 
     return run
 
 
 def arrays(n: int) -> Callable:
-    """(text) -> (set, shingles): names and sorted arrays."""
+    """(text) -> (set, data): names and sorted arrays."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,29 +149,76 @@ def arrays(n: int) -> Callable:
             for _, words in chunks(batch, "text", lower=True):
                 all_ = [v for v in sets(words, n) if len(v)]
                 if all_:
-                    yield pa.RecordBatch.from_pydict({"set": pa.array([name_of(v) for v in all_], pa.int64()), "shingles": pa.array([v.tobytes() for v in all_], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"set": pa.array([name_of(v) for v in all_], pa.int64()), "data": pa.array([v.tobytes() for v in all_], pa.binary())})
 
     return run
 
 
-def bitmaps(sets_: list[np.ndarray], width: int) -> np.ndarray:
-    """A row of ``width`` bits (a power of two) for each set, as 64-bit words."""
-    out = np.zeros((len(sets_), width // 64), np.uint64)
-    for row, values in zip(out, sets_, strict=True):
-        bits = values & np.uint64(width - 1)
-        np.bitwise_or.at(row, (bits >> np.uint64(6)).astype(np.int64), ONE << (bits & np.uint64(63)))
+def width_of(size: int) -> int:
+    """Bits of a set's bitmap: a power of two, at least twice its size."""
+    return 1 << max(6, int(2 * size).bit_length())
+
+
+def bitmap(values: np.ndarray, width: int) -> np.ndarray:
+    """``width`` bits as 64-bit words."""
+    out = np.zeros(width // 64, np.uint64)
+    bits = values & np.uint64(width - 1)
+    np.bitwise_or.at(out, (bits >> np.uint64(6)).astype(np.int64), ONE << (bits & np.uint64(63)))
     return out
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set with fewer words."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def needed(x, y, num: int, den: int):
+    """Least overlap of sets of sizes x and y with den * overlap >= num * union."""
+    return -(-num * (x + y) // (num + den))
+
+
+def passing(bits: np.ndarray, others: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Numbers of the rows of ``others`` whose lack of the bits does not exceed ``spare``; a quarter of the words rejects most."""
+    at, lead = np.arange(len(others)), max(1, len(bits) // 4)
+    for a, b in ((0, lead), (lead, len(bits))):
+        if len(at) and b > a:
+            spare = spare - np.bitwise_count(bits[a:b] & ~others[at, a:b]).sum(1, dtype=np.int64)
+            at, spare = at[spare >= 0], spare[spare >= 0]
+    return at
+
+
+def tile_candidates(bits: list[np.ndarray], size: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A forest of the pairs of a tile whose bitmaps allow a link."""
+    order = np.argsort(size, kind="stable")
+    size, side = size[order], side[order]
+    words = np.array([len(bits[i]) for i in order])
+    both, group, links = bool(side.any()), np.arange(len(order)), []
+    rows = {w: np.array([folded(bits[i], w) if len(bits[i]) >= w else np.zeros(w, np.uint64) for i in order]) for w in np.unique(words).tolist()}
+    for i in range(len(order) - 1):
+        other = np.arange(i + 1, int(np.searchsorted(size, size[i] * den // num, "right")))
+        other = other[group[other] != group[i]]
+        if both:
+            other = other[side[other] != side[i]]
+        spare = size[i] - needed(size[i], size[other], num, den)
+        other, spare = other[spare >= 0], spare[spare >= 0]
+        own = rows[int(words[i])]
+        for j in other[passing(own[i], own[other], spare)].tolist():
+            if group[j] != group[i]:
+                links.append((int(order[i]), int(order[j])))
+                group[group == group[j]] = group[i]
+    return links
+
+
 def tile_links(sets_: list[np.ndarray], side: np.ndarray, num: int, den: int) -> tuple[list[tuple[int, int]], int]:
     """A forest of the links among sets of a tile (side 0 and 1: only pairs across, unless side is all 0), and exact checks made."""
     order = np.argsort([len(v) for v in sets_], kind="stable")
     sets_ = [sets_[i] for i in order]
     side, size = side[order], np.array([len(v) for v in sets_], np.int64)
     both = bool(side.any())
-    width = 1 << max(6, int(2 * size[-1]).bit_length())
-    bits = bitmaps(sets_, width)
-    lead = max(1, width // 64 // 4)
+    width = width_of(int(size[-1]))
+    bits = np.array([bitmap(v, width) for v in sets_])
     group = np.arange(len(sets_))
     links, checks = [], 0
     for i in range(len(sets_) - 1):
@@ -179,17 +229,9 @@ def tile_links(sets_: list[np.ndarray], side: np.ndarray, num: int, den: int) ->
             other = other[side[other] != side[i]]
         if not len(other):
             continue
-        # of two sets of sizes x <= y, an overlap of o suffices if den * o >= num * (x + y - o)
-        need = -(-num * (size[i] + size[other]) // (num + den))
-        spare = size[i] - need
-        ok = spare >= 0
-        other, spare = other[ok], spare[ok]
-        for a, b in ((0, lead), (lead, width // 64)):  # a quarter of the bits rejects most
-            if len(other) and b > a:
-                lacks = np.bitwise_count(bits[i, a:b] & ~bits[other, a:b]).sum(1, dtype=np.int64)
-                spare = spare - lacks
-                ok = spare >= 0
-                other, spare = other[ok], spare[ok]
+        spare = size[i] - needed(size[i], size[other], num, den)
+        other, spare = other[spare >= 0], spare[spare >= 0]
+        other = other[passing(bits[i], bits[other], spare)]
         for j in other.tolist():
             if group[j] == group[i]:
                 continue
@@ -201,23 +243,38 @@ def tile_links(sets_: list[np.ndarray], side: np.ndarray, num: int, den: int) ->
     return links, checks
 
 
-def compare(num: int, den: int) -> Callable:
-    """Rows of tiles -> edges (u, v)."""
+def compare(num: int, den: int, exact: bool) -> Callable:
+    """Rows of tiles -> edges (u, v): links by sorted arrays if exact, else candidates by bitmaps."""
 
     def run(keys: tuple, group: pa.Table) -> pa.Table:
-        values = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-        names = group.column("set").to_pylist()
-        links, _ = tile_links(values, group.column("side").to_numpy(), num, den)
+        values = [np.frombuffer(x, np.uint64) for x in group.column("data").to_pylist()]
+        names, side = group.column("set").to_pylist(), group.column("side").to_numpy()
+        links = tile_links(values, side, num, den)[0] if exact else tile_candidates(values, group.column("size").to_numpy(), side, num, den)
         return pa.table({"u": pa.array([names[i] for i, _ in links], pa.int64()), "v": pa.array([names[j] for _, j in links], pa.int64())})
 
     return run
 
 
+def compared(data: DataFrame, chosen: DataFrame, num: int, den: int, block: int, exact: bool) -> DataFrame:
+    """Edges among the sets of each class: data (set, data), chosen (set, component, size)."""
+    place = Window.partitionBy("component").orderBy("size", "set").rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.sum(F.lit(1.0 / block) + F.col("size") / (BLOCK_SHINGLES if exact else 32 * BLOCK_SHINGLES)).over(place)
+    placed = chosen.select("set", "component", "size", F.floor(filled).alias("block"))
+    reach = placed.groupBy("component", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    mine = reach.select("component", F.col("block").alias("a"), F.col("high").alias("a_high"))
+    theirs = reach.select(F.col("component").alias("c"), F.col("block").alias("b"), F.col("low").alias("b_low"))
+    tiles = mine.join(theirs, (F.col("component") == F.col("c")) & (F.col("a") <= F.col("b")) & (F.col("b_low") * num <= F.col("a_high") * den)).select("component", "a", "b")
+    # (exploded instead of united: the groups below need an exchange of their own)
+    sides = tiles.select("component", "a", "b", F.explode(F.expr("if(a = b, array(a), array(a, b))")).alias("block")).withColumn("side", F.expr("int(block <> a)"))
+    sides = placed.join(sides, ["component", "block"]).select("set", "size", "component", "a", "b", "side")
+    return data.join(sides, "set").groupBy("component", "a", "b").applyInArrow(compare(num, den, exact), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, common: int = COMMON) -> DataFrame:
     """docs -> id_col, n_shingles long, component_id: texts link when den * overlap >= num * union of their n-word shingles."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    marked = shared.written(rows.mapInArrow(signed(n, num, den), f"id {id_type}, size long, set long, bands array<struct<spare:int,keys:array<long>>>"), "signed")
+    marked = shared.written(rows.mapInArrow(signed(n, num, den), f"id {id_type}, size long, set long, bits binary, bands array<struct<spare:int,keys:array<long>>>"), "signed")
 
     keys = marked.where("bands is not null").select("set", F.posexplode("bands").alias("band", "b")).select("set", "band", F.col("b.spare").alias("spare"), F.explode("b.keys").alias("key"))
     held = Window.partitionBy("key").orderBy("set")
@@ -237,23 +294,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One text for each set of a class, by the least id that has it.
     chosen = marked.where("set is not null").join(classes, F.col("set") == F.col("node")).groupBy("set", "component", "size").agg(F.min("id").alias("least_id"))
     chosen = shared.written(chosen, "chosen")
-    place = Window.partitionBy("component").orderBy("size", "set")
-    filled = F.sum(F.lit(1.0 / block) + F.col("size") / BLOCK_SHINGLES).over(place.rowsBetween(Window.unboundedPreceding, 0))
-    placed = chosen.withColumn("block", F.floor(filled))
-    reach = placed.groupBy("component", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    mine = reach.select("component", F.col("block").alias("a"), F.col("high").alias("a_high"))
-    theirs = reach.select(F.col("component").alias("c"), F.col("block").alias("b"), F.col("low").alias("b_low"))
-    tiles = mine.join(theirs, (F.col("component") == F.col("c")) & (F.col("a") <= F.col("b")) & (F.col("b_low") * num <= F.col("a_high") * den)).select("component", "a", "b")
-    # (exploded instead of united: the groups below need an exchange of their own)
-    sides = tiles.select("component", "a", "b", F.explode(F.expr("if(a = b, array(a), array(a, b))")).alias("block")).withColumn("side", F.expr("int(block <> a)"))
-    sides = placed.join(sides, ["component", "block"]).select("set", "component", "a", "b", "side")
+    shared.drop(stars_table)
+    bits = marked.where("bits is not null").groupBy("set").agg(F.first("bits").alias("data"))
+    maybe = compared(bits, chosen, num, den, block, exact=False)
+    classes = components(maybe, "refined")
+    classes = classes.select(F.explode(F.array("node", "component")).alias("set"), "component").distinct()
+    chosen, coarse = shared.written(chosen.drop("component").join(classes, "set"), "chosen"), chosen
+    shared.drop(coarse)
 
     texts = rows.join(chosen.select("least_id").distinct(), rows["id"].eqNullSafe(F.col("least_id")), "left_semi")
-    full = texts.select("text").mapInArrow(arrays(n), "set long, shingles binary").dropDuplicates(["set"])
-    edges = full.join(sides, "set").groupBy("component", "a", "b").applyInArrow(compare(num, den), "u long, v long")
-    linked = components(edges, "linked")
-    for done in (stars_table, chosen):
-        shared.drop(done)
+    full = texts.select("text").mapInArrow(arrays(n), "set long, data binary").dropDuplicates(["set"])
+    linked = components(compared(full, chosen, num, den, block, exact=True), "linked")
+    shared.drop(chosen)
 
     names = marked.select("id", "size", "set").join(linked, F.col("set") == F.col("node"), "left").withColumn("class", F.coalesce("component", "set"))
     least = names.where("class is not null").groupBy("class").agg(F.min("id").alias("least_id"))

@@ -105,6 +105,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(quality.scored(documents.select("doc_id", "text"), model), crc() % 4 == 2, 0.7)
 
 
+WORDS_SQL = r"""w AS (SELECT doc_id, u.i, u.word FROM (SELECT doc_id, list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents) d,
+  LATERAL (SELECT unnest(l) AS word, generate_subscripts(l, 1) AS i) u)"""
+
+OP5_SQL = f"""
+WITH RECURSIVE {WORDS_SQL.replace("{text}", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
+g AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS g FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, g FROM g WHERE g IS NOT NULL UNION ALL SELECT doc_id, string_agg(word, ' ' ORDER BY i) FROM w JOIN n USING (doc_id) WHERE n < 3 GROUP BY 1),
+k AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN k a ON a.doc_id = u JOIN k b ON b.doc_id = v WHERE 100 * shared >= 90 * (a.k + b.k - shared)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+c(doc_id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, c.low FROM c JOIN e ON e.u = c.doc_id)
+SELECT c.doc_id, CAST(coalesce(any_value(k.k), 0) AS BIGINT) AS n_shingles, min(low) AS component_id FROM c LEFT JOIN k USING (doc_id) GROUP BY 1
+"""
+
+OP9_SQL = f"""
+WITH {WORDS_SQL.replace("{text}", "coalesce(text, '')")},
+g AS (SELECT doc_id, i, string_agg(word, ' ') OVER o AS g, count(*) OVER o AS n FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+r AS (SELECT doc_id, i FROM g WHERE n = 35 QUALIFY count(*) OVER (PARTITION BY g) > 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+k AS (SELECT w.doc_id, count(*) AS n_words, count(x.i) AS n_removed, coalesce(string_agg(w.word, ' ' ORDER BY w.i) FILTER (x.i IS NULL), '') AS kept FROM w LEFT JOIN x ON x.doc_id = w.doc_id AND x.i = w.i GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cover_tree": op1_cover_tree,
     "op2_toxicity": op2_toxicity,
@@ -120,6 +145,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_cover_tree": OP1_SQL,
+    "op5_ngram_jaccard": OP5_SQL,
     "op7_embedding_dedup": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op9_substrings": OP9_SQL,
 }
