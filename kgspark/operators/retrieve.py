@@ -74,7 +74,8 @@ def neighborhood(graph: Graph, questions: DataFrame, hops: int = 1) -> DataFrame
         seen = seen.unionByName(frontier)
     labels = graph.scan(LABEL).groupBy("s").agg(F.min("o").alias("label"))
     name = lambda df, c: df.join(labels.select(F.col("s").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_name", F.coalesce(f"{c}_label", F.when(F.startswith(c, F.lit("http")), F.substring_index(c, "/", -1)).otherwise(F.col(c)))).drop(f"{c}_label")
-    kept = capped(name(name(found.select("question_id", "s", "p", "o", "other").distinct(), "s"), "o").withColumn("p_name", F.substring_index("p", "/", -1)))
+    named = name(name(found.select("question_id", "s", "p", "o", "other").distinct(), "s"), "o").withColumn("p_name", F.substring_index("p", "/", -1))
+    kept = capped(named.select("question_id", "s_name", "p_name", "o_name", "other").distinct())
     lines = kept.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "s_name", "p_name", "o_name").alias("line")))), lambda x: x["line"]), "\n").alias("context"), F.collect_set("other").alias("others"), F.count("*").alias("num_triples"))
     starts = anchors.groupBy("question_id").agg(F.collect_set("iri").alias("iris"), F.count("*").alias("num_linked"))
     own = questions.select("question_id").join(starts, "question_id", "left").join(lines, "question_id", "left")
@@ -83,8 +84,8 @@ def neighborhood(graph: Graph, questions: DataFrame, hops: int = 1) -> DataFrame
 
 
 def capped(rows: DataFrame, per_predicate: int = PER_PREDICATE, total: int = TOTAL) -> DataFrame:
-    """The first ``per_predicate`` of each predicate and ``total`` in all, in text order of subject, predicate, object (then IRIs); adds rank."""
-    text = ["s_name", "p_name", "o_name", "s", "o"]
+    """The first ``per_predicate`` of each predicate and ``total`` in all, in text order of subject, predicate, object, then by the other node; adds rank."""
+    text = ["s_name", "p_name", "o_name", "other"]
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("question_id", "p_name").orderBy(*text))).where(F.col("_n") <= per_predicate).drop("_n")
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*text))).where(F.col("rank") <= total)
 

@@ -201,20 +201,20 @@ def rt05(spark, sf_dir):
 
 
 CAP = f"""e AS (SELECT DISTINCT q.iri AS question_id, s, p, o FROM nodes q JOIN triples ON s = q.iri OR o = q.iri WHERE q.kind = 'Nation' AND starts_with(p, '{B}p/')),
-l AS (SELECT e.*, a.label AS sn, regexp_extract(p, '[^/]*$') AS pn, coalesce(b.label, o) AS onn FROM e JOIN {LAB} a ON a.iri = s LEFT JOIN {LAB} b ON b.iri = o),
-c AS (SELECT *, row_number() OVER (PARTITION BY question_id, pn ORDER BY sn, pn, onn, s, o) AS n FROM l),
-k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sn, pn, onn, s, o) AS r FROM c WHERE n <= 25)"""
+l AS (SELECT DISTINCT question_id, a.label AS sn, regexp_extract(p, '[^/]*$') AS pn, coalesce(b.label, o) AS onn, CASE WHEN s <> question_id THEN s WHEN b.label IS NOT NULL THEN o END AS other FROM e JOIN {LAB} a ON a.iri = s LEFT JOIN {LAB} b ON b.iri = o),
+c AS (SELECT *, row_number() OVER (PARTITION BY question_id, pn ORDER BY sn, pn, onn, other NULLS FIRST) AS n FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sn, pn, onn, other NULLS FIRST) AS r FROM c WHERE n <= 25)"""
 
 
-@query("rt06_capped", sql("SELECT question_id, s, p, o, CAST(r AS INTEGER) AS rank FROM k WHERE r <= 200", triples=True, more=CAP))
+@query("rt06_capped", sql("SELECT question_id, sn AS s_name, pn AS p_name, onn AS o_name, CAST(r AS INTEGER) AS rank FROM k WHERE r <= 200", triples=True, more=CAP))
 def rt06(spark, sf_dir):
     graph = g.from_tables(spark, sf_dir)
     nations = sampling.of_kind(graph, "Nation").select(F.col("e").alias("question_id"), F.col("e").alias("iri"))
     labels = graph.scan(g.LABEL).groupBy("s").agg(F.min("o").alias("label"))
-    found = retrieve.hop(graph, nations, fetch=10**9).select("question_id", "s", "p", "o").distinct()
+    found = retrieve.hop(graph, nations, fetch=10**9).select("question_id", "s", "p", "o", "other")
     found = found.join(labels.withColumnRenamed("label", "s_name"), "s").join(labels.select(F.col("s").alias("o"), F.col("label").alias("o_name")), "o", "left")
-    found = found.withColumns({"o_name": F.coalesce("o_name", "o"), "p_name": F.substring_index("p", "/", -1)})
-    return retrieve.capped(found).select("question_id", "s", "p", "o", "rank")
+    found = found.select("question_id", "s_name", F.substring_index("p", "/", -1).alias("p_name"), F.coalesce("o_name", "o").alias("o_name"), "other").distinct()
+    return retrieve.capped(found).drop("other")
 
 
 @query("rt07_context", sql("SELECT question_id, string_agg(sn || ' ' || pn || ' ' || onn, chr(10) ORDER BY r) AS context, count(*) AS num_triples FROM k WHERE r <= 200 GROUP BY 1", triples=True, more=CAP))
