@@ -50,8 +50,9 @@ class Solution:
 class Compiler:
     """graph: ``scan(predicate)`` -> (s, p, o, o_kind), ``object_kind(predicate)``, ``annotations()``."""
 
-    def __init__(self, graph):
-        self.graph = graph
+    def __init__(self, graph, seeds: DataFrame | None = None):
+        """seeds: IRIs of variables, a column for each; they take the place of VALUES blocks of these variables."""
+        self.graph, self.seeds = graph, seeds
         self.fresh = 0
 
     def hidden(self) -> str:
@@ -249,6 +250,8 @@ class Compiler:
         return min(patterns, key=lambda i: (rank(i), patterns.index(i)))
 
     def pattern(self, item) -> Solution:
+        if isinstance(item, Values) and self.seeds is not None and item.names == tuple(self.seeds.columns):
+            return Solution(self.seeds, dict.fromkeys(item.names, "iri"))
         if isinstance(item, Values):
             spark = self.graph.spark
             kinds = {n: ("iri" if all(isinstance(r[i], Iri) for r in item.rows) else "literal" if all(isinstance(r[i], Lit) for r in item.rows) else None) for i, n in enumerate(item.names)}
@@ -370,3 +373,23 @@ class Compiler:
 def execute(graph, text: str, prefixes: dict[str, str] | None = None) -> DataFrame:
     """The result of a query text over a graph."""
     return Compiler(graph).run(parse(text, {**graph.prefixes, **(prefixes or {})}))
+
+
+def execute_for(graph, text: str, seeds: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """The result for every row of seeds at once: its columns, then those of the query.
+
+    The query has a VALUES block for each seed variable; one plan answers all seeds.
+    """
+    query = parse(text, {**graph.prefixes, **(prefixes or {})})
+    names = list(seeds.columns)
+    if query.ask or query.limit is not None:
+        raise InvalidQuery("ASK and LIMIT are of one seed; write the query without them")
+    found = [i for i in query.where.items if isinstance(i, Values) and set(i.names) <= set(names)]
+    if {n for v in found for n in v.names} != set(names):
+        raise InvalidQuery(f"there must be a VALUES block for each of {names}")
+    query.where.items = [Values(tuple(names), []), *(i for i in query.where.items if i not in found)]
+    query.projection = [(n, None) for n in names] + [p for p in query.projection if p[0] not in names]
+    if query.group_by or any(aggregates(e) for _, e in query.projection):
+        query.group_by = names + [n for n in query.group_by if n not in names]
+    query.order_by = []
+    return Compiler(graph, seeds.distinct()).run(query)

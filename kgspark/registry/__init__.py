@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import all modules that register queries."""
-    from . import graph_queries, question_queries, run_queries, source_queries, text_queries  # noqa: F401
+    from . import graph_queries, question_queries, run_queries, source_queries, template_queries, text_queries  # noqa: F401
