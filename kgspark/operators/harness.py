@@ -45,6 +45,22 @@ def trial_rows(questions: DataFrame, contexts: DataFrame, answers: DataFrame) ->
     })
 
 
+def manifest(questions: DataFrame, **factors: str) -> DataFrame:
+    """One row: a run's factors, how many questions it has, and a fingerprint of their ids."""
+    sha = F.lower(F.hex(F.expr("coalesce(bit_xor(xxhash64(cast(question_id as string))), 0)")))
+    return questions.agg(F.count("*").alias("questions"), sha.alias("questions_fingerprint")).select(*[F.lit(v).alias(k) for k, v in factors.items()], "questions", "questions_fingerprint")
+
+
+def active_corpus(profiles: DataFrame, asked: str | None, pointer: str | None) -> DataFrame:
+    """The build id asked for, else the pointer's, else null; one that has no profile is an error when the row is read."""
+    chosen = asked or pointer
+    own = profiles.sparkSession.createDataFrame([(chosen,)], "corpus_build_id string")
+    if chosen is None:
+        return own
+    known = own.join(profiles.select(F.col("corpus_build_id").alias("_known")).distinct(), F.col("corpus_build_id") == F.col("_known"), "left")
+    return known.select(F.when(F.col("_known").isNotNull(), F.col("corpus_build_id")).otherwise(F.raise_error(F.lit(f"no profile of corpus {chosen}"))).alias("corpus_build_id"))
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """By type: passed, judged, tokens; rows with errors only count as errors."""
     fine = F.col("error").isNull()

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import articles, graph, rdf, runs
+from ..functions.vector import norm
+from ..operators import harness
+from ..plans.compiler import execute
+from ..sources import articles, graph, rdf, runs, scratch, vectors
 from ..streaming import runs as streams
 from . import query
+from .graph_sql import sql
 
 NAMES = rdf.Names(
     prefixes={"kg": graph.PREDICATE, "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "xsd": "http://www.w3.org/2001/XMLSchema#", "cust": graph.BASE + "Customer/", "ord": graph.BASE + "Order/", "part": graph.BASE + "Part/"},
@@ -105,3 +109,110 @@ def st02(spark, sf_dir):
 @query("st03_once", "SELECT count(*) AS n FROM events")
 def st03(spark, sf_dir):
     return streams.run_to_end(streams.once(stream(spark, sf_dir)), f"st03_{abs(hash(sf_dir))}", "append").agg(F.count("*").alias("n"))
+
+
+@query("src01_json_nodes", "SELECT 'Customer' AS kind, 'C:' || c_custkey AS identifier, c_name || ' \"x\"\\' AS name FROM customer UNION ALL SELECT 'Part', 'p(' || p_partkey || ')', p_name FROM part UNION ALL SELECT 'Order', '' || o_orderkey, 'Order#' || o_orderkey FROM orders")
+def src01(spark, sf_dir):
+    """Nodes written as JSON lines and scanned again."""
+    path = scratch.new_folder(spark, "lines")
+    nodes, edges = property_graph(spark, sf_dir)
+    nodes.drop("pos").write.json(f"{path}/nodes")
+    edges.drop("pos").write.json(f"{path}/edges")
+    return rdf.read_lines(spark, f"{path}/nodes", f"{path}/edges")[0].select("kind", "identifier", "name")
+
+
+@query("src02_json_edges", "SELECT 'C:' || o_custkey AS s, '' || o_orderkey AS o, 'places' AS kind FROM orders")
+def src02(spark, sf_dir):
+    path = scratch.new_folder(spark, "lines")
+    nodes, edges = property_graph(spark, sf_dir)
+    nodes.drop("pos").write.json(f"{path}/nodes")
+    edges.drop("pos").write.json(f"{path}/edges")
+    return rdf.read_lines(spark, f"{path}/nodes", f"{path}/edges")[1].select(F.col("source_id")[1].alias("s"), F.col("target_id")[1].alias("o"), "kind")
+
+
+@query("src05_turtle_entities", "SELECT 'cust:' || c_custkey AS term, 'Customer' AS kind, c_name || ' \"x\"\\' AS label FROM customer UNION ALL SELECT '<" + graph.BASE + "Part/p(' || p_partkey || ')>', 'Part', p_name FROM part UNION ALL SELECT 'ord:' || o_orderkey, 'Order', 'Order#' || o_orderkey FROM orders")
+def src05(spark, sf_dir):
+    """The Turtle of the graph written and its entities read back."""
+    path = scratch.new_folder(spark, "turtle")
+    rdf.write_turtle(*property_graph(spark, sf_dir), NAMES, path)
+    return rdf.read_entities(spark, path)
+
+
+@query("src11_jsonl", "SELECT conv_id, turn, role, text FROM conversations")
+def src11(spark, sf_dir):
+    """Rows written as JSON lines (src12) and read with an explicit schema."""
+    path, rows = scratch.new_folder(spark, "rows"), spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    runs.write_rows(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("src13_discovered", "SELECT user_id AS question, event_type AS retriever FROM events WHERE event_type IN ('view', 'click')")
+def src13(spark, sf_dir):
+    """A run file and a manifest for two types of events, and a run file without a manifest."""
+    path = scratch.new_folder(spark, "runs")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    move = spark._jvm.org.apache.hadoop.fs.Path
+    for kind in ("view", "click", "error"):
+        parts = [(events.where(F.col("event_type") == kind).select(F.col("user_id").cast("string").alias("question_id")), "jsonl")]
+        if kind != "error":
+            parts.append((spark.createDataFrame([(kind, kind, "2026-01-01T00:00:00+0000")], "run_id string, retriever string, timestamp string"), "manifest.json"))
+        for df, suffix in parts:
+            df.coalesce(1).write.json(f"{path}/tmp-{kind}-{suffix}")
+            system = move(path).getFileSystem(spark._jsc.hadoopConfiguration())
+            for status in system.globStatus(move(f"{path}/tmp-{kind}-{suffix}/part-*")):
+                system.rename(status.getPath(), move(f"{path}/{kind}.{suffix}"))
+    rows, manifests = runs.discover(spark, path)
+    return rows.join(manifests.select("run_id", F.col("retriever").alias("r")), "run_id").select(F.col("question_id").cast("long").alias("question"), F.col("r").alias("retriever"))
+
+
+@query("src14_profiles", "SELECT 'b' || c_nationkey AS corpus_build_id, count(*) AS corpus_triples, CAST(NULL AS BIGINT) AS corpus_words FROM customer GROUP BY 1")
+def src14(spark, sf_dir):
+    path = scratch.new_folder(spark, "profiles")
+    counts = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey").count()
+    own = counts.select(F.concat(F.lit("b"), "c_nationkey").alias("corpus_build_id"), F.struct(F.col("count").alias("triples")).alias("graph"))
+    own.repartition(F.col("corpus_build_id")).write.option("maxRecordsPerFile", 1).json(path)
+    return runs.profiles(spark, path).select("corpus_build_id", "corpus_triples", "corpus_words")
+
+
+@query("src16_bulk_load", sql("SELECT p, count(*) AS n FROM triples GROUP BY 1", triples=True))
+def src16(spark, sf_dir):
+    """The graph stored by predicate, loaded again."""
+    path = scratch.new_folder(spark, "store")
+    graph.from_tables(spark, sf_dir).save(path)
+    return graph.Graph.load(spark, path).scan().groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query("src16_stored_query", sql(f"SELECT DISTINCT b.o AS p FROM places a JOIN contains b ON a.o = b.s WHERE a.s = '{graph.BASE}Customer/1'"))
+def src16_query(spark, sf_dir):
+    """A query over the stored graph: each pattern reads the partition of its predicate."""
+    path = scratch.new_folder(spark, "store")
+    graph.from_tables(spark, sf_dir).save(path)
+    return execute(graph.Graph.load(spark, path), f"SELECT DISTINCT ?p WHERE {{ <{graph.BASE}Customer/1> kg:places ?o . ?o kg:contains ?p }}")
+
+
+@query("src17_vector_collection", "SELECT vec_id, label, 1.0 AS length FROM embeddings")
+def src17(spark, sf_dir):
+    path = scratch.new_folder(spark, "vectors")
+    vectors.create(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), path)
+    return vectors.load(spark, path).select("vec_id", "label", F.round(norm(F.col("embedding")), 6).alias("length"))
+
+
+@query("src18_report")
+def src18(spark, sf_dir):
+    """The lines of a Markdown report of labelled documents as trial rows."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = labels.select(F.col("doc_id").cast("string").alias("question_id"), F.lpad(F.col("doc_id") % 3, 2, "0").alias("type_id"), (F.col("quality") == 1).alias("passed"), F.col("quality").cast("double").alias("score"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("judged"), F.lit(1).alias("input_tokens"))
+    text = harness.report(rows, {"run_id": "r1", "judge": "quality"})
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "n int, line string")
+
+
+@query("hn04_manifest", "SELECT 'r1' AS run_id, count(*) AS questions, 'v1' AS harness_version FROM labels")
+def hn04(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "question_id")
+    return harness.manifest(labels, run_id="r1", harness_version="v1").select("run_id", "questions", "harness_version")
+
+
+@query("hn07_active_corpus", "SELECT 'b1' AS corpus_build_id")
+def hn07(spark, sf_dir):
+    profiles = spark.createDataFrame([("b1",), ("b2",)], "corpus_build_id string")
+    return harness.active_corpus(profiles, None, "b1")
