@@ -35,6 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shared
@@ -44,6 +45,7 @@ from .kernels import Words, chunks, grams, mix, released, sequence_value
 BLOCK = 512  # sets of a block at most, and no more than BLOCK_SHINGLES in it unless one set has more; a tile compares two blocks
 BLOCK_SHINGLES = 200_000
 COMMON = 16  # sets of a key before sets with enough other keys leave it out
+FILTER_BITS = 1 << 25  # of the filter of wanted sets, broadcast to all tasks: 4 MB
 BAND = 1.4  # a size band reaches to this multiple of its least size
 ONE = np.uint64(1)
 
@@ -140,20 +142,39 @@ def signed(n: int, num: int, den: int) -> Callable:
     return run
 
 
-def arrays(n: int) -> Callable:
-    """(text) -> (set, data): names and sorted arrays."""
+def arrays(n: int, wanted: Broadcast) -> Callable:
+    """(text) -> (set, data): sorted arrays of the sets that the filter lets pass, each once in a partition."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        mask = wanted.value
         for batch in batches:
             for _, words in chunks(batch, "text", lower=True):
-                all_ = [v for v in sets(words, n) if len(v)]
-                if all_:
-                    yield pa.RecordBatch.from_pydict({"set": pa.array([name_of(v) for v in all_], pa.int64()), "data": pa.array([v.tobytes() for v in all_], pa.binary())})
+                names, data = [], []
+                for values in sets(words, n):
+                    name = name_of(values) if len(values) else None
+                    at = (name or 0) & FILTER_BITS - 1
+                    if name is not None and name not in seen and int(mask[at >> 6]) >> (at & 63) & 1:
+                        seen.add(name)
+                        names.append(name)
+                        data.append(values.tobytes())
+                if names:
+                    yield pa.RecordBatch.from_pydict({"set": pa.array(names, pa.int64()), "data": pa.array(data, pa.binary())})
 
     return run
 
 
+def filter_of(names: DataFrame) -> Broadcast:
+    """A bit for each remainder of the names: FILTER_BITS bits, however many names there are."""
+    at = F.col("set").bitwiseAND(FILTER_BITS - 1)
+    bit = F.expr(f"shiftleft(1L, cast((set & {FILTER_BITS - 1}) & 63 as int))")
+    words = names.select(F.shiftright(at, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    mask = np.zeros(FILTER_BITS // 64, np.int64)
+    mask[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return names.sparkSession.sparkContext.broadcast(mask.view(np.uint64))
+
+
 def width_of(size: int) -> int:
     """Bits of a set's bitmap: a power of two, at least twice its size."""
     return 1 << max(6, int(2 * size).bit_length())
@@ -291,8 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = components(stars.select(F.col("set").alias("u"), F.col("least").alias("v")).distinct(), "classes")
     classes = classes.select(F.explode(F.array("node", "component")).alias("node"), "component").distinct()
 
-    # One text for each set of a class, by the least id that has it.
-    chosen = marked.where("set is not null").join(classes, F.col("set") == F.col("node")).groupBy("set", "component", "size").agg(F.min("id").alias("least_id"))
+    chosen = marked.where("bands is not null").join(classes, F.col("set") == F.col("node")).select("set", "component", "size").distinct()
     chosen = shared.written(chosen, "chosen")
     shared.drop(stars_table)
     bits = marked.where("bits is not null").groupBy("set").agg(F.first("bits").alias("data"))
@@ -302,8 +322,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen, coarse = shared.written(chosen.drop("component").join(classes, "set"), "chosen"), chosen
     shared.drop(coarse)
 
-    texts = rows.join(chosen.select("least_id").distinct(), rows["id"].eqNullSafe(F.col("least_id")), "left_semi")
-    full = texts.select("text").mapInArrow(arrays(n), "set long, data binary").dropDuplicates(["set"])
+    # Arrays of the sets of these classes, and of some others that the filter lets pass and the join drops.
+    full = rows.select("text").mapInArrow(arrays(n, filter_of(chosen)), "set long, data binary").dropDuplicates(["set"])
     linked = components(compared(full, chosen, num, den, block, exact=True), "linked")
     shared.drop(chosen)
 
