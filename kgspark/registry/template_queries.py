@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import templates, validate
+from ..operators import retrieve, templates, validate
+from ..plans.algebra import InvalidQuery
+from ..plans.sparql import canonical_text, parse
 from ..sources import graph as g
 from . import query
 from .graph_sql import B, sql
@@ -61,3 +63,34 @@ def sm19(spark, sf_dir):
     own = [t for t in templates.registry() if t.mode in ("has_edge", "lacks_edge", "fixed")]
     meta = spark.createDataFrame([(t.id, t.count, t.low, t.high) for t in own], "template_id string, count int, min_answer int, max_answer int")
     return validate.problems(reduce(DataFrame.unionByName, [templates.instantiate(graph, t) for t in own]), meta)
+
+
+def fixed(key: str, rows: list[tuple[str, str]], want: list[tuple[str, str]]) -> None:
+    """A driver-side text operator over given cases, as rows."""
+    cell = lambda s: "'" + s.replace("'", "''") + "'"
+
+    @query(key, "SELECT * FROM (VALUES " + ", ".join(f"({cell(a)}, {cell(b)})" for a, b in want) + ") AS t(name, value)")
+    def run(spark, sf_dir):
+        return spark.createDataFrame(rows, "name string, value string")
+
+
+def accepted(text: str) -> str:
+    try:
+        return "query" if parse(text) else ""
+    except InvalidQuery:
+        return "miss"
+
+
+TEXTS = {"plain": "SELECT ?s WHERE { ?s ?p ?o }", "led": "PREFIX x: <y:>\nASK { ?s x:p ?o }", "update": "DELETE WHERE { ?s ?p ?o }", "refusal": "I cannot say."}
+fixed("gq29_canonical_text", [("a", canonical_text("# head\nSELECT ?x  # why\nWHERE { ?x ?p ?o }"))], [("a", "SELECT ?x\nWHERE { ?x ?p ?o }")])
+fixed("rt09_fences", [(k, retrieve.extract_query(f)) for k, f in {"closed": "ok\n```sparql\nASK {}\n```\nend", "open": "```\nASK {}", "bare": " ASK {} "}.items()], [(k, "ASK {}") for k in ("closed", "open", "bare")])
+fixed("rt10_gate", [(k, accepted(t)) for k, t in TEXTS.items()], [("plain", "query"), ("led", "query"), ("update", "miss"), ("refusal", "miss")])
+fixed("rt11_bounds", [(k, str(retrieve.bounded(parse(t)).limit)) for k, t in {"plain": TEXTS["plain"], "own": TEXTS["plain"] + " LIMIT 5", "count": "SELECT (COUNT(*) AS ?n) WHERE { ?s ?p ?o }", "led": "PREFIX x: <y:>\nSELECT ?s WHERE { ?s x:p ?o }"}.items()], [("plain", "200"), ("own", "5"), ("count", "None"), ("led", "200")])
+fixed("rt13_registry", [(k, "retriever") for k in retrieve.REGISTRY], [(k, "retriever") for k in ("closed_book", "graph_neighborhood_1hop", "graph_neighborhood_2hop")])
+
+
+@query("sm15_explain")
+def sm15(spark, sf_dir):
+    """The lines that say how a template's questions came about."""
+    text = templates.explain(g.from_tables(spark, sf_dir), template("segment_of_customer"))
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "n int, line string")
