@@ -22,7 +22,7 @@ def duck(sf):
 
 def rows(names, values):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    cell = lambda x: f"{x:.9g}" if isinstance(x, (float, decimal.Decimal)) else str(int(x)) if isinstance(x, bool) else str(x)
+    cell = lambda x: f"{float(x):.9g}" if isinstance(x, (float, decimal.Decimal)) else str(int(x)) if isinstance(x, bool) else str(x)
     return sorted(tuple(cell(float(r[i]) if isinstance(r[i], int) and not isinstance(r[i], bool) else r[i]) for i in order) for r in values)
 
 
