@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .kernels import released
 
-MEMO_ENTRIES = 250_000  # pre-tokens remembered in a worker before the memo is emptied
+MEMO_ENTRIES = 400_000  # pre-tokens remembered in a worker before the memo is emptied
 
 
 class PerfectHash:

@@ -2,8 +2,8 @@
 
 Edges never reach the driver.  Each partition first replaces its edges by a
 star forest (local union-find), which also shortens paths; then large-star and
-small-star steps alternate until the edges no longer change.  The few rounds are
-held by the executors with their lineage; only the result is a written table.
+small-star steps alternate until the edges no longer change.  Every round is a
+written table of few files.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import shared
 
 EDGE = "u long, v long"
+FILE_ROWS = 500_000  # edges of a file of a round
 
 
 def star_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,13 +43,6 @@ def star_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"u": pa.array(part, pa.int64()), "v": pa.array([root(x) for x in part], pa.int64())})
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df held by the executors; a part that is lost with one is computed again."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
-
-
 def to_least(rows: DataFrame) -> DataFrame:
     """(u, v, m) -> the edges (v, m) and (u, m).  Rows are exploded, not united, so no partitioning is taken over."""
     pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
@@ -62,8 +56,9 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     table are fine.  The result reads a table in the shared folder.
     """
     # Kept first: a stage that runs two Python functions at once has twice the workers.
-    given = kept(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v"))
-    state = kept(given.mapInArrow(star_forest, EDGE).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    given = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").persist(StorageLevel.MEMORY_AND_DISK)
+    parts = max(1, given.count() // FILE_ROWS)
+    state = shared.written(given.mapInArrow(star_forest, EDGE).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(parts), name)
     given.unpersist()
     mark = None
     for _ in range(rounds):
@@ -74,8 +69,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         # small star: neighbours below u, and u itself, to the least of them
         small = to_least(down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u"))
-        after = kept(small.mapInArrow(star_forest, EDGE).distinct())
-        state.unpersist()
+        after = shared.written(small.mapInArrow(star_forest, EDGE).distinct().coalesce(parts), name)
+        shared.drop(state)
         state = after
         now = tuple(state.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first())
         if now == mark:
@@ -83,6 +78,4 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         mark = now
     else:
         raise RuntimeError("components did not settle")
-    out = shared.written(state.select(F.col("u").alias("node"), F.col("v").alias("component")), name)
-    state.unpersist()
-    return out
+    return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
