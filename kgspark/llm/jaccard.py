@@ -298,25 +298,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = shared.written(rows.mapInArrow(signed(n, num, den), f"id {id_type}, size long, set long, bits binary, bands array<struct<spare:int,keys:array<long>>>"), "signed")
 
     keys = marked.where("bands is not null").select("set", F.posexplode("bands").alias("band", "b")).select("set", "band", F.col("b.spare").alias("spare"), F.explode("b.keys").alias("key"))
-    held = Window.partitionBy("key").orderBy("set")
-    first = F.first("set").over(held.rowsBetween(Window.unboundedPreceding, 0))
-    nth = F.row_number().over(held)
-    # Members of a key beyond the first, and how many the key has; the last row of a key has the number of all.
-    stars = keys.select("set", "band", "spare", "key", first.alias("least"), nth.alias("nth"), F.lead("set").over(held).isNull().alias("last"))
-    stars = stars_table = shared.written(stars.where("set <> least"), "stars")
-    wide = stars.where(F.col("last") & (F.col("nth") > common)).select("key", F.lit(True).alias("common"))
-    stars = stars.join(wide, "key", "left").withColumn("common", F.coalesce("common", F.lit(False)))
-    crowded = stars.where("common").select(F.explode(F.array("set", "least")).alias("set"), "band", "key").distinct()
-    crowded = crowded.groupBy("set", "band").agg(F.count("*").alias("crowded"))
-    stars = stars.join(crowded, ["set", "band"], "left").where("not common or crowded > spare")
-    classes = components(stars.select(F.col("set").alias("u"), F.col("least").alias("v")).distinct(), "classes")
+    held = Window.partitionBy("key").orderBy("set").rowsBetween(Window.unboundedPreceding, 0)
+    many = F.count("*").over(Window.partitionBy("key")) > common
+    stars = keys.select("set", "band", "spare", "key", F.first("set").over(held).alias("least"), many.alias("common")).where("set <> least or common")
+    # Of each set and band, one row: whom it meets by its keys, and how many of these very many sets have.
+    met = stars.groupBy("set", "band", "spare").agg(
+        F.collect_set(F.when(~F.col("common"), F.col("least"))).alias("own"),
+        F.collect_set(F.when(F.col("common"), F.col("least"))).alias("shared"),
+        F.size(F.collect_set(F.when(F.col("common"), F.col("key")))).alias("crowded"),
+    )
+    stars = met.select("set", F.explode(F.when(F.col("crowded") > F.col("spare"), F.array_union("own", "shared")).otherwise(F.col("own"))).alias("least")).where("set <> least")
+    classes = components(stars.select(F.col("set").alias("u"), F.col("least").alias("v")), "classes")
     classes = classes.select(F.explode(F.array("node", "component")).alias("node"), "component").distinct()
 
     chosen = marked.where("bands is not null").join(classes, F.col("set") == F.col("node")).select("set", "component", "size").distinct()
     chosen = shared.written(chosen, "chosen")
-    shared.drop(stars_table)
     bits = marked.where("bits is not null").groupBy("set").agg(F.first("bits").alias("data"))
-    maybe = compared(bits, chosen, num, den, block, exact=False)
+    maybe = compared(bits, chosen, num, den, 4 * block, exact=False)
     classes = components(maybe, "refined")
     classes = classes.select(F.explode(F.array("node", "component")).alias("set"), "component").distinct()
     chosen, coarse = shared.written(chosen.drop("component").join(classes, "set"), "chosen"), chosen
