@@ -24,15 +24,25 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of near duplicates (5 words, 0.8) the document of the least id stays."""
-    classes = jaccard.near_duplicates(docs.select("doc_id", "text"), n=5, num=80, den=100)
-    classes = shared.written(classes, "near")
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    # rows share an id: the least of those that have it
-    return out.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"])).alias("r")).select("doc_id", "r.*").select(docs.columns)
+    """N-gram Jaccard join: of each group of near duplicates (5 words, 0.8) one row stays, all texts without words stay.
+
+    It is the row of the least id (null ids come last), of rows that share it the
+    one of the least hash of all columns.  Rows are told apart by id and hash, so
+    neither null nor repeated ids cost a text that is no near copy.
+    """
+    # (nulls are marked: the hash passes over them)
+    content = F.xxhash64(*[F.col(c) for c in docs.columns], *[F.col(c).isNull() for c in docs.columns])
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), content.alias("hash")).alias("_row"), "text")
+    classes = shared.written(jaccard.near_duplicates(rows, id_col="_row", n=5, num=80, den=100), "near")
+    kept = classes.where(F.col("_row") == F.col("component_id")).groupBy(F.col("_row.id").alias("_id"), F.col("_row.hash").alias("_hash"))
+    kept = kept.agg((F.count_if(F.col("n_shingles") > 0) > 1).alias("_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (content == F.col("_hash"))
+    copies = kept.where("_copies")
+    if copies.isEmpty():
+        return docs.join(kept, same, "left_semi")
+    # whole rows repeat: one of each stays
+    once = docs.join(kept.where("not _copies"), same, "left_semi")
+    return once.union(docs.join(copies, same, "left_semi").withColumn("_hash", content).dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

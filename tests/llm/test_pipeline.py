@@ -75,3 +75,19 @@ def test_tokens_decode_to_the_texts(steps):
 
 def test_run_gives_the_last_stage(spark, steps):
     assert corpus_pipeline.run(spark, SF).count() == len(steps[5])
+
+
+def test_null_and_repeated_ids_cost_no_other_text(spark):
+    words = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    rows = [
+        (3, words("a"), "x"), (7, words("b"), "x"), (7, words("a") + " end", "x"),  # id 7: a text of its own, and a near copy of 3
+        (None, words("c"), "x"), (None, words("d"), "x"), (None, words("d"), "x"), (None, words("a") + " stop", "x"),  # null ids
+        (8, words("e"), "x"), (8, words("e"), "x"), (8, words("e"), None), (9, words("f"), "x"), (9, words("g"), "x"),
+        (None, None, "x"), (None, None, "x"), (10, "", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.distinct(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == Counter([(3, words("a")), (7, words("b")), (None, words("c")), (None, words("d")), (8, words("e")), (9, words("f")), (9, words("g")), (None, None), (None, None), (10, "")])
+    assert corpus_pipeline.distinct(spark, docs.limit(0), SF).count() == 0
