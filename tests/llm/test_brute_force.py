@@ -160,6 +160,34 @@ def test_clean_text_stays():
         assert pseudonyms.Pseudonyms(b"k").replace(text) == (text, {})
 
 
+CARD, IBAN = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+
+
+@pytest.mark.parametrize("value", [CARD, "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005", IBAN, IBAN.replace(" ", ""), "+44 20 7946 0958", "123-45-6789", "97.51.17.173", "2021-03-04", "und.34@mail7.example.com", "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"])
+@pytest.mark.parametrize("beside", ["{} 2027", "{} 123", "{} BIC", "{} BIC CODE 2027", "NR12 {}", "1234 5678 9012 {}", "{} 2027-01-01", "{} " + CARD])
+def test_values_beside_digits_and_capitals(value, beside):
+    there = pseudonyms.Pseudonyms(b"k")
+    alone, text = there.replace(value)[0], beside.format(value)
+    if value.startswith("+") and beside == "{} 123":
+        return  # that is a longer telephone number
+    out = there.replace(text)[0]
+    assert alone != value and alone in out and value not in out
+    assert CARD not in out and "2027-01-01" not in out
+    if "1234" not in beside and "NR12" not in beside:
+        assert pseudonyms.Pseudonyms(b"k", True).replace(out)[0] == text
+
+
+def test_values_behind_what_is_not_valid():
+    there = pseudonyms.Pseudonyms(b"k")
+    secret = "AB12CDEF0123456789ABCDEF01234567"
+    assert secret not in there.replace(secret)[0]  # not an IBAN, but hex
+    assert "123-45-6789" not in there.replace("1234 5678 9012 123-45-6789")[0] and "-6789" not in there.replace("1234 5678 9012 123-45-6789")[0]
+    assert ".0.0.1" not in there.replace("+1 555 123 4567 10.0.0.1")[0]
+    long = "1234 5678 9012 3456 789"  # a number of 19 digits
+    out, counts = there.replace(long)
+    assert counts == {"number": 1} and pseudonyms.Pseudonyms(b"k", True).replace(out)[0] == long
+
+
 def test_pii_of_documents_goes(spark, texts):
     find = re.compile(r"\b\d{16}\b|[\w.]+@[\w.]+\.\w+|\+\d \(\d{3}\) \d{3}-\d{4}|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b[0-9a-f]{40}\b")
     for r in queries.op4_pseudonyms(spark, SF).collect():
