@@ -49,7 +49,7 @@ def to_least(rows: DataFrame) -> DataFrame:
     return rows.select(F.inline(pairs)).where("u is not null and u <> v")
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", rounds: int = 500) -> DataFrame:
     """edges (u, v: long, not null) -> (node, component), component the smallest node reachable.
 
     Nodes without an edge are absent.  Self-loops, repeated edges and an empty

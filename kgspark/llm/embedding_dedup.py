@@ -4,7 +4,8 @@ Equal vectors are one node.  A rotation to principal axes, fitted on a bounded
 sample, puts the directions of large variance first; a rotation keeps cosines,
 so the sample never affects the result.  Nodes are packed into blocks of nearby
 vectors (cells along the leading axes).  A pair of blocks is skipped when the
-angle of their centres exceeds their angular radii and the threshold's angle.
+angle of their centres exceeds their angular radii and the threshold's angle, and
+so are whole pairs of cells, so that blocks are only paired within pairs of cells.
 In a tile the leading coordinates are multiplied first, and Cauchy-Schwarz on
 the norms of the rest bounds the cosine; pairs that can still reach the
 threshold get more coordinates and then the cosine of the given components in
@@ -35,6 +36,7 @@ from .kernels import released
 from .vectors import block_count, matrix, packed, usable
 
 SAMPLE = 5_000  # vectors that the rotation and the cells are fitted on
+LEAST_SAMPLE = 50  # of a length; rarer lengths are compared without a rotation, in one cell
 BLOCK = 4096
 TILE = 512
 SLACK = 1e-5  # for products in single precision
@@ -68,7 +70,13 @@ def cell_of(x: np.ndarray, cuts: list[float], depth: int) -> np.ndarray:
     return node - (2**depth - 1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows brought near 1 by powers of two: cosines stay, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if len(x) else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -135,7 +143,8 @@ def compare(axes: dict[int, np.ndarray], least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own = axes[row["length"]]
+                own = axes.get(row["length"])
+                own = np.eye(row["length"]) if own is None else own
                 blocks = [(np.frombuffer(row[f"{s}_names"], np.int64), np.frombuffer(row[f"{s}_weights"], np.int64), np.frombuffer(row[f"{s}_data"], np.float64).reshape(-1, row["length"])) for s in "ab"]
                 tile = Tile(*blocks, own, least, row["a"] == row["b"])
                 tile.run()
@@ -161,19 +170,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     seen = nodes.orderBy("name").limit(sample).select("length", "vector").toArrow()
     depth = min(10, max(0, (block_count(total, block) - 1).bit_length()))
     axes, cuts = {}, {}
-    for length in nodes.select("length").distinct().limit(1000).toArrow().column("length").to_pylist():
+    for length in pc.unique(seen.column("length")).to_pylist():
         own = matrix(seen.filter(pc.equal(seen.column("length"), length)).column("vector"))
-        own = unit(own) if len(own) else np.zeros((0, length))
-        axes[length] = axes_of(own, length)
-        cuts[length] = median_cuts(own @ axes[length], min(depth, length))
+        if len(own) >= LEAST_SAMPLE:
+            own = unit(own)
+            axes[length] = axes_of(own, length)
+            cuts[length] = median_cuts(own @ axes[length], min(depth, length))
 
     def with_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column("length").to_numpy()
             for length in np.unique(lengths).tolist():
                 part = batch.filter(pa.array(lengths == length))
-                x = unit(matrix(part.column("vector"))) @ axes[length]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell_of(x, cuts[length], min(depth, length)), pa.int64())], [*part.schema.names, "cell"])
+                cell = np.zeros(part.num_rows, int)
+                if length in axes:
+                    cell = cell_of(unit(matrix(part.column("vector"))) @ axes[length], cuts[length], min(depth, length))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int64())], [*part.schema.names, "cell"])
 
     celled = shared.written(nodes.mapInArrow(with_cell, "name long, vector array<double>, weight long, length int, cell long"), "cells")
     shared.drop(nodes)
@@ -182,31 +194,34 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     celled = celled.join(F.broadcast(parts), ["length", "cell"])
     celled = celled.withColumn("block", F.xxhash64("length", "cell", F.pmod("name", "parts")))
 
-    def pack(group: pa.Table) -> dict:
-        x = matrix(group.column("vector"))
-        u = unit(x)
+    def ball(u: np.ndarray, angles: np.ndarray | float) -> dict:
         centre = u.sum(0)
         norm = np.linalg.norm(centre)
         centre = centre / norm if norm > 0 else u[0]
-        return {"names": group.column("name").to_numpy().tobytes(), "weights": group.column("weight").to_numpy().tobytes(), "data": x.tobytes(), "centre": centre.tolist(), "angle": float(np.arccos(np.clip((u @ centre).min(), -1, 1)))}
+        return {"centre": centre.tolist(), "angle": float((np.arccos(np.clip(u @ centre, -1, 1)) + angles).max())}
+
+    def pack(group: pa.Table) -> dict:
+        x = scaled(matrix(group.column("vector")))
+        return {"names": group.column("name").to_numpy().tobytes(), "weights": group.column("weight").to_numpy().tobytes(), "data": x.tobytes()} | ball(unit(x), 0.0)
 
-    blocks = packed(celled.select("block", "length", "name", "weight", "vector"), ["block", "length"], pack, "block long, length int, names binary, weights binary, data binary, centre array<double>, angle double")
+    blocks = packed(celled.select("block", "length", "cell", "name", "weight", "vector"), ["block", "length", "cell"], pack, "block long, length int, cell long, names binary, weights binary, data binary, centre array<double>, angle double")
     blocks = shared.written(blocks, "blocks")
-    # Blocks are numbered, so that pairs of them can be listed and met by number.
-    numbers = {r[0]: i for i, r in enumerate(blocks.select("block").orderBy("block").collect())}
-    numbered = vectors.sparkSession.createDataFrame([(k, i) for k, i in numbers.items()], "block long, number int")
-    stats = blocks.select("block", "length", "centre", "angle").join(numbered, "block")
-    a = stats.select(*[F.col(c).alias(f"a_{c}") for c in ("block", "centre", "angle")], F.col("number").alias("a"), "length")
-    b = stats.select(*[F.col(c).alias(f"b_{c}") for c in ("block", "centre", "angle")], F.col("number").alias("b"), "length")
+    # Pairs of cells that can meet (of at most 1024 cells of a length), then the pairs of their blocks.
+    stats = blocks.select("block", "length", "cell", "centre", "angle")
+    cells = packed(stats, ["length", "cell"], lambda group: ball(matrix(group.column("centre")), group.column("angle").to_numpy()), "length int, cell long, centre array<double>, angle double")
+    cells = shared.written(cells, "balls")
+    side = lambda df, s, *names: df.select("length", *[F.col(c).alias(f"{s}_{c}") for c in names])
     product = F.aggregate(F.zip_with("a_centre", "b_centre", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
     reach = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), product))) <= F.col("a_angle") + F.col("b_angle") + float(np.arccos(least)) + 1e-6
-    pairs = a.withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(len(numbers) - 1)))).join(b, ["b", "length"]).where(reach | (F.col("a") == F.col("b"))).select("a", "b", "a_block", "b_block", "length") if numbers else None
-    if pairs is not None:
-        side = lambda s: blocks.select(F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in ("names", "weights", "data")])
-        tiles = pairs.join(side("a"), "a_block").join(side("b"), "b_block").repartition(max(1, min(10_000, len(numbers) * 4)))
-        found = shared.written(tiles.select("a", "b", "length", *[f"{s}_{c}" for s in "ab" for c in ("names", "weights", "data")]).mapInArrow(compare(axes, least), "u long, v long, links long"), "links")
-    else:
-        found = vectors.sparkSession.createDataFrame([], "u long, v long, links long")
+    ball_of = ("cell", "centre", "angle")
+    met = side(cells, "a", *ball_of).join(side(cells, "b", *ball_of), "length").where((F.col("a_cell") <= F.col("b_cell")) & (reach | (F.col("a_cell") == F.col("b_cell")))).select("length", "a_cell", "b_cell")
+    pairs = met.join(side(stats, "a", "block", *ball_of), ["length", "a_cell"]).join(side(stats, "b", "block", *ball_of), ["length", "b_cell"])
+    pairs = pairs.where((F.col("a_cell") < F.col("b_cell")) | (F.col("a_block") <= F.col("b_block"))).where(reach | (F.col("a_block") == F.col("b_block"))).select("length", "a_block", "b_block")
+    pairs = shared.written(pairs, "pairs")
+    data = lambda s: side(blocks, s, "block", "names", "weights", "data").drop("length")
+    tiles = pairs.join(data("a"), "a_block").join(data("b"), "b_block").repartition(max(1, min(10_000, pairs.count())))
+    tiles = tiles.select(F.col("a_block").alias("a"), F.col("b_block").alias("b"), "length", *[f"{s}_{c}" for s in "ab" for c in ("names", "weights", "data")])
+    found = shared.written(tiles.mapInArrow(compare(axes, least), "u long, v long, links long"), "links")
     classes = components(found.where("v is not null"), "vectors").withColumnRenamed("node", "name")
     linked = found.where("v is null").groupBy(F.col("u").alias("name")).agg(F.sum("links").alias("others"))
     weights = celled.select("name", "weight").join(classes, "name", "left").join(linked, "name", "left")
