@@ -163,7 +163,7 @@ def tree_of(k: int, scale: float) -> Callable:
 
 
 def searcher(k: int) -> Callable:
-    """Rows (q, share, query_tree, data_tree), sorted by (q, share) -> (query_id, vec_id, score)."""
+    """Rows (q, length, share, query_tree, data_tree), sorted by the first three -> (query_id, vec_id, score)."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def searcher(k: int) -> Callable:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                key = (batch.column("q")[i].as_py(), batch.column("share")[i].as_py())
+                key = tuple(batch.column(c)[i].as_py() for c in ("q", "length", "share"))
                 if key != last:
                     if search:
                         yield results()
@@ -203,8 +203,7 @@ def top_k(data: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     # every query block goes to every data block, by number
     asked = asked.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))))
     pairs = asked.join(index, ["p", "length"]).withColumn("share", F.pmod("p", F.lit(max(1, min(shares, n_data)))))
-    pairs = pairs.withColumn("q", F.col("q") * 100_000 + F.col("length"))
-    found = pairs.repartition(max(1, min(n_query * min(shares, n_data), 10_000)), "q", "share").sortWithinPartitions("q", "share").mapInArrow(searcher(k), "query_id long, vec_id long, score long")
+    found = pairs.repartition(max(1, min(n_query * min(shares, n_data), 10_000)), "q", "length", "share").sortWithinPartitions("q", "length", "share").mapInArrow(searcher(k), "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
