@@ -21,6 +21,10 @@ A price of this: beside other digits, about one pseudonym in ten can make a
 valid card with them (one in 97 an IBAN), and ``restore`` then reads that
 instead.  Values that stand apart are always restored.
 
+Only the ASCII digits are digits of a value; numbers in other digits stay, and are
+not counted.  A date has one pseudonym however it is written: it goes to dates
+whose month and day have as many digits.
+
 Defined cases: null texts stay null, empty ones empty; texts without a value
 stay as they are, byte for byte; repeated rows get equal results; very long
 texts are searched whole; all columns are kept, only the text column changes.
@@ -43,19 +47,22 @@ from .kernels import column_buffer, released
 
 ROUNDS = 10
 MEMO_ENTRIES = 200_000
+LONGEST = 256  # characters permuted as one number
 KINDS = ["email", "date", "ipv4", "iban", "secret", "phone", "ssn", "card", "number"]
 #: What stands before, in and behind a value of each kind.
 PATTERNS = {
     "email": ("", r"[\w.+%-]*\w@\w[\w-]*(?:\.\w[\w-]*)*\.[A-Za-z]{2,}", ""),
-    "date": (r"(?<![\w.-])", r"(?:\d{4}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{1,2}|\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4})", r"(?![\w-]|\.\d)"),
-    "ipv4": (r"(?<![\w.])", r"\d{1,3}(?:\.\d{1,3}){3}", r"(?!\w|\.\d)"),
-    "iban": (r"(?<!\w)", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?!\w)"),
+    "date": (r"(?<![\w.-])", r"(?:[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{1,2}|[0-9]{1,2}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{4})", r"(?![\w-]|\.[0-9])"),
+    "ipv4": (r"(?<![\w.])", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"(?!\w|\.[0-9])"),
+    "iban": (r"(?<!\w)", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?!\w)"),
     "secret": (r"(?<!\w)", r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})", r"(?!\w)"),
-    "phone": (r"(?<!\w)", r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})", r"(?!\w|-\d)"),
-    "ssn": (r"(?<![\w-])", r"\d{3}-\d{2}-\d{4}", r"(?!\w|-\d)"),
-    "number": (r"(?<!\w)", r"(?:\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,4})?|\d{4}[ -]\d{6}[ -]\d{5}|\d{9,19})", r"(?!\w)"),
+    "phone": (r"(?<!\w)", r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})", r"(?!\w|-[0-9])"),
+    "ssn": (r"(?<![\w-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?!\w|-[0-9])"),
+    "number": (r"(?<!\w)", r"(?:[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{9,19})", r"(?!\w)"),
 }
-FIND = re.compile("|".join(f"{before}(?P<{kind}>{body}){behind}" for kind, (before, body, behind) in PATTERNS.items()))
+FIND = re.compile("|".join(f"{before}(?P<{kind}>{body}){behind}" for kind, (before, body, behind) in PATTERNS.items() if kind != "email"))
+DOMAIN = re.compile(r"(?<=\w)@\w[\w-]*(?:\.\w[\w-]*)*\.[A-Za-z]{2,}")  # an address is looked for from its @
+LOCAL = re.compile(r"[\w.+%-]")
 ALONE = {kind: re.compile("".join(parts)) for kind, parts in PATTERNS.items()}
 BODY = {kind: re.compile(PATTERNS[kind][1]) for kind in ("iban", "phone", "number")}  # the kinds of several words
 ORDER = list(PATTERNS)
@@ -102,6 +109,14 @@ class Feistel:
         return self._walk(x, n, tweak, True)
 
 
+def local_start(text: str, sign: int) -> int:
+    """Where the part of an address before its @ begins."""
+    start = sign
+    while start > 0 and LOCAL.match(text, start - 1):
+        start -= 1
+    return start
+
+
 def luhn(digits: str) -> int:
     """The check digit that belongs behind the digits."""
     total = 0
@@ -150,7 +165,10 @@ class Pseudonyms:
         return (self.feistel.back if self.reverse else self.feistel.forward)(rank, n, tweak.encode())
 
     def characters(self, text: str, kind: str, alphabets: list[str]) -> str:
-        """Permute the characters that have an alphabet, as one mixed-radix number; others stay."""
+        """Permute the characters that have an alphabet, as one mixed-radix number (LONGEST of them at a time); others stay."""
+        if len(text) > LONGEST:
+            cut = range(0, len(text), LONGEST)
+            return "".join(self.characters(text[i : i + LONGEST], f"{kind}{i}/{len(text)}", alphabets[i : i + LONGEST]) for i in cut)
         rank, n = 0, 1
         for c, own in zip(text, alphabets, strict=True):
             if own:
@@ -180,20 +198,17 @@ class Pseudonyms:
             return None
         if not 0 <= rank < DAYS:
             return None
-        # Within the dates that this way of writing can hold and that read back in the same way.
         widths = [len(parts[i]) for i in (0, 2, 4)]
 
-        def text_of(d: datetime.date) -> str | None:
-            fields = (d.year, d.month, d.day) if year_first else (d.month, d.day, d.year) if swapped else (d.day, d.month, d.year)
-            written = [str(f).zfill(w) for f, w in zip(fields, widths, strict=True)]
-            if [len(w) for w in written] != widths or swapped and d.day <= 12:
-                return None
-            return parts[1].join(written)
-
+        # Within the dates that every way of writing this one can hold: so all its spellings get the same date.
+        shape = lambda d: (d.month < 10, d.day < 10, d.day > 12)
+        own = shape(datetime.date(year, month, day))
         while True:
             rank = self.permute(rank, DAYS, "date")
-            if (out := text_of(datetime.date.fromordinal(rank + FIRST_DAY))) is not None:
-                return out
+            d = datetime.date.fromordinal(rank + FIRST_DAY)
+            if shape(d) == own:
+                fields = (d.year, d.month, d.day) if year_first else (d.month, d.day, d.year) if swapped else (d.day, d.month, d.year)
+                return parts[1].join(str(f).zfill(w) for f, w in zip(fields, widths, strict=True))
 
     def value(self, kind: str, text: str) -> tuple[str, str] | None:
         """(kind, pseudonym) of a match, or None if it isn't valid."""
@@ -242,6 +257,8 @@ class Pseudonyms:
                 return "number", text
 
     def known(self, kind: str, text: str) -> tuple[str, str] | None:
+        if len(text) > LONGEST:
+            return self.value(kind, text)
         key = (kind, text)
         if key not in self.memo:
             if len(self.memo) >= MEMO_ENTRIES:
@@ -273,9 +290,20 @@ class Pseudonyms:
         """The text with pseudonyms, and the number of values of each kind."""
         counts: dict[str, int] = {}
         out, done, at = [], 0, 0
-        while found := FIND.search(text, at):
-            start, stop = found.span()
-            got = self.valid(text, start, ORDER[ORDER.index(found.lastgroup) :])
+        found, sign, run = FIND.search(text), text.find("@"), -1  # run: where the part before the sign begins
+        while True:
+            if found and found.start() < at:
+                found = FIND.search(text, at)
+            while 0 <= sign and not (sign > at and DOMAIN.match(text, sign)):
+                sign, run = text.find("@", sign + 1), -1
+            if sign >= 0 and run < 0:
+                run = local_start(text, sign)
+            if not found and sign < 0:
+                break
+            start, stop, kind = (*found.span(), found.lastgroup) if found else (len(text), 0, "")
+            if sign >= 0 and (first := max(at, run)) <= start:
+                start, stop, kind = first, DOMAIN.match(text, sign).end(), "email"
+            got = self.valid(text, start, ORDER[ORDER.index(kind) :])
             end = got[0] if got else stop
             if not got or got[1][0] in ("phone", "card") and re.match(r"[ ./-]\w", text[end : end + 2]):
                 # a valid value that begins in a mere number, or in one of telephones or cards and reaches beyond it, comes first

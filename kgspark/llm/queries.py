@@ -9,7 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import bpe, covertree, embedding_dedup, jaccard, mixing, pseudonyms, quality, shared, substrings, toxicity, warc
 
 
-PII_KEY = b"set a secret of your own"  # parameter of op4 and of the pipeline; a deployment passes its own
+PII_KEY = b"set a secret of your own"  # of op4 and of the pipeline where the session names none
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    """The secret key of pseudonyms: the session's ``spark.kgspark.pii.key``, which a deployment sets."""
+    own = spark.conf.get("spark.kgspark.pii.key", None)
+    return own.encode() if own else PII_KEY
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +58,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), PII_KEY)
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
