@@ -84,6 +84,9 @@ class Source:
     epochs: int  # whole passes over the source
     whole: int  # blocks of the last, partial pass that are taken whole
     rest: float  # words still wanted from block number ``whole``
+    last_key: int | None = None  # there, the document at which they end: its key, its size, and the words before it
+    last_size: int = 0
+    before: int = 0
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...], cap: float, block_words: int) -> list[Source]:
@@ -108,12 +111,19 @@ def plan(sized: DataFrame, weights: tuple[float, ...], cap: float, block_words:
         while s.whole < s.n_blocks and own.get(s.whole, 0) <= s.rest and s.rest > 0:
             s.rest -= own.get(s.whole, 0)
             s.whole += 1
+    # Where the last pass of each source ends, from keys and sizes alone.
+    cut = with_block(sized, sources).where("_mix_block = _mix_whole and _mix_rest > 0")
+    cut = cut.groupBy("_mix_number", "_mix_rest", "_mix_key", "_mix_size").agg(F.sum("_mix_size").alias("n"))
+    order = Window.partitionBy("_mix_number").orderBy("_mix_key", "_mix_size").rowsBetween(Window.unboundedPreceding, 0)
+    ends = cut.withColumn("upto", F.sum("n").over(order)).where("upto >= floor(_mix_rest)").groupBy("_mix_number").agg(F.min(F.struct("_mix_key", "_mix_size", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
+    for r in ends.select("_mix_number", "e.*").collect():  # at most one of each source
+        sources[r[0]].last_key, sources[r[0]].last_size, sources[r[0]].before = r[1], r[2], r[3]
     return sources
 
 
 def source_table(spark, sources: list[Source]) -> DataFrame:
-    rows = [(s.name, i, s.size, s.target, s.n_blocks, s.epochs, s.whole, s.rest) for i, s in enumerate(sources)]
-    return spark.createDataFrame(rows, "_mix_name string, _mix_number int, _mix_source_size long, _mix_target double, _mix_blocks int, _mix_epochs int, _mix_whole int, _mix_rest double")
+    rows = [(s.name, i, s.size, s.target, s.n_blocks, s.epochs, s.whole, s.rest, s.last_key, s.last_size, s.before) for i, s in enumerate(sources)]
+    return spark.createDataFrame(rows, "_mix_name string, _mix_number int, _mix_source_size long, _mix_target double, _mix_blocks int, _mix_epochs int, _mix_whole int, _mix_rest double, _mix_last_key long, _mix_last_size long, _mix_before long")
 
 
 def with_block(sized: DataFrame, sources: list[Source]) -> DataFrame:
@@ -143,11 +153,14 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     whole = F.expr("int(_mix_block < _mix_whole)")
     even = rows.where("_mix_block <> _mix_whole or _mix_rest <= 0").withColumns({"_mix_last": whole, "_mix_part": F.col("_mix_size") * whole})
     # The block in which a source's last pass ends: whole documents in permuted order, then a part of the next one.
-    cut = rows.where("_mix_block = _mix_whole and _mix_rest > 0")
-    order = Window.partitionBy("_mix_number").orderBy("_mix_key", F.col(id_col), "_mix_size").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.floor("_mix_rest") - (F.sum("_mix_size").over(order) - F.col("_mix_size"))
-    cut = cut.withColumn("_mix_part", F.greatest(F.lit(0), F.least(F.col("_mix_size"), left)).cast("long")).withColumn("_mix_last", F.expr("int(_mix_part > 0)"))
-    out = even.unionByName(cut)
+    cut = rows.where("_mix_block = _mix_whole and _mix_rest > 0").withColumn("_mix_side", F.expr("case when _mix_last_key is null or struct(_mix_key, _mix_size) < struct(_mix_last_key, _mix_last_size) then 1 when _mix_key = _mix_last_key and _mix_size = _mix_last_size then 0 else -1 end"))
+    apart = cut.where("_mix_side <> 0").withColumn("_mix_part", F.when(F.col("_mix_side") > 0, F.col("_mix_size")).otherwise(F.lit(0)).cast("long"))
+    # (several only if whole rows repeat)
+    nth = F.row_number().over(Window.partitionBy("_mix_number").orderBy("_mix_key")) - 1
+    left = F.floor("_mix_rest") - F.col("_mix_before") - nth * F.col("_mix_size")
+    last = cut.where("_mix_side = 0").withColumn("_mix_part", F.greatest(F.lit(0), F.least(F.col("_mix_size"), left)).cast("long"))
+    cut = apart.unionByName(last).drop("_mix_side").withColumn("_mix_last", F.expr("int(_mix_part > 0)"))
+    out = even.unionByName(cut).drop("_mix_last_key", "_mix_last_size", "_mix_before")
     return out.withColumn("_mix_copies", F.col("_mix_epochs") + F.col("_mix_last")), sources
 
 
