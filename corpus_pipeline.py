@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kgspark.llm import bpe, jaccard, mixing, pseudonyms, quality, shared
-from kgspark.llm.queries import PII_KEY
+from kgspark.llm.queries import pii_key
 
 LEAST_QUALITY = 0.5
 
@@ -47,7 +47,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII: personal values become format-preserving pseudonyms."""
-    out = pseudonyms.pseudonymised(docs, PII_KEY, counts_col=None)
+    out = pseudonyms.pseudonymised(docs, pii_key(spark), counts_col=None)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
 
 
