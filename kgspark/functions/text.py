@@ -25,9 +25,13 @@ def words(x: Column) -> Column:
 
 def chunk_windows(x: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
     """Array of word windows; a short text is one chunk as it is (trimmed), an empty one has none."""
-    own, step = words(x), size - overlap
-    many = F.transform(F.sequence(F.lit(0), F.size(own) - 1, F.lit(step)), lambda i: F.array_join(F.slice(own, i + 1, size), " "))
-    return F.when(F.size(own) == 0, F.array().cast("array<string>")).when(F.size(own) <= size, F.array(F.array_join(own, " "))).otherwise(F.filter(many, lambda c: c != ""))
+
+    def windows(own: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(own) - 1, F.lit(size - overlap)), lambda i: F.array_join(F.slice(own, i + 1, size), " "))
+        return F.when(F.size(own) == 0, F.array().cast("array<string>")).when(F.size(own) <= size, F.array(F.array_join(own, " "))).otherwise(F.filter(many, lambda c: c != ""))
+
+    # bound by a lambda, so that the text is split once and not for every window
+    return F.get(F.transform(F.array(words(x)), windows), F.lit(0))
 
 
 def chunks(records: DataFrame, text: str = "abstract", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -74,10 +78,14 @@ def escape(x: Column) -> Column:
 
 def unescape(x: Column) -> Column:
     """Inverse of escape: a backslash and its sign are read together."""
-    x = F.replace(x, F.lit("\\\\"), F.lit("\x00"))
-    for code, sign in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\x00", "\\")):
-        x = F.replace(x, F.lit(code), F.lit(sign))
-    return x
+
+
+    def plain(part: Column) -> Column:
+        for code, sign in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
+            part = F.replace(part, F.lit(code), F.lit(sign))
+        return part
+
+    return F.array_join(F.transform(F.split(x, r"\\\\"), plain), "\\")
 
 
 def contains_run(haystack: Column, phrase: Column) -> Column:

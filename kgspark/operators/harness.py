@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import judges
+from ..functions.text import markdown_cell
 
 
 def prompt(question: Column, context: Column) -> Column:
@@ -78,12 +79,17 @@ def provider_model(spec: Column, default: str) -> Column:
     return F.struct(F.when(at > 0, F.substring_index(spec, ":", 1)).otherwise(F.lit(default)).alias("provider"), F.when(at > 0, F.substring(spec, at + 1, F.length(spec))).otherwise(spec).alias("model"))
 
 
-def report(rows: DataFrame, manifest: dict, most: int = 60) -> str:
-    """A Markdown report: the run's factors, its verdicts (at most ``most``), and results by type."""
-    cell = lambda x: str("" if x is None else x).replace("|", "\\|").replace("\n", " ")[:80]
-    line = lambda values: "| " + " | ".join(map(cell, values)) + " |"
-    out = ["# Run " + str(manifest.get("run_id", "")), "", line(["factor", "value"]), line(["-", "-"])]
-    out += [line(pair) for pair in sorted(manifest.items())] + ["", line(["question", "type", "passed", "score"]), line(["-"] * 4)]
-    out += [line(r) for r in rows.select("question_id", "type_id", "passed", "score").orderBy("question_id").limit(most).collect()]
-    out += ["", line(["type", "passed", "judged"]), line(["-"] * 3)] + [line(r) for r in summary(rows).select("type_id", "passed", "judged").orderBy("type_id").collect()]
-    return "\n".join(out) + "\n"
+def report_lines(rows: DataFrame, manifest: dict) -> DataFrame:
+    """(part, key, line) of a Markdown report, in the order of part and key: the run's factors (1), all verdicts (2, 3), results by type (4, 5)."""
+    line = lambda values: F.concat(F.lit("| "), F.concat_ws(" | ", *[markdown_cell(v.cast("string")) for v in values]), F.lit(" |"))
+    heads = [(1, ["# Run " + str(manifest.get("run_id", "")), "", "| factor | value |", "| - | - |"]), (2, ["", "| question | type | passed | score |", "| - | - | - | - |"]), (4, ["", "| type | passed | judged |", "| - | - | - |"])]
+    fixed = rows.sparkSession.createDataFrame([(part, f"{i:02d}", text) for part, texts in heads for i, text in enumerate(texts)], "part int, key string, line string")
+    factors = rows.sparkSession.createDataFrame([("key " + str(k), str(k), "" if v is None else str(v)) for k, v in manifest.items()], "key string, k string, v string")
+    of = lambda df, part, key, *names: df.select(F.lit(part).alias("part"), F.col(key).alias("key"), line([F.col(n) for n in names]).alias("line"))
+    verdicts, types = of(rows, 3, "question_id", "question_id", "type_id", "passed", "score"), of(summary(rows), 5, "type_id", "type_id", "passed", "judged")
+    return fixed.unionByName(of(factors, 1, "key", "k", "v")).unionByName(verdicts).unionByName(types)
+
+
+def report(rows: DataFrame, manifest: dict) -> str:
+    """The report as one text, for runs that a person reads; larger ones are written as ``report_lines``."""
+    return "\n".join(r.line for r in report_lines(rows, manifest).orderBy("part", "key").toLocalIterator()) + "\n"

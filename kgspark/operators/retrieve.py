@@ -1,8 +1,9 @@
 """Batch retrievers: questions (question_id, question) to (question_id, context, sources, ...).
 
-``closed_book``, ``neighborhood`` (entity linking, capped expansion) and
-``query_text`` (a written query, gated and bounded).  Vector retrieval is in
-``functions.vector``.
+``closed_book``, ``neighborhood`` (entity linking, capped expansion), ``similar``
+(vectors of the questions against those of passages) and ``written`` (queries
+that a model wrote for the questions, gated and bounded).  What a model makes,
+vectors and written queries, is an input table.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import count_tokens, normalize
+from ..functions.vector import context_block, nearest
 from ..plans.algebra import InvalidQuery, Query, Var, aggregates
 from ..plans.compiler import Compiler
 from ..plans.sparql import parse
@@ -122,10 +124,47 @@ def serialised(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(" | ", *parts).alias("line"), F.array_sort(F.array_distinct(F.filter(values, lambda v: F.regexp_like(v, F.lit("^https?://"))))).alias("sources"))
 
 
-REGISTRY = {"closed_book": lambda graph, questions: closed_book(questions), "graph_neighborhood_1hop": lambda graph, questions: neighborhood(graph, questions, 1), "graph_neighborhood_2hop": lambda graph, questions: neighborhood(graph, questions, 2)}
-
-
-def retrieve(name: str, graph: Graph, questions: DataFrame) -> DataFrame:
+def similar(questions: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The k nearest passages: vectors (id, embedding, label, entity, pmid, document), queries (question_id, query); sources are ids by rank."""
+    asked = queries.join(questions.select("question_id"), "question_id", "left_semi").withColumnRenamed("question_id", "query_id")
+    found = nearest(vectors, asked, k).join(vectors.drop("embedding"), "id")
+    ids = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("id")))).alias("r"))
+    own = context_block(found).join(ids, "query_id").select(F.col("query_id").alias("question_id"), "context", F.col("r.id").alias("sources"), "distances")
+    none = F.array().cast("array<string>")
+    own = questions.select("question_id").join(own, "question_id", "left")
+    return result(own.withColumns({"context": F.coalesce("context", F.lit("")), "sources": F.coalesce("sources", none)}))
+
+
+def written(graph: Graph, questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows of each question's written query: answers (question_id, answer); ``miss`` says that there was no acceptable query.
+
+    Every query is a plan of its own, made by the driver one after the other.
+    """
+    none, spark = F.array().cast("array<string>"), questions.sparkSession
+    out = spark.createDataFrame([], "question_id string, query string, miss boolean, context string, sources array<string>")
+    own = questions.select(F.col("question_id").cast("string").alias("question_id")).join(answers.select(F.col("question_id").cast("string").alias("question_id"), "answer"), "question_id", "left")
+    for row in own.toLocalIterator():
+        rows = query_text(graph, row.answer or "")
+        if rows is None:
+            part = spark.range(1).select(F.lit(True).alias("miss"), F.lit("").alias("context"), none.alias("sources"))
+        else:  # (ROWS of them at most, unless the query sets its own limit)
+            lines = serialised(rows).agg(F.array_sort(F.collect_list("line")).alias("l"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+            part = lines.select(F.lit(False).alias("miss"), F.array_join("l", "\n").alias("context"), "sources")
+        out = out.unionByName(part.select(F.lit(row.question_id).alias("question_id"), F.lit(extract_query(row.answer or "")).alias("query"), "miss", "context", "sources"))
+    return result(out)
+
+
+REGISTRY = {
+    "closed_book": lambda graph, questions: closed_book(questions),
+    "vector": lambda graph, questions, vectors, queries, k=5: similar(questions, vectors, queries, k),
+    "graph_neighborhood_1hop": lambda graph, questions: neighborhood(graph, questions, 1),
+    "graph_neighborhood_2hop": lambda graph, questions: neighborhood(graph, questions, 2),
+    "graph_sparqlgen": written,
+}
+
+
+def retrieve(name: str, graph: Graph, questions: DataFrame, **inputs) -> DataFrame:
+    """Retrieval by name; ``vector`` takes vectors and queries, ``graph_sparqlgen`` answers."""
     if name not in REGISTRY:
         raise KeyError(f"no retriever {name!r}; there are {', '.join(sorted(REGISTRY))}")
-    return REGISTRY[name](graph, questions)
+    return REGISTRY[name](graph, questions, **inputs)

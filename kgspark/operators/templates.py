@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -69,8 +70,17 @@ def answers(graph: Graph, t: Template, seeds: DataFrame) -> DataFrame:
     return seeds.join(found, seeds.columns, "left").withColumn("answers", F.coalesce("answers", none))
 
 
+def batches(pool: DataFrame, first: int, template: str, seed: str) -> Iterator[DataFrame]:
+    """The first anchors of a pool in drawing order, in growing numbers up to all of them."""
+    whole, size = pool.count(), first
+    while size < whole:
+        yield sampling.sample(pool, size, template, seed)
+        size *= 10
+    yield pool
+
+
 def instantiate(graph: Graph, t: Template, seed: str = sampling.SEED) -> DataFrame:
-    """Question rows of a template, at most ``count``."""
+    """Question rows of a template, at most ``count``; more anchors of pairs are tried until there are so many."""
     labels = lambda df, *names: df if not names else labels(df.join(sampling.labelled(graph, df.select(F.col(names[0]).alias("e")).distinct()).select(F.col("e").alias(names[0]), F.col("label").alias(f"{names[0]}_label")), names[0]), *names[1:])
     fits = (F.size("answers") >= t.low) & (F.lit(True) if t.high is None else F.size("answers") <= t.high)
     if t.mode == "fixed":
@@ -82,22 +92,26 @@ def instantiate(graph: Graph, t: Template, seed: str = sampling.SEED) -> DataFra
         names = ["seed"]
     elif t.mode == "paired":
         own = t.spec
-        anchors = sampling.sample(sampling.has_edge(graph, own["kind"], own["edge"], own.get("target"), own.get("low"), own.get("high")), 10 * t.count, t.id, seed)
-        pairs = sampling.paired(graph, anchors, own["edge"], own["kind"], own.get("target"), own["overlap"]).select(F.col("anchor").alias("a"), F.col("partner").alias("b"))
-        found = answers(graph, t, pairs)
-        sizes = found.select(F.col("a").alias("anchor"), F.col("b").alias("partner"), F.size("answers").alias("size"))
-        picked = sampling.sample_pairs(pairs.withColumnsRenamed({"a": "anchor", "b": "partner"}), sizes, t.count, t.id, t.low, t.high, seed)
-        rows = found.join(picked.select(F.col("anchor").alias("a"), F.col("partner").alias("b")), ["a", "b"])
+        for anchors in batches(sampling.has_edge(graph, own["kind"], own["edge"], own.get("target"), own.get("low"), own.get("high")), 10 * t.count, t.id, seed):
+            pairs = sampling.paired(graph, anchors, own["edge"], own["kind"], own.get("target"), own["overlap"]).select(F.col("anchor").alias("a"), F.col("partner").alias("b"))
+            found = answers(graph, t, pairs)
+            sizes = found.select(F.col("a").alias("anchor"), F.col("b").alias("partner"), F.size("answers").alias("size"))
+            picked = sampling.sample_pairs(pairs.withColumnsRenamed({"a": "anchor", "b": "partner"}), sizes, t.count, t.id, t.low, t.high, seed)
+            rows = found.join(picked.select(F.col("anchor").alias("a"), F.col("partner").alias("b")), ["a", "b"])
+            if rows.count() >= t.count:
+                break
         names = ["a", "b"]
     else:
         own = t.spec
-        anchors = sampling.sample(sampling.has_edge(graph, own["kind"], own["first"]), own["anchors"], t.id, seed)
         partners = sampling.of_kind(graph, own["partner"])
-        picked = sampling.sample_boolean(sampling.bridged(graph, anchors, own["first"], own["second"]), sampling.unbridged(graph, anchors, own["first"], own["second"], partners), t.count, t.id, seed)
-        picked = picked.withColumnsRenamed({"anchor": "a", "partner": "b"})
-        # what the query itself says; a pair on which the two disagree is skipped
-        seen = execute_for(graph, t.query, picked.select("a", "b")).withColumn("found", F.lit("true"))
-        rows = picked.join(seen, ["a", "b"], "left").where(F.coalesce("found", F.lit("false")) == F.col("answer")).select("a", "b", F.array("answer").alias("answers"))
+        for anchors in batches(sampling.has_edge(graph, own["kind"], own["first"]), own["anchors"], t.id, seed):
+            picked = sampling.sample_boolean(sampling.bridged(graph, anchors, own["first"], own["second"]), sampling.unbridged(graph, anchors, own["first"], own["second"], partners), t.count, t.id, seed)
+            picked = picked.withColumnsRenamed({"anchor": "a", "partner": "b"})
+            # what the query itself says; a pair on which the two disagree is skipped
+            seen = execute_for(graph, t.query, picked.select("a", "b")).withColumn("found", F.lit("true"))
+            rows = picked.join(seen, ["a", "b"], "left").where(F.coalesce("found", F.lit("false")) == F.col("answer")).select("a", "b", F.array("answer").alias("answers"))
+            if rows.count() >= t.count:
+                break
         names = ["a", "b"]
     rows = labels(rows, *names)
     if t.scoring in ("string_match", "numerical", "boolean"):

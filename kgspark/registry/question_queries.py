@@ -43,10 +43,14 @@ def anchors(graph):
     return sampling.sample(sampling.has_edge(graph, "Part", "supplied_by", high=25), 20, "pairs")
 
 
-@query("sm03_paired", sql("SELECT * FROM pairs", more=PAIRS))
+FITTING = "fitting AS (SELECT s AS e FROM supplied_by GROUP BY 1 HAVING count(DISTINCT o) <= 25)"
+
+
+@query("sm03_paired", sql("SELECT a.s AS anchor, b.s AS partner, count(DISTINCT a.o) AS overlap FROM supplied_by a JOIN supplied_by b ON a.o = b.o AND a.s <> b.s WHERE a.s IN (SELECT e FROM fitting) GROUP BY 1, 2 HAVING count(DISTINCT a.o) >= 2", more=FITTING))
 def sm03(spark, sf_dir):
+    """All parts within the fan bound are anchors."""
     graph = g.from_tables(spark, sf_dir)
-    return sampling.paired(graph, anchors(graph), "supplied_by", "Part", "Supplier", low=2)
+    return sampling.paired(graph, sampling.has_edge(graph, "Part", "supplied_by", high=25), "supplied_by", "Part", "Supplier", low=2)
 
 
 ORDERS = f"anchors AS (SELECT s AS e FROM contains GROUP BY 1 ORDER BY {at('bridge', 's')}, s LIMIT 30)"
@@ -56,14 +60,16 @@ def order_anchors(graph):
     return sampling.sample(sampling.has_edge(graph, "Order", "contains"), 30, "bridge")
 
 
-@query("sm04_bridge_exists", sql("SELECT DISTINCT a.s AS anchor, b.o AS partner FROM contains a JOIN supplied_by b ON a.o = b.s WHERE a.s IN (SELECT e FROM anchors)", more=ORDERS))
+@query("sm04_bridge_exists", sql("SELECT DISTINCT a.s AS anchor, b.o AS partner FROM contains a JOIN supplied_by b ON a.o = b.s"))
 def sm04(spark, sf_dir):
+    """All orders are anchors."""
     graph = g.from_tables(spark, sf_dir)
-    return sampling.bridged(graph, order_anchors(graph), "contains", "supplied_by")
+    return sampling.bridged(graph, sampling.has_edge(graph, "Order", "contains"), "contains", "supplied_by")
 
 
 @query("sm05_bridge_absent", sql("SELECT a.e AS anchor, n.iri AS partner FROM anchors a, nodes n WHERE n.kind = 'Supplier' AND NOT EXISTS (SELECT 1 FROM contains c JOIN supplied_by d ON c.o = d.s WHERE c.s = a.e AND d.o = n.iri)", more=ORDERS))
 def sm05(spark, sf_dir):
+    """For a stated set of anchors, as the result is a product of anchors and partners."""
     graph = g.from_tables(spark, sf_dir)
     return sampling.unbridged(graph, order_anchors(graph), "contains", "supplied_by", sampling.of_kind(graph, "Supplier"))
 
@@ -163,13 +169,13 @@ def sm20(spark, sf_dir):
 
 
 def asked(spark, sf_dir):
-    """A question for each of some orders and nations."""
+    """A question for each order and nation."""
     graph = g.from_tables(spark, sf_dir)
-    rows = graph.nodes().where(F.expr("kind = 'Nation' or kind = 'Order' and iri rlike '/[1-9]0$'"))
+    rows = graph.nodes().where(F.expr("kind = 'Nation' or kind = 'Order'"))
     return graph, rows.select(F.col("iri").alias("question_id"), F.concat(F.lit("What is in "), "label", F.lit(" and where?")).alias("question"))
 
 
-@query("rt01_closed_book", sql(f"SELECT iri AS question_id, '' AS context, 0 AS context_tokens FROM nodes WHERE kind = 'Nation' OR kind = 'Order' AND regexp_matches(iri, '/[1-9]0$')"))
+@query("rt01_closed_book", sql(f"SELECT iri AS question_id, '' AS context, 0 AS context_tokens FROM nodes WHERE kind = 'Nation' OR kind = 'Order'"))
 def rt01(spark, sf_dir):
     return retrieve.closed_book(asked(spark, sf_dir)[1]).select("question_id", "context", "context_tokens")
 
@@ -182,7 +188,7 @@ def rt02(spark, sf_dir):
     return retrieve.gazetteer(g.from_tables(spark, sf_dir)).select("name", "iri")
 
 
-@query("rt03_linked", sql("SELECT n.iri AS question_id, gaz.iri FROM nodes n JOIN gaz ON name = trim(regexp_replace(lower(n.label), '[^0-9a-z]+', ' ', 'g')) WHERE kind = 'Nation' OR kind = 'Order' AND regexp_matches(n.iri, '/[1-9]0$')", more=GAZ))
+@query("rt03_linked", sql("SELECT n.iri AS question_id, gaz.iri FROM nodes n JOIN gaz ON name = trim(regexp_replace(lower(n.label), '[^0-9a-z]+', ' ', 'g')) WHERE kind = 'Nation' OR kind = 'Order'", more=GAZ))
 def rt03(spark, sf_dir):
     graph, questions = asked(spark, sf_dir)
     return retrieve.link(questions, retrieve.gazetteer(graph)).select("question_id", "iri")
@@ -196,8 +202,9 @@ def rt04(spark, sf_dir):
 
 @query("rt05_two_hops")
 def rt05(spark, sf_dir):
+    """Questions are those of orders whose key is divisible by 100, against the whole graph."""
     graph, questions = asked(spark, sf_dir)
-    return retrieve.retrieve("graph_neighborhood_2hop", graph, questions.where("question_id like '%Order%'"))
+    return retrieve.retrieve("graph_neighborhood_2hop", graph, questions.where("question_id rlike 'Order/[0-9]*00$'"))
 
 
 CAP = f"""e AS (SELECT DISTINCT q.iri AS question_id, s, p, o FROM nodes q JOIN triples ON s = q.iri OR o = q.iri WHERE q.kind = 'Nation' AND starts_with(p, '{B}p/')),

@@ -197,13 +197,16 @@ def src17(spark, sf_dir):
     return vectors.load(spark, path).select("vec_id", "label", F.round(norm(F.col("embedding")), 6).alias("length"))
 
 
-@query("src18_report")
+@query("src18_report", """WITH r AS (SELECT '' || doc_id AS q, lpad('' || doc_id % 3, 2, '0') AS t, quality = 1 AS p, CAST(quality AS DOUBLE) AS s FROM labels),
+h AS (SELECT * FROM (VALUES (1, '00', '# Run r1'), (1, '01', ''), (1, '02', '| factor | value |'), (1, '03', '| - | - |'), (1, 'key judge', '| judge | quality |'), (1, 'key run_id', '| run_id | r1 |'),
+(2, '00', ''), (2, '01', '| question | type | passed | score |'), (2, '02', '| - | - | - | - |'), (4, '00', ''), (4, '01', '| type | passed | judged |'), (4, '02', '| - | - | - |')) AS v(part, key, line))
+SELECT * FROM h UNION ALL SELECT 3, q, '| ' || q || ' | ' || t || ' | ' || coalesce('' || p, '') || ' | ' || coalesce('' || s, '') || ' |' FROM r
+UNION ALL SELECT 5, t, '| ' || t || ' | ' || count(*) FILTER (p) || ' | ' || count(*) || ' |' FROM r GROUP BY t""")
 def src18(spark, sf_dir):
     """The lines of a Markdown report of labelled documents as trial rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = labels.select(F.col("doc_id").cast("string").alias("question_id"), F.lpad(F.col("doc_id") % 3, 2, "0").alias("type_id"), (F.col("quality") == 1).alias("passed"), F.col("quality").cast("double").alias("score"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("judged"), F.lit(1).alias("input_tokens"))
-    text = harness.report(rows, {"run_id": "r1", "judge": "quality"})
-    return spark.createDataFrame(list(enumerate(text.split("\n"))), "n int, line string")
+    return harness.report_lines(rows, {"run_id": "r1", "judge": "quality"})
 
 
 @query("hn04_manifest", "SELECT 'r1' AS run_id, count(*) AS questions, 'v1' AS harness_version FROM labels")

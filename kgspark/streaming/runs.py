@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources import scratch
+
 
 def windows(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and mean values by tumbling window and type."""
@@ -32,7 +34,14 @@ def latest(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process all that is available, and the result as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Process all that is available, and the result as a written table: the last one in complete mode, else all of them."""
+    spark = stream.sparkSession
+    path = scratch.new_folder(spark, name)
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)

@@ -101,6 +101,17 @@ def test_neighborhood(small, spark):
         retrieve.retrieve("other", small, asked)
 
 
+def test_vectors_and_written_queries(small, spark):
+    asked = spark.createDataFrame([("q1", "?"), ("q2", "?"), ("q3", "?")], "question_id string, question string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "L", "e", "5", "near"), (2, [0.0, 1.0], "", "e", "6", "far")], "id long, embedding array<double>, label string, entity string, pmid string, document string")
+    queries = spark.createDataFrame([("q1", [1.0, 0.1]), ("q2", [0.1, 1.0])], "question_id string, query array<double>")
+    out = {r.question_id: r for r in retrieve.retrieve("vector", small, asked, vectors=vectors, queries=queries, k=1).collect()}
+    assert [(out[q].context, out[q].sources) for q in ("q1", "q2", "q3")] == [("[L \u2014 PMID 5] near", ["1"]), ("[e \u2014 PMID 6] far", ["2"]), ("", [])]
+    answers = spark.createDataFrame([("q1", "```\nSELECT ?d WHERE { ?c kg:treats ?d }\n```"), ("q2", "DROP ALL")], "question_id string, answer string")
+    out = {r.question_id: r for r in retrieve.retrieve("graph_sparqlgen", small, asked, answers=answers).collect()}
+    assert [out[q].miss for q in ("q1", "q2", "q3")] == [False, True, True] and BASE + "d2" in out["q1"].sources and out["q1"].context.startswith("d=")
+
+
 def test_cap(spark):
     rows = spark.createDataFrame([("q", f"s{i:03d}", f"p{i % 3}", "o", None) for i in range(400)], "question_id string, s_name string, p_name string, o_name string, other string")
     out = retrieve.capped(rows, 25, 60).collect()

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from kgspark.functions import vector
-from kgspark.operators import validate
+from kgspark import registry
+from kgspark.functions import text, vector
+from kgspark.operators import harness, validate
 
 
 def test_nearest_answers_every_query(spark):
@@ -20,3 +21,22 @@ def test_rules_of_every_template_hold(spark):
     records = ids.select(*[v.alias(k) for k, v in text.items()], F.lit(None).cast("string").alias("gt_scalar"), F.array(F.lit("one")).alias("gt_set"))
     found = validate.problems(records, meta)
     assert found.where("rule = 'below the least answer'").count() == found.count() == 10_050
+
+
+def test_report_has_every_verdict(spark):
+    rows = spark.range(500).select(F.format_string("q%03d", "id").alias("question_id"), F.lit("01").alias("type_id"), F.lit(True).alias("passed"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("judged"), F.lit(1).alias("input_tokens"))
+    out = harness.report(rows, {"run_id": "r1"})
+    assert all(f"| q{i:03d} | 01 | true | 1.0 |" in out for i in range(500)) and out.index("q000") < out.index("q499") < out.index("| 01 | 500 | 500 |")
+
+
+def test_short_passages_are_found(spark, tmp_path):
+    spark.createDataFrame([(1, "see foo bar here now"), (2, "foo"), (3, "barfoo bar x"), (4, "a b c d e f"), (5, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "foo bar"), (2, "foo"), (3, "b c d e f"), (4, "b c d e g"), (5, "!"), (6, "see foo bar")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    registry.load()
+    assert sorted(map(tuple, registry.QUERIES["jd01_contains_run"](spark, str(tmp_path)).collect())) == [(1, 1), (1, 2), (1, 6), (2, 2), (4, 3)]
+
+
+def test_chunks_of_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    out = spark.createDataFrame([(" ".join(words),)], "a string").select(text.chunk_windows(F.col("a")).alias("c")).first().c
+    assert out == [" ".join(words[i : i + 180]) for i in range(0, 200_000, 150)]
