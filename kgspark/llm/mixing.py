@@ -150,17 +150,20 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sources = plan(figures, weights, cap, block_words)
     shared.drop(figures)
     rows = with_block(sized, sources)
-    whole = F.expr("int(_mix_block < _mix_whole)")
-    even = rows.where("_mix_block <> _mix_whole or _mix_rest <= 0").withColumns({"_mix_last": whole, "_mix_part": F.col("_mix_size") * whole})
-    # The block in which a source's last pass ends: whole documents in permuted order, then a part of the next one.
-    cut = rows.where("_mix_block = _mix_whole and _mix_rest > 0").withColumn("_mix_side", F.expr("case when _mix_last_key is null or struct(_mix_key, _mix_size) < struct(_mix_last_key, _mix_last_size) then 1 when _mix_key = _mix_last_key and _mix_size = _mix_last_size then 0 else -1 end"))
-    apart = cut.where("_mix_side <> 0").withColumn("_mix_part", F.when(F.col("_mix_side") > 0, F.col("_mix_size")).otherwise(F.lit(0)).cast("long"))
-    # (several only if whole rows repeat)
+    # 1: taken whole in the last pass, -1: not taken, 0: the document at which the pass ends.  In the block of that
+    # document whole documents in permuted order come first, and then a part of it.
+    side = F.expr("""case when _mix_block < _mix_whole then 1 when _mix_block > _mix_whole or _mix_rest <= 0 then -1
+        when _mix_last_key is null or struct(_mix_key, _mix_size) < struct(_mix_last_key, _mix_last_size) then 1
+        when _mix_key = _mix_last_key and _mix_size = _mix_last_size then 0 else -1 end""")
+    rows = rows.withColumn("_mix_side", side)
+    apart = rows.where("_mix_side <> 0").withColumn("_mix_part", F.when(F.col("_mix_side") > 0, F.col("_mix_size")).otherwise(F.lit(0)).cast("long"))
+    apart = apart.withColumn("_mix_last", F.expr("int(_mix_side > 0)"))
+    # (several rows of a source only if whole rows repeat)
     nth = F.row_number().over(Window.partitionBy("_mix_number").orderBy("_mix_key")) - 1
     left = F.floor("_mix_rest") - F.col("_mix_before") - nth * F.col("_mix_size")
-    last = cut.where("_mix_side = 0").withColumn("_mix_part", F.greatest(F.lit(0), F.least(F.col("_mix_size"), left)).cast("long"))
-    cut = apart.unionByName(last).drop("_mix_side").withColumn("_mix_last", F.expr("int(_mix_part > 0)"))
-    out = even.unionByName(cut).drop("_mix_last_key", "_mix_last_size", "_mix_before")
+    last = rows.where("_mix_side = 0").withColumn("_mix_part", F.greatest(F.lit(0), F.least(F.col("_mix_size"), left)).cast("long"))
+    last = last.withColumn("_mix_last", F.expr("int(_mix_part > 0)"))
+    out = apart.unionByName(last).drop("_mix_side", "_mix_last_key", "_mix_last_size", "_mix_before")
     return out.withColumn("_mix_copies", F.col("_mix_epochs") + F.col("_mix_last")), sources
 
 
