@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+MOST_HOT = 1024  # a key of more than one in so many rows is hot; fewer keys than that can be
 
 #: Texts are long: batches between the JVM and Python are kept small, whatever a row holds.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
@@ -49,3 +50,20 @@ def drop(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def matched(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str], spread: list[str]) -> DataFrame:
+    """rows with the values that table holds for their keys, else null.
+
+    table has one row for each key and ``n``, the number of rows with it.  Rows of hot keys meet their values by a
+    broadcast of fewer than MOST_HOT rows, and are dealt by ``spread`` in the shuffle in which the others meet theirs.
+    Rows with a null key match nothing.
+    """
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    table = table.select(*keys, F.struct(*values).alias("_values"), (F.col("n") > total // MOST_HOT).alias("_hot"))
+    hot = table.where("_hot").select(*keys, F.col("_values").alias("_hot_values"))
+    cold = table.where("not _hot").select(*keys, "_values", F.lit(0).alias("_salt"))
+    own = F.when(F.col("_hot_values").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)).cast("int") + 1).otherwise(0)
+    out = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", own).join(cold, [*keys, "_salt"], "left")
+    got = F.coalesce("_hot_values", "_values")
+    return out.withColumns({v: got[v] for v in values}).drop("_hot_values", "_values", "_salt")

@@ -6,7 +6,8 @@ is compared with itself, so every text is reference and query at once:
 1. Texts are taken once each; a text that several rows have is repeated whole.
 2. Every window has an anchor, the least value of its runs of ``window // 3``
    words.  Equal windows have equal anchors, so only windows whose anchor is met
-   twice can be repeated.  An anchor's home is the least text that has it; runs
+   twice can be repeated.  An anchor's home is the least text that has it, found by
+   an aggregation, which no anchor that many texts share makes a single task; runs
    of such windows with one home are cut out as pieces and sent there.
 3. At a home, a suffix automaton is built over the reference pieces and the
    others are streamed through it for matching statistics; only what is new
@@ -283,10 +284,10 @@ def strip(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, shard_words: int = SHARD_WORDS, keep_text: bool = True) -> DataFrame:
     """docs -> id_col, n_words, n_removed, kept (if keep_text: words that stay, joined by a space), kept_sha256."""
     texts = unique_texts(docs, text_col)
-    met = Window.partitionBy("anchor").orderBy("tid")
-    found = texts.select("tid", "text").mapInArrow(anchors(window), "anchor long, tid long, many boolean")
-    found = found.select("anchor", "tid", F.first("tid").over(met.rowsBetween(Window.unboundedPreceding, 0)).alias("home"), (F.col("many") | F.lag("tid").over(met).isNotNull() | F.lead("tid").over(met).isNotNull()).alias("again"))
-    found = found.where("again").groupBy("tid").agg(F.collect_list(F.struct("anchor", "home")).alias("found"))
+    found = shared.written(texts.select("tid", "text").mapInArrow(anchors(window), "anchor long, tid long, many boolean"), "anchors")
+    homes = found.groupBy("anchor").agg(F.min("tid").alias("home"), F.count("*").alias("n"), F.max("many").alias("many")).where("many or n > 1")
+    found = shared.matched(found, shared.written(homes, "homes"), ["anchor"], ["home"], ["tid"]).where("home is not null")
+    found = found.groupBy("tid").agg(F.collect_list(F.struct("anchor", "home")).alias("found"))
     pieces = texts.join(found, "tid").select("tid", "text", "found").mapInArrow(cut_pieces(window), "home long, tid long, start long, words long, piece binary")
     pieces = shared.written(pieces, "pieces")
     # a table of its own, so that the join below can split homes with very many pieces

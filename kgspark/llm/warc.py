@@ -107,8 +107,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"), F.xxhash64("payload").alias("check"))
-    same = rows.where(F.col("size") >= least).groupBy("digest", "check", "size").agg(F.max("page").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(same, ["digest", "check", "size"], "left")
+    same = rows.where(F.col("size") >= least).groupBy("digest", "check", "size").agg(F.max("page").alias("largest"), F.count("*").alias("n")).where("n > 1")
+    rows = shared.matched(rows, shared.written(same, "payloads"), ["digest", "check", "size"], ["largest"], ["page", "url"])
     rows = rows.withColumn("refers_to", F.expr("if(largest is not null and not (page <=> largest), largest, null)"))
     folder = shared.new_path(pages.sparkSession, "warc")
     return shared.written(rows.select("page", "url", "payload", "digest", "size", "refers_to").mapInArrow(writer(folder, file_bytes), "archive string, records long, bytes long"), "manifest")
