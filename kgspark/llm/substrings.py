@@ -15,7 +15,8 @@ is compared with itself, so every text is reference and query at once:
    statistic reaches ``window`` the words of both places are marked.
 4. A home with more than ``shard_words`` words is dealt to several reference
    shards, each with its automaton; a window that its own shard could not match
-   is matched across the home's shards by a 128-bit digest of its words.
+   is matched across the home's shards by a 128-bit digest of its words.  Pieces
+   are of at most a quarter of a shard, so that long texts are dealt as well.
 
 An automaton is sent where its anchors are instead of to every task: the
 reference here is the corpus, and no bounded broadcast could hold it.
@@ -183,8 +184,8 @@ def anchors(window: int) -> Callable:
     return run
 
 
-def cut_pieces(window: int) -> Callable:
-    """(tid, text, found) -> (home, tid, start, words, piece): runs of windows whose anchors have one home."""
+def cut_pieces(window: int, most: int) -> Callable:
+    """(tid, text, found) -> (home, tid, start, words, piece): runs of up to ``most`` windows whose anchors have one home."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +208,7 @@ def cut_pieces(window: int) -> Callable:
                     known = own[at] == seen
                     to = homes[at]
                     change = np.flatnonzero(np.concatenate(([True], (known[1:] != known[:-1]) | (to[1:] != to[:-1]), [True])))
+                    change = np.unique(np.concatenate((change, np.arange(0, len(seen), most))))
                     for low_, high in zip(change[:-1].tolist(), change[1:].tolist(), strict=True):
                         if known[low_]:
                             rows["home"].append(int(to[low_]))
@@ -288,12 +290,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     homes = found.groupBy("anchor").agg(F.min("tid").alias("home"), F.count("*").alias("n"), F.max("many").alias("many")).where("many or n > 1")
     found = shared.matched(found, shared.written(homes, "homes"), ["anchor"], ["home"], ["tid"]).where("home is not null")
     found = found.groupBy("tid").agg(F.collect_list(F.struct("anchor", "home")).alias("found"))
-    pieces = texts.join(found, "tid").select("tid", "text", "found").mapInArrow(cut_pieces(window), "home long, tid long, start long, words long, piece binary")
+    pieces = texts.join(found, "tid").select("tid", "text", "found").mapInArrow(cut_pieces(window, max(1, shard_words // 4)), "home long, tid long, start long, words long, piece binary")
     pieces = shared.written(pieces, "pieces")
     # a table of its own, so that the join below can split homes with very many pieces
     large = pieces.groupBy("home").agg(F.sum("words").alias("n")).where(F.col("n") > shard_words).select("home", F.ceil(F.col("n") / shard_words).alias("shards"))
     large = shared.written(large, "large")
-    pieces = pieces.join(large, "home", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("shard", F.pmod(F.xxhash64("tid"), "shards"))
+    pieces = pieces.join(large, "home", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("shard", F.pmod(F.xxhash64("tid", "start"), "shards"))
     marks = pieces.repartition("home", "shard").sortWithinPartitions("home", "shard", "tid", "start").mapInArrow(match_homes(window), "tid long, low long, high long, digest binary")
     across = F.when(F.col("digest").isNull(), 2).otherwise(F.count("*").over(Window.partitionBy("digest", F.when(F.col("digest").isNull(), F.col("tid")))))
     spans = marks.withColumn("n", across).where("n > 1").groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
