@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, covertree, embedding_dedup, jaccard, mixing, pseudonyms, quality, shared, substrings, toxicity, warc
+from . import bpe, covertree, divergence, embedding_dedup, jaccard, mixing, mpegts, pseudonyms, quality, shared, substrings, toxicity, warc, whitening
 
 
 PII_KEY = b"set a secret of your own"  # of op4 and of the pipeline where the session names none
@@ -111,6 +111,38 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(quality.scored(documents.select("doc_id", "text"), model), crc() % 4 == 2, 0.7)
 
 
+def op11_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.read_back(mpegts.stored(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+w AS (SELECT lang, source, r, unnest(t) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, count(k.term) AS v, coalesce(sum(k.n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang FROM g) g LEFT JOIN k USING (lang) GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN (SELECT lang, term FROM k) USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.total + 5 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (v.total + 5 * v.v) AS q
+      FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM
+(SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where it has more than 63 bits, from about a million vectors on; the operator's own is exact."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 WORDS_SQL = r"""w AS (SELECT doc_id, u.i, u.word FROM (SELECT doc_id, list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents) d,
   LATERAL (SELECT unnest(l) AS word, generate_subscripts(l, 1) AS i) u)"""
 
@@ -147,6 +179,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_substrings": op9_substrings,
     "op10_quality": op10_quality,
+    "op11_mpegts": op11_mpegts,
+    "op12_divergence": op12_divergence,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -155,4 +190,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_embedding_dedup": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op9_substrings": OP9_SQL,
+    "op12_divergence": OP12_SQL,
 }
