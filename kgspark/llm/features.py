@@ -104,11 +104,13 @@ def family(words: Words) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, most: int) -> DataFrame:
     """(text, label): texts of at most ``most`` labelled ids, those least by hash among the ids that ``learn`` allows.
 
-    The bound makes the ids small enough to broadcast, however large the tables are.
+    The bound makes the ids small enough to broadcast, however large the tables are.  An id may have many texts;
+    ``sampled_features`` bounds those.
     """
-    ids = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("_label"))
-    ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(most)
-    return docs.join(F.broadcast(ids), id_col).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col("_label").alias("label"))
+    ids = labels.where(learn & F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max(f"`{label_col}`").cast("double").alias("label"))
+    ids = ids.orderBy(F.xxhash64("id"), "id").limit(most)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return rows.join(F.broadcast(ids), "id").select("text", "label")
 
 
 def map_texts(rows: DataFrame, schema: str, make: Callable[[pa.RecordBatch, Words], dict]) -> DataFrame:
@@ -140,14 +142,17 @@ def scored(docs: DataFrame, text_col: str, score_col: str, score: Callable[[Word
     return out.select("row.*", F.col("score").alias(score_col))
 
 
-def sampled_features(rows: DataFrame, make: Callable[[Words], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a bounded sample, one row of each family of copies, in an order that reruns keep."""
+def sampled_features(rows: DataFrame, make: Callable[[Words], np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a bounded sample, one row of each family of copies, in an order that reruns keep.
+
+    Of more than ``most`` families, which only ids with many texts can give, those of the least values are taken.
+    """
 
     def run(part: pa.RecordBatch, words: Words) -> dict:
         x = make(words)
         return {"family": family(words).view(np.int64), "label": part.column("label"), "x": pa.array(list(x), pa.list_(pa.float64()))}
 
-    got = map_texts(rows, "family long, label double, x array<double>", run).groupBy("family").agg(F.max(F.struct("label", "x")).alias("r")).orderBy("family").select("r.label", "r.x").toArrow()
+    got = map_texts(rows, "family long, label double, x array<double>", run).groupBy("family").agg(F.max(F.struct("label", "x")).alias("r")).orderBy("family").limit(most).select("r.label", "r.x").toArrow()
     x = got.column("x").combine_chunks()
     n = got.num_rows
     return (x.flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 0))), got.column("label").to_numpy()

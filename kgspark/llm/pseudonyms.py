@@ -11,7 +11,8 @@ within the format again, and written back with the same signs and letter cases.
 Kinds, in order of precedence: email addresses, dates (years 1900 to 2099 that
 exist), IPv4 addresses (octets of 0 to 255), IBANs (check digits), secrets (hex
 strings of 32 or more digits), telephone numbers (a leading + or a bracketed
-area code, 7 to 15 digits), social security numbers, card numbers (13 to 19
+area code, 7 to 15 digits), social security numbers (by form alone: also those
+of areas that are not given out, as a text may have them all the same), card numbers (13 to 19
 digits with a right Luhn digit) and other runs of 9 to 19 digits.
 
 What looks like a value and isn't valid is tried again without its last words,
@@ -27,7 +28,8 @@ whose month and day have as many digits.
 
 Defined cases: null texts stay null, empty ones empty; texts without a value
 stay as they are, byte for byte; repeated rows get equal results; very long
-texts are searched whole; all columns are kept, only the text column changes.
+texts are searched whole; all columns are kept, only the text column changes (and
+one with the name of the column of counts, which takes its place).
 Every row is handled alone, so nothing is shuffled.
 """
 
@@ -41,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
 
 from .features import DIGIT
 from .kernels import column_buffer, released
@@ -332,7 +335,7 @@ class Pseudonyms:
 def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", counts_col: str | None = "pii", back: bool = False) -> DataFrame:
     """docs with the text column replaced; counts_col: map of kind -> values replaced (empty if none)."""
     kept = [c for c in docs.columns if c not in (text_col, counts_col)]
-    rows = docs.select(F.struct(*kept).alias("row") if kept else F.lit(0).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row") if kept else F.lit(0).alias("row"), F.col(text_col).alias("text"))
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,6 +354,6 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", counts_co
                     counts[i] = list(found.items())
                 yield pa.RecordBatch.from_pydict({"row": part.column("row"), "text": pa.array(texts, pa.string()) if texts else column, "n": pa.array(counts, pa.map_(pa.string(), pa.int32()))})
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string, n map<string,int>")
+    out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("text", StringType()), StructField("n", MapType(StringType(), IntegerType()))]))
     of = {c: F.col(f"row.`{c}`").alias(c) for c in kept} | {text_col: F.col("text").alias(text_col)}
     return out.select(*[of[c] for c in docs.columns if c != counts_col], *([F.col("n").alias(counts_col)] if counts_col else []))

@@ -6,7 +6,7 @@ leaves to the feature's lookup table; then pairs of features whose residuals
 depend on both are fitted in the same way.  A score is the logistic of a sum of
 table entries, read by vectorised bin lookups.
 
-Training uses at most ``most`` labelled documents (a documented bound; the rest
+Training uses at most ``most`` texts of as many labelled ids (a documented bound; the rest
 of the tables is never sampled).  Defined cases: null and empty texts get the
 score of all-zero features; repeated rows get equal scores; without any
 training row every score is 0.5; ties in a feature fall into one bin; further
@@ -125,7 +125,7 @@ class Additive:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST) -> Additive:
     """A model from the labelled rows that ``learn`` (a condition on labels) allows, at most ``most`` of them."""
-    return Additive(*ft.sampled_features(ft.training_rows(docs, labels, id_col, text_col, label_col, learn, most), quality_features))
+    return Additive(*ft.sampled_features(ft.training_rows(docs, labels, id_col, text_col, label_col, learn, most), quality_features, most))
 
 
 def scored(docs: DataFrame, model: Additive, text_col: str = "text", score_col: str = "score") -> DataFrame:

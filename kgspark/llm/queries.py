@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,6 +16,8 @@ PII_KEY = b"set a secret of your own"  # of op4 and of the pipeline where the se
 def pii_key(spark: SparkSession) -> bytes:
     """The secret key of pseudonyms: the session's ``spark.kgspark.pii.key``, which a deployment sets."""
     own = spark.conf.get("spark.kgspark.pii.key", None)
+    if not own:
+        warnings.warn("spark.kgspark.pii.key is not set: pseudonyms are made with a key that is public", stacklevel=2)
     return own.encode() if own else PII_KEY
 
 

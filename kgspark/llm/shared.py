@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,6 +42,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kgspark_path = path
+    if (made := _made.get()) is not None:
+        made.append(out)
+    return out
+
+
+_made: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("tables written on the way", default=None)
+
+
+def only(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of ``make`` as a written table; all tables that it wrote on the way are deleted."""
+    made: list[DataFrame] = []
+    outer = _made.set(made)
+    try:
+        out = written(make(), name)
+    finally:
+        _made.reset(outer)
+    for table in made:
+        if table is not out:
+            drop(table)
+    if (around := _made.get()) is not None:
+        around.append(out)
     return out
 
 

@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     xs, ys = [], []
     for part in (0, 1):
         half = learn_lexicon(rows.where(F.col("part") != part))
-        x, y = ft.sampled_features(rows.where(F.col("part") == part), lambda words, half=half: toxicity_features(words, half))
+        x, y = ft.sampled_features(rows.where(F.col("part") == part), lambda words, half=half: toxicity_features(words, half), most)
         if len(y):
             xs.append(x)
             ys.append(y)

@@ -247,3 +247,67 @@ def test_whitening_on_embeddings(spark):
         assert min(np.abs(own.whitened - want[:, k]).max(), np.abs(own.whitened + want[:, k]).max()) < 1e-6
         assert np.allclose(own.explained, share[k], rtol=1e-6)
     assert got.identity_error.max() < 1e-9
+
+
+# --- bounds and clashing names of earlier operators
+
+
+def test_training_is_bounded_by_rows(spark):
+    from kgspark.llm import features as ft, quality
+
+    texts = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("word w"), F.col("id"), F.lit(" and more v"), F.col("id")).alias("text"), F.lit("x").alias("_label"), F.lit("y").alias("label"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    rows = ft.training_rows(texts, labels, "doc_id", "text", "quality", F.lit(True), 100)
+    x, y = ft.sampled_features(rows, quality.quality_features, 100)
+    assert x.shape == (100, len(quality.FEATURES)) and y.tolist() == [1.0] * 100
+    model = quality.fit(texts, labels, F.lit(True), most=100)
+    assert quality.scored(texts.limit(3), model).columns == ["doc_id", "text", "_label", "label", "score"]
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    words = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    names = ["_id", "_hash", "_copies", "_row", "_score", "score", "pii", "shard", "rest", "row", "id", "hash", "key", "_mix_size", "_mix_source", "a.b"]
+    rows = [(1, words("a"), "en", "s", 9), (2, words("a"), "en", "s", 9), (3, words("b") + " call +1 212 555 0100", "en", None, None), (None, None, None, "t", 1), (4, "", "", "", 0)]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        docs = function(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+        assert all(tuple(r)[5:] == tuple(names) for r in docs.collect())
+        if name == "quality classifier":
+            docs = spark.createDataFrame([(*r, *names) for r in rows], docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    import os
+
+    from kgspark.llm import shared
+
+    kept = []
+
+    def make():
+        kept.append(shared.written(spark.range(10), "inner"))
+        return kept[0].where("id > 3")
+
+    out = shared.only(make, "outer")
+    there = lambda df: os.path.exists(df._kgspark_path.removeprefix("file:"))
+    assert out.count() == 6 and there(out) and not there(kept[0])
+
+
+def test_mix_of_more_sources_than_buckets(spark):
+    from kgspark.llm import mixing
+
+    docs = spark.range(100_001).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"), F.when(F.col("id") > 0, F.format_string("s%06d", F.col("id"))).alias("source"))
+    rows, sources = mixing.drawn(docs)
+    names = sorted(f"s{i:06d}" for i in range(1, 100_001))
+    sizes = [int(n[1:]) % 7 for n in names] + [0]
+    want = mixing.fill_targets(sizes, [i % 3 + 1 for i in range(100_001)], 3.0)
+    plan = [(s.name, s.size, s.target) for s in sources]
+    assert [p[0] for p in plan] == [*names, None] and [p[1] for p in plan] == sizes
+    assert np.allclose([p[2] for p in plan], want, rtol=1e-9)
+    out = mixing.with_shards(rows, sources, 8, 0).select("_mix_size", "_mix_target", "_mix_copies", mixing.taken().alias("taken"), "_mix_shards").collect()
+    assert all(0 <= r._mix_target - r.taken < 1 + 1e-9 and len(r._mix_shards) == r._mix_copies for r in out)
+    load = np.bincount([s for r in out for s in r._mix_shards], minlength=8)
+    assert load.max() - load.min() <= 0.02 * load.mean() + 8
