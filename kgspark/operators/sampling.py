@@ -7,17 +7,15 @@ and cut.  Pools and answers are DataFrames; nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.graph import CLASS, LABEL, PREDICATE, TYPE, Graph
+from . import draws
+from .draws import rank_key
 
 SEED = "20260605"
 MAX_ATTEMPTS = 200  # partners of an anchor that are tried
-
-
-def rank_key(seed: str, template: str, *parts: str) -> Column:
-    """The order in which candidates are drawn: a hash of seed, template and candidate."""
-    return F.sha2(F.concat_ws(":", F.lit(seed), F.lit(template), *[F.col(p) for p in parts]), 256)
+PAIR_DRAWS, BRIDGE_DRAWS = 800, 32  # candidates of an anchor in the first round
 
 
 def of_kind(graph: Graph, kind: str) -> DataFrame:
@@ -53,30 +51,40 @@ def lacks_edge(graph: Graph, kind: str, edge: str, presence: str, low: int | Non
     return has_edge(graph, kind, presence, low=low).join(edges(graph, edge).select("e").distinct(), "e", "left_anti")
 
 
-def paired(graph: Graph, anchors: DataFrame, edge: str, partner_kind: str, target: str | None = None, low: int = 1, high: int | None = None) -> DataFrame:
-    """(anchor, partner, overlap) for all anchors at once; anchors' fan bounds are applied before this self-join."""
-    own = edges(graph, edge, target)
+def paired(graph: Graph, anchors: DataFrame, edge: str, partner_kind: str, target: str | None = None, low: int = 1, high: int | None = None, template: str = "pairs", seed: str = SEED) -> DataFrame:
+    """(anchor, partner, overlap): drawn partners of each anchor, MAX_ATTEMPTS at most, that share low to high objects of an edge with it.
+
+    Anchors' fan bounds hold before any pair is made; an anchor without a row has no such partner.
+    """
+    own = edges(graph, edge, target).distinct()
     left = own.join(anchors.select("e"), "e", "left_semi").withColumnRenamed("e", "anchor")
     right = own.join(of_kind(graph, partner_kind), "e", "left_semi").withColumnRenamed("e", "partner")
-    pairs = left.join(right, "x").where("anchor <> partner").groupBy("anchor", "partner").agg(F.count_distinct("x").alias("overlap"))
-    pairs = pairs.where(F.col("overlap") >= low)
-    return pairs.where(F.col("overlap") <= high) if high is not None else pairs
+    return draws.common(left, right, template, MAX_ATTEMPTS, PAIR_DRAWS, low, high, seed)
 
 
-def bridged(graph: Graph, anchors: DataFrame, first: str, second: str) -> DataFrame:
-    """(anchor, partner) with a common node: anchor first x, x second partner."""
-    left = edges(graph, first).join(anchors.select("e"), "e", "left_semi").select(F.col("e").alias("anchor"), F.col("x").alias("bridge"))
-    right = edges(graph, second).select(F.col("e").alias("bridge"), F.col("x").alias("partner"))
-    return left.distinct().join(right.distinct(), "bridge").select("anchor", "partner").distinct()
+def bridge_edges(graph: Graph, anchors: DataFrame, first: str, second: str, partner_kind: str) -> tuple[DataFrame, DataFrame]:
+    """(anchor, x) and (partner, x): edges of anchors, and of partners of a kind, into the nodes that may bridge them."""
+    left = edges(graph, first).join(anchors.select("e"), "e", "left_semi").withColumnRenamed("e", "anchor")
+    right = edges(graph, second).join(of_kind(graph, partner_kind), "e", "left_semi").withColumnRenamed("e", "partner")
+    return left.distinct(), right.distinct()
+
+
+def bridged(graph: Graph, anchors: DataFrame, first: str, second: str, partner_kind: str, attempts: int = 1, template: str = "bridge", seed: str = SEED) -> DataFrame:
+    """(anchor, partner): drawn partners of a kind with a common node, anchor first x, partner second x.
+
+    An anchor without a row has none.
+    """
+    left, right = bridge_edges(graph, anchors, first, second, partner_kind)
+    return draws.common(left, right, template, attempts, BRIDGE_DRAWS, seed=seed).select("anchor", "partner")
 
 
-def unbridged(graph: Graph, anchors: DataFrame, first: str, second: str, partners: DataFrame) -> DataFrame:
-    """(anchor, partner) of given anchors and partners, without a common node.
+def unbridged(graph: Graph, anchors: DataFrame, first: str, second: str, partner_kind: str, template: str = "bridge", seed: str = SEED) -> DataFrame:
+    """(anchor, partner): for each anchor one drawn partner of a kind that has the edge ``second`` itself and no common node with it.
 
-    For a stated set of anchors: each is compared with all partners.
+    An anchor without a row has none.
     """
-    all_ = anchors.select(F.col("e").alias("anchor")).join(partners.select(F.col("e").alias("partner")))
-    return all_.join(bridged(graph, anchors, first, second), ["anchor", "partner"], "left_anti")
+    left, right = bridge_edges(graph, anchors, first, second, partner_kind)
+    return draws.apart(left, right, anchors.select(F.col("e").alias("anchor")), template, seed)
 
 
 def sample(pool: DataFrame, count: int, template: str, seed: str = SEED) -> DataFrame:

@@ -42,7 +42,7 @@ TEMPLATES = [
     Template("shared_suppliers", "06", "set_match", "Which suppliers have {a} and {b} in common?", f"SELECT DISTINCT ?x ?answer WHERE {{ {A} {B_} ?a kg:supplied_by ?x . ?b kg:supplied_by ?x . ?x a c:Supplier ; rdfs:label ?answer }}", "paired", 5, {"kind": "Part", "edge": "supplied_by", "target": "Supplier", "high": 25, "overlap": 2}, 2, 25),
     Template("suppliers_of_one_only", "07", "set_match", "Which suppliers of {a} do not supply {b}?", f"SELECT DISTINCT ?x ?answer WHERE {{ {A} {B_} ?a kg:supplied_by ?x . ?x a c:Supplier ; rdfs:label ?answer . FILTER NOT EXISTS {{ ?b kg:supplied_by ?x }} }}", "paired", 5, {"kind": "Part", "edge": "supplied_by", "target": "Supplier", "low": 3, "high": 25, "overlap": 1}, 2, 25),
     Template("urgent_orders_of_customer", "08", "binary", "Which urgent orders has {seed} placed?", f"SELECT ?x ?answer WHERE {{ {SEED} ?seed kg:places_urgent ?x . ?x rdfs:label ?answer }}", "lacks_edge", 7, {"kind": "Customer", "edge": "places_urgent", "presence": "places", "low": 5}, 0, 0),
-    Template("order_reaches_supplier", "09", "boolean", "Is there a path from {a} over its parts to {b}?", f"SELECT DISTINCT ?a ?b WHERE {{ {A} {B_} ?a kg:contains / kg:supplied_by ?b }}", "bridge", 4, {"kind": "Order", "first": "contains", "second": "supplied_by", "partner": "Supplier", "anchors": 200}),
+    Template("order_reaches_supplier", "09", "boolean", "Does {a} involve a supplier of {b}?", f"SELECT DISTINCT ?a ?b WHERE {{ {A} {B_} ?a kg:involves / ^kg:supplied_by ?b }}", "bridge", 4, {"kind": "Order", "first": "involves", "second": "supplied_by", "partner": "Part", "anchors": 200}),
     Template("second_region", "10", "semantic", "What is the region with key 1 called?", f"SELECT ?answer WHERE {{ <{BASE}Region/1> rdfs:label ?answer }}", "fixed", 1),
 ]
 PLACEHOLDERS = {"fixed": 0, "has_edge": 1, "lacks_edge": 1, "paired": 2, "bridge": 2}
@@ -93,7 +93,7 @@ def instantiate(graph: Graph, t: Template, seed: str = sampling.SEED) -> DataFra
     elif t.mode == "paired":
         own = t.spec
         for anchors in batches(sampling.has_edge(graph, own["kind"], own["edge"], own.get("target"), own.get("low"), own.get("high")), 10 * t.count, t.id, seed):
-            pairs = sampling.paired(graph, anchors, own["edge"], own["kind"], own.get("target"), own["overlap"]).select(F.col("anchor").alias("a"), F.col("partner").alias("b"))
+            pairs = sampling.paired(graph, anchors, own["edge"], own["kind"], own.get("target"), own["overlap"], template=t.id, seed=seed).select(F.col("anchor").alias("a"), F.col("partner").alias("b"))
             found = answers(graph, t, pairs)
             sizes = found.select(F.col("a").alias("anchor"), F.col("b").alias("partner"), F.size("answers").alias("size"))
             picked = sampling.sample_pairs(pairs.withColumnsRenamed({"a": "anchor", "b": "partner"}), sizes, t.count, t.id, t.low, t.high, seed)
@@ -103,9 +103,9 @@ def instantiate(graph: Graph, t: Template, seed: str = sampling.SEED) -> DataFra
         names = ["a", "b"]
     else:
         own = t.spec
-        partners = sampling.of_kind(graph, own["partner"])
         for anchors in batches(sampling.has_edge(graph, own["kind"], own["first"]), own["anchors"], t.id, seed):
-            picked = sampling.sample_boolean(sampling.bridged(graph, anchors, own["first"], own["second"]), sampling.unbridged(graph, anchors, own["first"], own["second"], partners), t.count, t.id, seed)
+            edges = (own["first"], own["second"], own["partner"])
+            picked = sampling.sample_boolean(sampling.bridged(graph, anchors, *edges, template=t.id, seed=seed), sampling.unbridged(graph, anchors, *edges, template=t.id, seed=seed), t.count, t.id, seed)
             picked = picked.withColumnsRenamed({"anchor": "a", "partner": "b"})
             # what the query itself says; a pair on which the two disagree is skipped
             seen = execute_for(graph, t.query, picked.select("a", "b")).withColumn("found", F.lit("true"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieve, sampling, validate
 from ..sources import graph as g
-from . import query
+from . import draw_sql, query
 from .graph_sql import B, sql
 
 SEED = sampling.SEED
@@ -35,43 +35,47 @@ def sm02(spark, sf_dir):
     return sampling.lacks_edge(g.from_tables(spark, sf_dir), "Customer", "places_urgent", "places", low=5)
 
 
-ANCHORS = f"anchors AS (SELECT s AS e FROM supplied_by GROUP BY 1 HAVING count(DISTINCT o) <= 25 ORDER BY {at('pairs', 's')}, s LIMIT 20)"
-PAIRS = ANCHORS + ", pairs AS (SELECT a.s AS anchor, b.s AS partner, count(DISTINCT a.o) AS overlap FROM supplied_by a JOIN supplied_by b ON a.o = b.o AND a.s <> b.s WHERE a.s IN (SELECT e FROM anchors) GROUP BY 1, 2 HAVING count(DISTINCT a.o) >= 2)"
+FITTING = "fitting AS (SELECT s AS e FROM supplied_by GROUP BY 1 HAVING count(DISTINCT o) BETWEEN {low} AND 25)"
+PART_EDGES = "(SELECT s AS anchor, o AS x FROM supplied_by WHERE s IN (SELECT e FROM fitting))", "(SELECT s AS partner, o AS x FROM supplied_by)"
 
 
-def anchors(graph):
-    return sampling.sample(sampling.has_edge(graph, "Part", "supplied_by", high=25), 20, "pairs")
+def drawn_pairs(template: str, least: int, low: int = 1) -> str:
+    """Drawn partners of all parts within the fan bound, as tables up to ``pairs``."""
+    return FITTING.format(low=low) + ", " + draw_sql.common("pairs", *PART_EDGES, template, sampling.MAX_ATTEMPTS, sampling.PAIR_DRAWS, least)
 
 
-FITTING = "fitting AS (SELECT s AS e FROM supplied_by GROUP BY 1 HAVING count(DISTINCT o) <= 25)"
+def anchors(graph):
+    return sampling.has_edge(graph, "Part", "supplied_by", high=25)
 
 
-@query("sm03_paired", sql("SELECT a.s AS anchor, b.s AS partner, count(DISTINCT a.o) AS overlap FROM supplied_by a JOIN supplied_by b ON a.o = b.o AND a.s <> b.s WHERE a.s IN (SELECT e FROM fitting) GROUP BY 1, 2 HAVING count(DISTINCT a.o) >= 2", more=FITTING))
+@query("sm03_paired", sql("SELECT anchor, partner, CAST(overlap AS INTEGER) AS overlap FROM pairs", more=drawn_pairs("pairs", 2)))
 def sm03(spark, sf_dir):
     """All parts within the fan bound are anchors."""
     graph = g.from_tables(spark, sf_dir)
-    return sampling.paired(graph, sampling.has_edge(graph, "Part", "supplied_by", high=25), "supplied_by", "Part", "Supplier", low=2)
+    return sampling.paired(graph, anchors(graph), "supplied_by", "Part", "Supplier", low=2)
 
 
-ORDERS = f"anchors AS (SELECT s AS e FROM contains GROUP BY 1 ORDER BY {at('bridge', 's')}, s LIMIT 30)"
+ORDER_EDGES = "(SELECT s AS anchor, o AS x FROM involves)", "(SELECT s AS partner, o AS x FROM supplied_by)"
+ORDERS = "(SELECT DISTINCT s AS anchor FROM involves)"
+BRIDGE = "involves", "supplied_by", "Part"
 
 
 def order_anchors(graph):
-    return sampling.sample(sampling.has_edge(graph, "Order", "contains"), 30, "bridge")
+    return sampling.has_edge(graph, "Order", "involves")
 
 
-@query("sm04_bridge_exists", sql("SELECT DISTINCT a.s AS anchor, b.o AS partner FROM contains a JOIN supplied_by b ON a.o = b.s"))
+@query("sm04_bridge_exists", sql("SELECT anchor, partner FROM yes", more=draw_sql.common("yes", *ORDER_EDGES, "bridge", 20, sampling.BRIDGE_DRAWS)))
 def sm04(spark, sf_dir):
-    """All orders are anchors."""
+    """All orders are anchors; of each, 20 drawn parts at most that share a supplier with it."""
     graph = g.from_tables(spark, sf_dir)
-    return sampling.bridged(graph, sampling.has_edge(graph, "Order", "contains"), "contains", "supplied_by")
+    return sampling.bridged(graph, order_anchors(graph), *BRIDGE, attempts=20)
 
 
-@query("sm05_bridge_absent", sql("SELECT a.e AS anchor, n.iri AS partner FROM anchors a, nodes n WHERE n.kind = 'Supplier' AND NOT EXISTS (SELECT 1 FROM contains c JOIN supplied_by d ON c.o = d.s WHERE c.s = a.e AND d.o = n.iri)", more=ORDERS))
+@query("sm05_bridge_absent", sql("SELECT anchor, partner FROM no", more=draw_sql.apart("no", ORDERS, *ORDER_EDGES, "bridge")))
 def sm05(spark, sf_dir):
-    """For a stated set of anchors, as the result is a product of anchors and partners."""
+    """All orders are anchors; of each, a drawn part that has suppliers, but none in common with it."""
     graph = g.from_tables(spark, sf_dir)
-    return sampling.unbridged(graph, order_anchors(graph), "contains", "supplied_by", sampling.of_kind(graph, "Supplier"))
+    return sampling.unbridged(graph, order_anchors(graph), *BRIDGE)
 
 
 @query("sm06_first_label", sql("SELECT iri AS e, min(label) AS label FROM nodes WHERE kind = 'Part' GROUP BY 1"))
@@ -99,25 +103,24 @@ def sm08(spark, sf_dir):
     return own.select("e", F.array_join("answers", "~").alias("answers"))
 
 
-@query("sm09_sample_pairs", sql(f"""SELECT anchor, partner, size FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY n) AS first FROM
-(SELECT *, overlap AS size, row_number() OVER (PARTITION BY anchor ORDER BY {at('inter', 'anchor', 'partner')}, partner) AS n FROM pairs) WHERE n <= 200 AND size BETWEEN 2 AND 25) WHERE first = 1 ORDER BY {at('inter', 'anchor')}, anchor LIMIT 5""", more=PAIRS))
+@query("sm09_sample_pairs", sql(f"SELECT anchor, partner, CAST(overlap AS INTEGER) AS size FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY nth) AS first FROM pairs WHERE overlap BETWEEN 2 AND 25) WHERE first = 1 ORDER BY {at('inter', 'anchor')}, anchor LIMIT 5", more=drawn_pairs("inter", 2)))
 def sm09(spark, sf_dir):
+    """All parts within the fan bound are anchors."""
     graph = g.from_tables(spark, sf_dir)
-    pairs = sampling.paired(graph, anchors(graph), "supplied_by", "Part", "Supplier", low=2)
+    pairs = sampling.paired(graph, anchors(graph), "supplied_by", "Part", "Supplier", low=2, template="inter")
     return sampling.sample_pairs(pairs.select("anchor", "partner"), pairs.select("anchor", "partner", F.col("overlap").alias("size")), 5, "inter", 2, 25)
 
 
-BRIDGES = ORDERS + f""", yes AS (SELECT DISTINCT a.s AS anchor, b.o AS partner FROM contains a JOIN supplied_by b ON a.o = b.s WHERE a.s IN (SELECT e FROM anchors)),
-no AS (SELECT a.e AS anchor, n.iri AS partner FROM anchors a, nodes n WHERE n.kind = 'Supplier' AND (a.e, n.iri) NOT IN (SELECT (anchor, partner) FROM yes)),
-y1 AS (SELECT anchor, min_by(partner, {at('path:true', 'anchor', 'partner')}) AS partner, min({at('path:true', 'anchor', 'partner')}) AS k FROM yes GROUP BY 1 ORDER BY k, anchor LIMIT 2),
-n1 AS (SELECT anchor, min_by(partner, {at('path:false', 'anchor', 'partner')}) AS partner, min({at('path:false', 'anchor', 'partner')}) AS k FROM no WHERE anchor NOT IN (SELECT anchor FROM y1) GROUP BY 1 ORDER BY k, anchor LIMIT 3)"""
+BALANCED = ", ".join([draw_sql.common("yes", *ORDER_EDGES, "path", 1, sampling.BRIDGE_DRAWS), draw_sql.apart("no", ORDERS, *ORDER_EDGES, "path"), f"""y1 AS (SELECT anchor, partner, {at('path:true', 'anchor', 'partner')} AS k FROM yes ORDER BY k, anchor LIMIT 2),
+n1 AS (SELECT anchor, partner, {at('path:false', 'anchor', 'partner')} AS k FROM no WHERE anchor NOT IN (SELECT anchor FROM y1) ORDER BY k, anchor LIMIT 3)"""])
 
 
-@query("sm10_sample_boolean", sql("SELECT anchor, partner, 'true' AS answer FROM y1 UNION ALL SELECT anchor, partner, 'false' FROM n1", more=BRIDGES))
+@query("sm10_sample_boolean", sql("SELECT anchor, partner, 'true' AS answer FROM y1 UNION ALL SELECT anchor, partner, 'false' FROM n1", more=BALANCED))
 def sm10(spark, sf_dir):
+    """All orders are anchors."""
     graph = g.from_tables(spark, sf_dir)
     own = order_anchors(graph)
-    return sampling.sample_boolean(sampling.bridged(graph, own, "contains", "supplied_by"), sampling.unbridged(graph, own, "contains", "supplied_by", sampling.of_kind(graph, "Supplier")), 5, "path")
+    return sampling.sample_boolean(sampling.bridged(graph, own, *BRIDGE, template="path"), sampling.unbridged(graph, own, *BRIDGE, template="path"), 5, "path")
 
 
 @query("sm13_truth_shape", sql("SELECT s AS e, string_agg(label, '~' ORDER BY label) AS answers FROM contains JOIN nodes ON iri = o GROUP BY 1"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import retrieve, templates, validate
+from ..operators import retrieve, sampling, templates, validate
 from ..plans.algebra import InvalidQuery
 from ..plans.sparql import canonical_text, parse
 from ..sources import graph as g, scratch
-from . import query
+from . import draw_sql, query
 from .graph_sql import B, sql
-from .question_queries import at
+from .question_queries import ORDER_EDGES, ORDERS, at, drawn_pairs
 
 
 def template(name: str):
@@ -42,10 +42,32 @@ register("sm12_parts_of_order", "parts_of_order", one("parts_of_order", "SELECT
 register("sm12_parts_ordered", "parts_ordered_by_customer", one("parts_ordered_by_customer", "SELECT DISTINCT a.s AS seed, b.o, label AS answer FROM places a JOIN contains b ON a.o = b.s JOIN nodes ON iri = b.o", template("parts_ordered_by_customer").wording, "n BETWEEN 2 AND 25"))
 register("sm12_nations_supplying", "nations_supplying_customer", one("nations_supplying_customer", f"SELECT DISTINCT a.s AS seed, c.o, label AS answer FROM places a JOIN involves b ON a.o = b.s JOIN based_in c ON c.s = b.o JOIN nodes ON iri = c.o WHERE b.o LIKE '{B}Supplier/%'", template("nations_supplying_customer").wording, "n BETWEEN 2 AND 25"))
 register("sm12_parts_of_supplier", "parts_of_supplier", one("parts_of_supplier", "SELECT o AS seed, s AS answer FROM supplied_by", template("parts_of_supplier").wording, truth="'' || count(DISTINCT answer)"))
-register("sm12_shared_suppliers", "shared_suppliers")
-register("sm12_suppliers_of_one_only", "suppliers_of_one_only")
+
+
+def two(name: str, size: str, answers: str, least: int, low: int = 1) -> str:
+    """Twin of a template with two seeds: drawn pairs, the size of their answer, and the answers (anchor, partner, answer)."""
+    t = template(name)
+    chosen = f"picked AS (SELECT anchor, partner, {at(name, 'anchor')} AS k FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY nth) AS first FROM pairs WHERE ({size}) BETWEEN {t.low} AND {t.high}) WHERE first = 1 ORDER BY k, anchor LIMIT {t.count})"
+    return sql(f"""SELECT '{t.type_id}__{name}__' || lpad('' || row_number() OVER (ORDER BY k), 2, '0') AS question_id, replace(replace('{t.wording}', '{{a}}', a.label), '{{b}}', b.label) AS question, truth
+FROM picked JOIN (SELECT anchor, partner, string_agg(answer, '~' ORDER BY answer) AS truth FROM ({answers}) GROUP BY 1, 2) USING (anchor, partner) JOIN {LAB} a ON a.iri = anchor JOIN {LAB} b ON b.iri = partner""", more=drawn_pairs(name, least, low) + ", " + chosen)
+
+
+register("sm12_shared_suppliers", "shared_suppliers", two("shared_suppliers", "overlap", "SELECT anchor, partner, label AS answer FROM picked JOIN supplied_by x ON x.s = anchor JOIN supplied_by y ON y.s = partner AND y.o = x.o JOIN nodes ON iri = x.o", 2))
+register("sm12_suppliers_of_one_only", "suppliers_of_one_only", two("suppliers_of_one_only", "(SELECT count(*) FROM supplied_by WHERE s = anchor) - overlap", "SELECT anchor, partner, label AS answer FROM picked JOIN supplied_by x ON x.s = anchor JOIN nodes ON iri = x.o WHERE NOT EXISTS (SELECT 1 FROM supplied_by y WHERE y.s = partner AND y.o = x.o)", 1, 3))
 register("sm12_urgent_orders", "urgent_orders_of_customer", one("urgent_orders_of_customer", "SELECT s AS seed, o AS answer FROM places WHERE s NOT IN (SELECT s FROM places_urgent)", template("urgent_orders_of_customer").wording, "n >= 5", truth="''"))
-register("sm12_order_reaches_supplier", "order_reaches_supplier")
+
+
+def reaches() -> str:
+    t = template("order_reaches_supplier")
+    name, yes = t.id, t.count // 2
+    more = ", ".join([draw_sql.common("yes", *ORDER_EDGES, name, 1, sampling.BRIDGE_DRAWS), draw_sql.apart("no", ORDERS, *ORDER_EDGES, name), f"""pool AS (SELECT anchor FROM {ORDERS} ORDER BY {at(name, 'anchor')}, anchor LIMIT {t.spec['anchors']}),
+y1 AS (SELECT anchor, partner, {at(name + ':true', 'anchor', 'partner')} AS k FROM yes JOIN pool USING (anchor) ORDER BY k, anchor LIMIT {yes}),
+n1 AS (SELECT anchor, partner, {at(name + ':false', 'anchor', 'partner')} AS k FROM no JOIN pool USING (anchor) WHERE anchor NOT IN (SELECT anchor FROM y1) ORDER BY k, anchor LIMIT {t.count - yes}),
+picked AS (SELECT anchor, partner, 'true' AS truth, {at(name, 'anchor')} AS k FROM y1 UNION ALL SELECT anchor, partner, 'false', {at(name, 'anchor')} FROM n1)"""])
+    return sql(f"SELECT '{t.type_id}__{name}__' || lpad('' || row_number() OVER (ORDER BY k), 2, '0') AS question_id, replace(replace('{t.wording}', '{{a}}', a.label), '{{b}}', b.label) AS question, truth FROM picked JOIN {LAB} a ON a.iri = anchor JOIN {LAB} b ON b.iri = partner", more=more)
+
+
+register("sm12_order_reaches_supplier", "order_reaches_supplier", reaches())
 register("sm11_fixed", "second_region", sql(f"SELECT '10__second_region__01' AS question_id, 'What is the region with key 1 called?' AS question, label AS truth FROM nodes WHERE iri = '{B}Region/1'"))
 
 
