@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from . import vector_index
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,17 +28,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, distance) of the k nearest vectors of each query (query_id, query); ties to the smaller id.
 
-    The query set is broadcast when it is small (10,000 at most), else partitions of
-    both sides meet pair by pair; no query is left out.  Every partition keeps its
-    own best k before the shuffle (the window's group limit).
+    Exact, by inverted lists (``vector_index``).  Vectors and queries that are null, empty or zero, or hold null or
+    non-finite components, take no part; nor do pairs of different lengths.  Query ids are distinct.
     """
-    queries = queries.select("query_id", "query")
-    if queries.limit(10_001).count() <= 10_000:
-        queries = F.broadcast(queries)
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v")).crossJoin(queries)
-    scored = pairs.select("query_id", "id", cosine_distance(F.col("_v"), F.col("query")).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    return vector_index.search(vector_index.build(vectors, id_col, vector_col), queries, k)[0]
 
 
 def context_block(rows: DataFrame, label: str = "label", entity: str = "entity", pmid: str = "pmid", document: str = "document") -> DataFrame:

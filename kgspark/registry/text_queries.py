@@ -54,21 +54,27 @@ def tx06(spark, sf_dir):
     return own.select("vec_id", F.round(vector.norm(F.col("v")), 6).alias("length"), F.round(F.col("v")[0], 6).alias("first"))
 
 
-@query("tx07_cosine_top_k", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, 1 - list_cosine_similarity(v.e, q.e) AS d FROM e q, e v WHERE q.vec_id < 20)
-SELECT query_id, CAST(r AS INTEGER) AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS r FROM p) WHERE r <= 5""")
-def tx07(spark, sf_dir):
+NEAREST = """e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(1 - list_cosine_similarity(v.e, q.e), 12) AS d FROM e q, e v WHERE q.vec_id % 100 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS r FROM p QUALIFY r <= 5)"""
+
+
+def searched(spark, sf_dir):
+    """Queries are the vectors whose id is divisible by 100, against all vectors."""
     rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
-    queries = rows.where("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
-    return vector.nearest(rows, queries, 5).select("query_id", "rank", "id")
+    return vector.nearest(rows, rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), 5)
 
 
-@query("tx08_context_block")
+@query("tx07_cosine_top_k", f"WITH {NEAREST} SELECT query_id, CAST(r AS INTEGER) AS rank, id FROM n")
+def tx07(spark, sf_dir):
+    return searched(spark, sf_dir).select("query_id", "rank", "id")
+
+
+@query("tx08_context_block", f"WITH {NEAREST} SELECT query_id, string_agg('[' || source || ' — PMID ' || doc_id || '] ' || text, chr(10) || chr(10) ORDER BY r) AS context, string_agg(printf('%.4f', d + 1e-9), ' ' ORDER BY r) AS distances FROM n JOIN documents ON doc_id = id GROUP BY 1")
 def tx08(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
-    queries = rows.where("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("label"), F.col("source").alias("entity"), F.col("doc_id").cast("string").alias("pmid"), F.col("text").alias("document"))
-    return vector.context_block(vector.nearest(rows, queries, 5).join(docs, "id"))
+    own = vector.context_block(searched(spark, sf_dir).join(docs, "id"))
+    return own.select("query_id", "context", F.array_join(F.transform("distances", lambda d: F.format_string("%.4f", d + 1e-9)), " ").alias("distances"))
 
 
 @query("tx09_file_name", "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g') AS file FROM pages")
