@@ -18,6 +18,7 @@ from ..plans.algebra import InvalidQuery, Query, Var, aggregates
 from ..plans.compiler import Compiler
 from ..plans.sparql import parse
 from ..sources.graph import LABEL, PREDICATE, Graph
+from .matching import matches
 
 LONGEST = 10  # words of a linked label at most
 PER_PREDICATE, TOTAL, FETCH = 25, 200, 5000
@@ -41,13 +42,8 @@ def gazetteer(graph: Graph) -> DataFrame:
 
 def link(questions: DataFrame, names: DataFrame) -> DataFrame:
     """(question_id, iri, label): greedy longest match from left to right, a match's words used up, entities once."""
-    words = F.split(normalize(F.col("question")), " ")
-    grams = F.expr(f"flatten(transform(sequence(0, size(w) - 1), i -> transform(sequence(1, least({LONGEST}, size(w) - i)), n -> struct(i as at, n as n, array_join(slice(w, i + 1, n), ' ') as name))))")
-    spans = questions.select("question_id", words.alias("w")).where("w[0] <> ''").select("question_id", F.inline(grams))
-    hits = spans.join(names.where(F.col("words") <= LONGEST), "name").select("question_id", F.struct("at", (-F.col("n")).alias("n"), "iri", "label").alias("hit"))
-    own = hits.groupBy("question_id").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-    fold = F.expr("aggregate(hits, struct(0 as free, cast(array() as array<struct<iri:string,label:string>>) as kept), (s, h) -> if(h.at >= s.free, struct(h.at - h.n as free, concat(s.kept, array(struct(h.iri as iri, h.label as label))) as kept), s)).kept")
-    return own.select("question_id", F.inline(fold)).distinct()
+    known = names.where(F.col("words") <= LONGEST).select("name", "iri", "label")
+    return matches(questions.select("question_id", "question"), known, "question", "name", longest=True).select("question_id", "iri", "label").distinct()
 
 
 def hop(graph: Graph, frontier: DataFrame, fetch: int = FETCH) -> DataFrame:

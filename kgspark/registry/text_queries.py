@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import judges, text, vector
+from ..operators import matching
 from . import query
 
 
@@ -106,17 +107,9 @@ def src06(spark, sf_dir):
 
 @query("jd01_contains_run", f"SELECT doc_id, item_id FROM (SELECT doc_id, ' ' || {NORM.format('text')} || ' ' AS h FROM documents) JOIN (SELECT item_id, {NORM.format('text')} AS p FROM benchmark) ON len(p) > 0 AND contains(h, ' ' || p || ' ')")
 def jd01(spark, sf_dir):
-    """Passages of benchmark in documents: candidates meet by their first four tokens (all of a shorter passage), then the whole run is tested."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", text.normalize(F.col("text")).alias("p")).where("p <> ''")
-    first = F.slice(F.split("p", " "), 1, 4)
-    items = items.withColumns({"head": F.array_join(first, " "), "n": F.size(first)})
-    lengths = items.select("n").distinct()  # 1 to 4: four rows at most
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("h"))
-    tokens = docs.select("doc_id", F.split("h", " ").alias("t")).join(F.broadcast(lengths), F.size("t") >= F.col("n"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.array_join(F.slice("t", i, F.col("n")), " "))
-    heads = tokens.select("doc_id", "n", F.explode(F.array_distinct(runs)).alias("head"))
-    pairs = heads.join(F.broadcast(items) if items.limit(10_001).count() <= 10_000 else items, ["head", "n"])
-    return pairs.join(docs, "doc_id").where(text.contains_run(F.col("h"), F.col("p"))).select("doc_id", "item_id").distinct()
+    """Passages of benchmark in documents: all texts go through an automaton of all passages."""
+    own = matching.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return own.select("doc_id", "item_id").distinct()
 
 
 ANSWERS = "SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'"
