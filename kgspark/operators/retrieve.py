@@ -18,10 +18,10 @@ from ..plans.algebra import InvalidQuery, Query, Var, aggregates
 from ..plans.compiler import Compiler
 from ..plans.sparql import parse
 from ..sources.graph import LABEL, PREDICATE, Graph
+from .adjacency import FETCH, Adjacency, around, capped  # noqa: F401
 from .matching import matches
 
 LONGEST = 10  # words of a linked label at most
-PER_PREDICATE, TOTAL, FETCH = 25, 200, 5000
 ROWS = 200  # of a written query
 
 
@@ -60,20 +60,10 @@ def hop(graph: Graph, frontier: DataFrame, fetch: int = FETCH) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def neighborhood(graph: Graph, questions: DataFrame, hops: int = 1) -> DataFrame:
-    """Context of ``hops`` expansions from linked entities, capped by predicate and in all."""
+def neighborhood(graph: Graph, questions: DataFrame, hops: int = 1, adjacency: Adjacency | None = None) -> DataFrame:
+    """Context of ``hops`` expansions from linked entities, capped by predicate and in all; stored runs serve many calls."""
     anchors = link(questions, gazetteer(graph))
-    frontier, seen, found = anchors.select("question_id", "iri"), anchors.select("question_id", "iri"), None
-    for _ in range(hops):
-        step = hop(graph, frontier)
-        found = step if found is None else found.unionByName(step)
-        reached = step.where("other is not null").select("question_id", F.col("other").alias("iri")).distinct()
-        frontier = reached.join(seen, ["question_id", "iri"], "left_anti")
-        seen = seen.unionByName(frontier)
-    labels = graph.scan(LABEL).groupBy("s").agg(F.min("o").alias("label"))
-    name = lambda df, c: df.join(labels.select(F.col("s").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_name", F.coalesce(f"{c}_label", F.when(F.startswith(c, F.lit("http")), F.substring_index(c, "/", -1)).otherwise(F.col(c)))).drop(f"{c}_label")
-    named = name(name(found.select("question_id", "s", "p", "o", "other").distinct(), "s"), "o").withColumn("p_name", F.substring_index("p", "/", -1))
-    kept = capped(named.select("question_id", "s_name", "p_name", "o_name", "other").distinct())
+    kept = around(graph, anchors, hops, adjacency)
     lines = kept.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "s_name", "p_name", "o_name").alias("line")))), lambda x: x["line"]), "\n").alias("context"), F.collect_set("other").alias("others"), F.count("*").alias("num_triples"))
     starts = anchors.groupBy("question_id").agg(F.collect_set("iri").alias("iris"), F.count("*").alias("num_linked"))
     own = questions.select("question_id").join(starts, "question_id", "left").join(lines, "question_id", "left")
@@ -81,13 +71,6 @@ def neighborhood(graph: Graph, questions: DataFrame, hops: int = 1) -> DataFrame
     return result(own.select("question_id", F.coalesce("context", F.lit("")).alias("context"), F.array_sort(F.array_union(F.coalesce("iris", none), F.coalesce("others", none))).alias("sources"), F.coalesce("num_linked", F.lit(0)).alias("num_linked"), F.coalesce("num_triples", F.lit(0)).alias("num_triples")))
 
 
-def capped(rows: DataFrame, per_predicate: int = PER_PREDICATE, total: int = TOTAL) -> DataFrame:
-    """The first ``per_predicate`` of each predicate and ``total`` in all, in text order of subject, predicate, object, then by the other node; adds rank."""
-    text = ["s_name", "p_name", "o_name", "other"]
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("question_id", "p_name").orderBy(*text))).where(F.col("_n") <= per_predicate).drop("_n")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*text))).where(F.col("rank") <= total)
-
-
 FENCE = re.compile(r"```(?:\w+)?[ \t]*\n?(.*?)(?:```|\Z)", re.DOTALL)
 
 

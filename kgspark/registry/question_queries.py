@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import retrieve, sampling, validate
+from ..operators import adjacency, retrieve, sampling, validate
 from ..sources import graph as g
 from . import draw_sql, query
 from .graph_sql import B, sql
@@ -197,40 +197,55 @@ def rt03(spark, sf_dir):
     return retrieve.link(questions, retrieve.gazetteer(graph)).select("question_id", "iri")
 
 
-@query("rt04_hop", sql(f"SELECT s AS question_id, s, p, o FROM triples WHERE s IN ('{B}Order/10', '{B}Region/1') AND starts_with(p, '{B}p/') UNION ALL SELECT o, s, p, o FROM triples WHERE o IN ('{B}Order/10', '{B}Region/1') AND starts_with(p, '{B}p/')", triples=True))
+ASKED = "asked AS (SELECT iri FROM nodes WHERE kind = 'Nation' OR kind = 'Order')"
+
+
+@query("rt04_hop", sql(f"SELECT s AS question_id, s, p, o FROM triples WHERE s IN (SELECT iri FROM asked) AND starts_with(p, '{B}p/') UNION ALL SELECT o, s, p, o FROM triples WHERE o IN (SELECT iri FROM asked) AND starts_with(p, '{B}p/')", triples=True, more=ASKED))
 def rt04(spark, sf_dir):
-    frontier = spark.createDataFrame([(f"{B}Order/10",) * 2, (f"{B}Region/1",) * 2], "question_id string, iri string")
-    return retrieve.hop(g.from_tables(spark, sf_dir), frontier).select("question_id", "s", "p", "o")
+    """Around all orders and nations."""
+    graph, questions = asked(spark, sf_dir)
+    return retrieve.hop(graph, questions.select("question_id", F.col("question_id").alias("iri"))).select("question_id", "s", "p", "o")
+
+
+def capped_sql(first: str, hops: int = 1) -> str:
+    """Tables up to k: kept edges around the nodes of ``first`` (question_id, iri), with their rank r."""
+    steps = ["v0 AS (" + first + ")"]
+    edge = f"SELECT question_id, s, p, o FROM {{0}} JOIN triples ON s = iri WHERE starts_with(p, '{B}p/') UNION SELECT question_id, s, p, o FROM {{0}} JOIN triples ON o = iri WHERE starts_with(p, '{B}p/')"
+    for i in range(hops):
+        steps.append(f"e{i} AS ({edge.format(f'v{i}')})")
+        steps.append(f"v{i + 1} AS (SELECT DISTINCT question_id, n AS iri FROM (SELECT question_id, unnest([s, o]) AS n FROM e{i}) JOIN (SELECT DISTINCT iri FROM nodes) k ON k.iri = n WHERE " + " AND ".join(f"(question_id, n) NOT IN (SELECT (question_id, iri) FROM v{k})" for k in range(i + 1)) + ")")
+    # an edge is seen from each end that is expanded
+    each = " UNION ".join(f"SELECT e.*, CASE WHEN e.s = v.iri THEN o ELSE s END AS far FROM e{i} e JOIN v{i} v ON v.question_id = e.question_id AND (v.iri = e.s OR v.iri = e.o)" for i in range(hops))
+    steps.append(f"""e AS ({each}),
+l AS (SELECT DISTINCT question_id, a.label AS sn, regexp_extract(p, '[^/]*$') AS pn, coalesce(b.label, o) AS onn, CASE WHEN c.iri IS NOT NULL THEN far END AS other FROM e JOIN {LAB} a ON a.iri = s LEFT JOIN {LAB} b ON b.iri = o LEFT JOIN {LAB} c ON c.iri = far),
+c AS (SELECT *, row_number() OVER (PARTITION BY question_id, pn ORDER BY sn, pn, onn, other NULLS FIRST) AS n FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sn, pn, onn, other NULLS FIRST) AS r FROM c WHERE n <= 25)""")
+    return ", ".join(steps)
+
+
+CONTEXT = "SELECT question_id, string_agg(sn || ' ' || pn || ' ' || onn, chr(10) ORDER BY r) AS context, count(*) AS num_triples{0} FROM k WHERE r <= 200 GROUP BY 1"
+ALL = "SELECT iri AS question_id, iri FROM nodes WHERE kind = 'Nation' OR kind = 'Order'"
 
 
-@query("rt05_two_hops")
+@query("rt05_two_hops", sql(CONTEXT.format(", list_aggregate(list_sort(list_distinct(list_append(list_filter(array_agg(other), lambda x: x IS NOT NULL), question_id))), 'string_agg', '~') AS sources"), triples=True, more=capped_sql(f"SELECT iri AS question_id, iri FROM nodes WHERE kind = 'Order' AND iri LIKE '%00'", 2)))
 def rt05(spark, sf_dir):
     """Questions are those of orders whose key is divisible by 100, against the whole graph."""
     graph, questions = asked(spark, sf_dir)
-    return retrieve.retrieve("graph_neighborhood_2hop", graph, questions.where("question_id rlike 'Order/[0-9]*00$'"))
+    own = retrieve.retrieve("graph_neighborhood_2hop", graph, questions.where("question_id rlike 'Order/[0-9]*00$'"))
+    return own.select("question_id", "context", "num_triples", F.array_join("sources", "~").alias("sources"))
 
 
-CAP = f"""e AS (SELECT DISTINCT q.iri AS question_id, s, p, o FROM nodes q JOIN triples ON s = q.iri OR o = q.iri WHERE q.kind = 'Nation' AND starts_with(p, '{B}p/')),
-l AS (SELECT DISTINCT question_id, a.label AS sn, regexp_extract(p, '[^/]*$') AS pn, coalesce(b.label, o) AS onn, CASE WHEN s <> question_id THEN s WHEN b.label IS NOT NULL THEN o END AS other FROM e JOIN {LAB} a ON a.iri = s LEFT JOIN {LAB} b ON b.iri = o),
-c AS (SELECT *, row_number() OVER (PARTITION BY question_id, pn ORDER BY sn, pn, onn, other NULLS FIRST) AS n FROM l),
-k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sn, pn, onn, other NULLS FIRST) AS r FROM c WHERE n <= 25)"""
-
-
-@query("rt06_capped", sql("SELECT question_id, sn AS s_name, pn AS p_name, onn AS o_name, CAST(r AS INTEGER) AS rank FROM k WHERE r <= 200", triples=True, more=CAP))
+@query("rt06_capped", sql("SELECT question_id, sn AS s_name, pn AS p_name, onn AS o_name, CAST(r AS INTEGER) AS rank FROM k WHERE r <= 200", triples=True, more=capped_sql(ALL)))
 def rt06(spark, sf_dir):
-    graph = g.from_tables(spark, sf_dir)
-    nations = sampling.of_kind(graph, "Nation").select(F.col("e").alias("question_id"), F.col("e").alias("iri"))
-    labels = graph.scan(g.LABEL).groupBy("s").agg(F.min("o").alias("label"))
-    found = retrieve.hop(graph, nations, fetch=10**9).select("question_id", "s", "p", "o", "other")
-    found = found.join(labels.withColumnRenamed("label", "s_name"), "s").join(labels.select(F.col("s").alias("o"), F.col("label").alias("o_name")), "o", "left")
-    found = found.select("question_id", "s_name", F.substring_index("p", "/", -1).alias("p_name"), F.coalesce("o_name", "o").alias("o_name"), "other").distinct()
-    return retrieve.capped(found).drop("other")
+    """Around all orders and nations."""
+    graph, questions = asked(spark, sf_dir)
+    return adjacency.around(graph, questions.select("question_id", F.col("question_id").alias("iri"))).drop("other")
 
 
-@query("rt07_context", sql("SELECT question_id, string_agg(sn || ' ' || pn || ' ' || onn, chr(10) ORDER BY r) AS context, count(*) AS num_triples FROM k WHERE r <= 200 GROUP BY 1", triples=True, more=CAP))
+@query("rt07_context", sql(CONTEXT.format(""), triples=True, more=capped_sql(ALL)))
 def rt07(spark, sf_dir):
-    graph, questions = asked(spark, sf_dir)
-    return retrieve.neighborhood(graph, questions.where("question_id like '%Nation%'"), 1).select("question_id", "context", "num_triples")
+    """For all orders and nations."""
+    return retrieve.neighborhood(*asked(spark, sf_dir), 1).select("question_id", "context", "num_triples")
 
 
 WRITTEN = "Here it is:\n```sparql\nPREFIX k: <" + B + "p/>\nSELECT ?o ?p WHERE { ?o k:contains ?p }\n```\nDone."
