@@ -67,11 +67,12 @@ def src07(spark, sf_dir):
     return articles.parse(articles.render(abstracts(spark, sf_dir)))
 
 
-@query("src09_articles", r"""SELECT '' || doc_id AS pmid, 'A & title ' || lang AS title, 'one ' || source || ' two' AS abstract FROM documents WHERE doc_id % 3 > 0""")
+@query("src09_articles", r"""SELECT '' || doc_id AS pmid, 'A & title α β ' || lang AS title, 'one < ' || source || ' two H 2 O' AS abstract FROM documents WHERE doc_id % 3 > 0""")
 def src09(spark, sf_dir):
+    """Articles with nested tags, comments, character references and unparsed sections."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    body = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit('<Abstract><AbstractText Label="x">one '), "source", F.lit("</AbstractText><AbstractText>two</AbstractText></Abstract>"))).otherwise("")
-    xml = docs.select(F.concat(F.lit("<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>"), "doc_id", F.lit("</PMID><Article><ArticleTitle>A &amp; <i>title</i> "), "lang", F.lit("</ArticleTitle>"), body, F.lit("</Article></MedlineCitation></PubmedArticle></PubmedArticleSet>")).alias("value"))
+    body = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit('<Abstract><AbstractText Label="x"><![CDATA[one < ]]>'), "source", F.lit("<!-- no text --></AbstractText><AbstractText/><AbstractText>two H<sub>2</sub>O</AbstractText></Abstract>"))).otherwise("")
+    xml = docs.select(F.concat(F.lit('<?xml version="1.0" encoding="ISO-8859-1"?><PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version="1">'), "doc_id", F.lit("</PMID><Article><ArticleTitle>A &amp; <i>title</i> &#945; <b>&#x3b2;</b> "), "lang", F.lit("</ArticleTitle>"), body, F.lit("</Article></MedlineCitation></PubmedArticle></PubmedArticleSet>")).alias("value"))
     return articles.parse_articles(xml)
 
 

@@ -2,21 +2,73 @@
 
 from __future__ import annotations
 
+import io
+import re
+import xml.etree.ElementTree as ET
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import LINE_END, file_name
 
-ARTICLE = r"(?s)<PubmedArticle\b.*?</PubmedArticle>"
+DECLARED = re.compile(r"^\s*<\?xml[^>]*\?>")  # (a text is read already, whatever encoding it says)
+ROWS = 1000  # articles that a task hands on at once
+
+
+def flat(element: ET.Element | None) -> str:
+    """An element's pieces of text, those within tags too, trimmed and joined by a blank."""
+    return " ".join(t.strip() for t in element.itertext() if t.strip()) if element is not None else ""
+
+
+def article(element: ET.Element) -> tuple[str, str, str] | None:
+    """(pmid, title, abstract) of an article with an abstract and a number; a record may lack the elements around these."""
+    first = lambda *paths: next((e for p in paths if (e := element.find(p)) is not None), None)
+    pmid = first(".//MedlineCitation/PMID", "PMID")
+    abstract = " ".join(filter(None, map(flat, element.iterfind(".//Abstract/AbstractText"))))
+    if pmid is None or not abstract:
+        return None
+    return pmid.text or "", flat(first(".//Article/ArticleTitle", "ArticleTitle")), abstract
+
+
+def scanned(xml: DataFrame, column: str = "value") -> DataFrame:
+    """(pmid, title, abstract, error): the articles of XML texts, and a row with an error for a text that is not well-formed.
+
+    A text is parsed as a stream, an article at a time.  Of a text with an error the articles before it are
+    no result; null and blank texts have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["pmid", "title", "abstract", "error"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                rows: list[tuple] = []
+                if not (text or "").strip():
+                    continue
+                try:
+                    for _, element in ET.iterparse(io.BytesIO(DECLARED.sub("", text).encode()), ("end",)):
+                        if element.tag == "PubmedArticle":
+                            if (own := article(element)) is not None:
+                                rows.append((*own, None))
+                            element.clear()
+                except ET.ParseError as fault:
+                    rows = [(None, None, None, str(fault))]
+                for i in range(0, len(rows), ROWS):
+                    yield made(rows[i : i + ROWS])
+
+    return xml.select(F.col(column).cast("string").alias("value")).mapInArrow(run, "pmid string, title string, abstract string, error string")
 
 
 def parse_articles(xml: DataFrame, column: str = "value") -> DataFrame:
-    """(pmid, title, abstract) of XML texts; tags within a title or a segment go, segments are joined by a blank, articles without abstract too."""
-    article = xml.select(F.explode(F.regexp_extract_all(column, F.lit(ARTICLE), F.lit(0))).alias("a"))
-    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), r"\s+", " "))
-    entity = lambda x: F.replace(F.replace(F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
-    segments = F.transform(F.regexp_extract_all("a", F.lit(r"(?s)<AbstractText\b[^>]*>(.*?)</AbstractText>"), F.lit(1)), lambda s: entity(plain(s)))
-    rows = article.select(F.regexp_extract("a", r"<PMID\b[^>]*>(\d+)</PMID>", 1).alias("pmid"), entity(plain(F.regexp_extract("a", r"(?s)<ArticleTitle\b[^>]*>(.*?)</ArticleTitle>", 1))).alias("title"), F.array_join(F.filter(segments, lambda s: s != ""), " ").alias("abstract"))
-    return rows.where("abstract <> ''")
+    """(pmid, title, abstract) of XML texts; articles without an abstract or a number go, and texts that are not well-formed."""
+    return scanned(xml, column).where("error is null").drop("error")
+
+
+def faults(xml: DataFrame, column: str = "value") -> DataFrame:
+    """(error) of each text that is not well-formed."""
+    return scanned(xml, column).where("error is not null").select("error")
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:

@@ -123,3 +123,15 @@ def test_sessions(spark, tmp_path):
     stream = spark.readStream.schema("event_id long, ts timestamp, user_id int").parquet(str(tmp_path / "in"))
     out = streams.run_to_end(streams.sessions(stream), "sessions_test").collect()
     assert sorted(r.n for r in out) == [1, 2]
+
+
+def test_articles_in_full_syntax(spark):
+    head = '<!DOCTYPE PubmedArticleSet [<!ENTITY unit "kg">]>'
+    one = "<PubmedArticle><MedlineCitation><PMID>{}</PMID><Article><ArticleTitle>{}</ArticleTitle>{}</Article></MedlineCitation></PubmedArticle>"
+    text = lambda *parts: "<Abstract>" + "".join(f"<AbstractText>{p}</AbstractText>" for p in parts) + "</Abstract>"
+    good = head + "<PubmedArticleSet>" + one.format(1, "<![CDATA[a < b]]> c", text("&#945;&#x3b2; 5 &unit;", "x<sup>2</sup>y", "", "  ")) + one.format(2, "no text", "<Abstract/>") + one.format(3, "", text("<!-- c -->plain <i>in <b>two</b></i> tags")) + one.format(4, "t", text("quoted &lt;PubmedArticle&gt;")) + "</PubmedArticleSet>"
+    rows = [(good,), ("<PubmedArticleSet>" + one.format(5, "t", text("lost & gone")) + "</PubmedArticleSet>",), (None,), ("",), ("<PubmedArticleSet></PubmedArticleSet>",), ("<?xml version='1.0' encoding='latin-1'?>" + one.format(6, "é", text("ü")),)]
+    df = spark.createDataFrame(rows, "value string")
+    got = sorted(tuple(r) for r in articles.parse_articles(df).collect())
+    assert got == [("1", "a < b c", "αβ 5 kg x 2 y"), ("3", "", "plain in two tags"), ("4", "t", "quoted <PubmedArticle>"), ("6", "é", "ü")]
+    assert articles.faults(df).count() == 1
