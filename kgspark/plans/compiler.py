@@ -288,37 +288,83 @@ class Compiler:
     # --- joins -----------------------------------------------------------------------------
     def _shared(self, a: Solution, b: Solution) -> tuple[Solution, Solution, list[str]]:
         shared = [n for n in a.names if n in b.kinds]
-        if set(shared) & (a.maybe | b.maybe):
-            raise InvalidQuery(f"join on variables that may be unbound: {sorted(set(shared) & (a.maybe | b.maybe))}")
         mixed = [n for n in shared if a.kinds[n] != b.kinds[n] or a.kinds[n] is None]
         return a.with_kinds(mixed), b.with_kinds(mixed), shared
 
+    @staticmethod
+    def _by_bound(found: Solution, names: list[str]) -> list[tuple[frozenset[str], DataFrame]]:
+        """Solutions split by which of the names are bound: (bound names, rows)."""
+        out = [(frozenset(names) - found.maybe, found.df)]
+        for n in names:
+            if n in found.maybe:
+                out = [part for bound, df in out for part in ((bound | {n}, df.where(F.col(n).isNotNull())), (bound, df.where(F.col(n).isNull())))]
+        return out
+
+    def _meetings(self, a: Solution, b: Solution, shared: list[str]):
+        """For each way in which shared variables are bound: (bound in a, rows of a, [(keys bound in both, bound in b, rows of b)])."""
+        theirs = self._by_bound(b, shared)
+        for bound, df in self._by_bound(a, shared):
+            yield bound, df, [([n for n in shared if n in bound and n in other], other, rows) for other, rows in theirs]
+
     def join(self, a: Solution | None, b: Solution) -> Solution:
+        """Compatible solutions: those that agree in every variable that both bind."""
         if a is None:
             return b
         a, b, shared = self._shared(a, b)
-        if shared:
-            df = a.df.join(b.df, a.columns(shared))
-        else:  # two seeds, or patterns that nothing connects
-            df = a.df.crossJoin(b.df)
-        return Solution(df, a.kinds | {n: k for n, k in b.kinds.items() if n not in a.kinds}, a.maybe | b.maybe)
+        kinds = a.kinds | {n: k for n, k in b.kinds.items() if n not in a.kinds}
+        both = frozenset(n for n in shared if n in a.maybe and n in b.maybe)
+        out = Solution(a.df, kinds, frozenset(n for n in a.maybe | b.maybe if n not in shared) | both)
+        parts = []
+        for bound, df, others in self._meetings(a, b, shared):
+            for keys, _, rows in others:
+                # a shared variable that is no key is unbound on one side at least
+                left = df.drop(*a.columns([n for n in shared if n not in bound]))
+                right = rows.drop(*b.columns([n for n in shared if n in bound and n not in keys]))
+                # (without keys: two seeds, or patterns that nothing connects)
+                met = left.join(right, a.columns(keys)) if keys else left.crossJoin(right)
+                parts.append(met.select(*out.columns(out.names)))
+        return Solution(reduce(DataFrame.unionByName, parts), out.kinds, out.maybe)
 
     def left_join(self, a: Solution, b: Solution) -> Solution:
+        """Compatible solutions, and those of a that have none."""
         a, b, shared = self._shared(a, b)
-        if not shared:
-            raise InvalidQuery("OPTIONAL shares no variable with what is before it")
-        new = frozenset(n for n in b.names if n not in a.kinds)
-        return Solution(a.df.join(b.df, a.columns(shared), "left"), a.kinds | {n: b.kinds[n] for n in new}, a.maybe | b.maybe | new)
+        new = [n for n in b.names if n not in a.kinds]
+        maybe = a.maybe | (b.maybe & set(new)) | frozenset(new)
+        if shared and not set(shared) & (a.maybe | b.maybe):
+            return Solution(a.df.join(b.df, a.columns(shared), "left"), a.kinds | {n: b.kinds[n] for n in new}, maybe)
+        met, alone = self.join(a, b), self.without(a, b, empty_matters=True)
+        alone = alone.with_kinds([n for n in a.names if met.kinds[n] is None])
+        empty = {c: F.lit(None).cast("string") for c in met.columns(new)}
+        return Solution(met.df.unionByName(alone.df.withColumns(empty) if empty else alone.df), met.kinds, maybe)
 
     def without(self, a: Solution, b: Solution, exists: bool = False, empty_matters: bool = False) -> Solution:
+        """Solutions of a with no (or, exists, with a) compatible one in b; empty_matters: even if they have no bound variable in common."""
         a, b, shared = self._shared(a, b)
-        if not shared:
-            if not empty_matters:
-                return a  # MINUS with no variable in common removes nothing
-            some = b.df.limit(1).agg(F.count("*").alias("_n"))
-            df = a.df.crossJoin(F.broadcast(some)).where(F.col("_n") > 0 if exists else F.col("_n") == 0).drop("_n")
-            return Solution(df, a.kinds, a.maybe)
-        return Solution(a.df.join(b.df.select(*b.columns(shared)).distinct(), a.columns(shared), "left_semi" if exists else "left_anti"), a.kinds, a.maybe)
+        if not shared and not empty_matters:
+            return a  # MINUS with no variable in common removes nothing
+        parts = []
+        for _, df, others in self._meetings(a, b, shared):
+            flags = []
+            for keys, _, rows in others:
+                flag = self.hidden()
+                if keys:
+                    some = rows.select(*b.columns(keys)).distinct()
+                    if len(others) == 1:
+                        df = df.join(some, a.columns(keys), "left_semi" if exists else "left_anti")
+                        continue
+                    df = df.join(some.withColumn(flag, F.lit(True)), a.columns(keys), "left")
+                elif empty_matters:
+                    df = df.crossJoin(F.broadcast(rows.limit(1).agg((F.count("*") > 0).alias(flag))))
+                else:
+                    continue
+                flags.append(flag)
+            if flags:
+                met = reduce(Column.__or__, [F.coalesce(F.col(f), F.lit(False)) for f in flags])
+                df = df.where(met if exists else ~met).drop(*flags)
+            elif exists and not any(keys for keys, _, _ in others):
+                df = df.where(F.lit(False))
+            parts.append(df.select(*a.columns(a.names)))
+        return Solution(reduce(DataFrame.unionByName, parts), a.kinds, a.maybe)
 
     def _united(self, a: Solution, b: Solution) -> Solution:
         names = list(dict.fromkeys([*a.names, *b.names]))

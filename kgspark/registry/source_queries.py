@@ -95,6 +95,13 @@ def stream(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+@query("src12_append_sink", "SELECT event_id, event_type, CAST(epoch_us(ts) AS BIGINT) AS ts, value FROM events")
+def src12(spark, sf_dir):
+    """Events through the append sink, and read back."""
+    own = stream(spark, sf_dir).select("event_id", "event_type", F.unix_micros("ts").alias("ts"), "value")
+    return streams.run_to_end(own, "src12", "append")
+
+
 @query("st01_windows", "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def st01(spark, sf_dir):
     out = streams.run_to_end(streams.windows(stream(spark, sf_dir)), f"st01_{abs(hash(sf_dir))}")

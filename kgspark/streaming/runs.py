@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources import scratch
+from ..sources import append, scratch
 
 
 def windows(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -34,14 +34,16 @@ def latest(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process all that is available, and the result as a written table: the last one in complete mode, else all of them."""
+    """Process all that is available, and the result as a table: the last one in complete mode, else all rows, each batch once."""
     spark = stream.sparkSession
     path = scratch.new_folder(spark, name)
+    if mode != "complete":
+        append.start(stream, path, f"{path}/checkpoint").awaitTermination()
+        return append.read(spark, path, stream.schema)
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(path)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        batch.write.mode("overwrite").parquet(path)
 
-    query = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
