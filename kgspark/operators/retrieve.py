@@ -8,21 +8,19 @@ vectors and written queries, is an input table.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import count_tokens, normalize
 from ..functions.vector import context_block, nearest
-from ..plans.algebra import InvalidQuery, Query, Var, aggregates
+from ..plans.algebra import InvalidQuery
 from ..plans.compiler import Compiler
 from ..plans.sparql import parse
 from ..sources.graph import LABEL, PREDICATE, Graph
 from .adjacency import FETCH, Adjacency, around, capped  # noqa: F401
 from .matching import matches
+from .written import ROWS, answered, bounded, extract_query, serialised  # noqa: F401
 
 LONGEST = 10  # words of a linked label at most
-ROWS = 200  # of a written query
 
 
 def result(rows: DataFrame) -> DataFrame:
@@ -71,23 +69,6 @@ def neighborhood(graph: Graph, questions: DataFrame, hops: int = 1, adjacency: A
     return result(own.select("question_id", F.coalesce("context", F.lit("")).alias("context"), F.array_sort(F.array_union(F.coalesce("iris", none), F.coalesce("others", none))).alias("sources"), F.coalesce("num_linked", F.lit(0)).alias("num_linked"), F.coalesce("num_triples", F.lit(0)).alias("num_triples")))
 
 
-FENCE = re.compile(r"```(?:\w+)?[ \t]*\n?(.*?)(?:```|\Z)", re.DOTALL)
-
-
-def extract_query(answer: str) -> str:
-    """The text of the first fence (closed or not), or the whole answer."""
-    found = FENCE.search(answer or "")
-    return (found[1] if found else answer or "").strip()
-
-
-def bounded(query: Query, rows: int = ROWS) -> Query:
-    """Ordered by what it selects and limited, unless it has a limit or counts."""
-    if not query.ask and query.limit is None and not any(aggregates(e) for _, e in query.projection):
-        query.order_by = query.order_by or [(Var(n), False) for n, _ in query.projection]
-        query.limit = rows
-    return query
-
-
 def query_text(graph: Graph, answer: str) -> DataFrame | None:
     """Rows of a written query, bounded; None (a miss) if there is no acceptable query."""
     try:
@@ -96,13 +77,6 @@ def query_text(graph: Graph, answer: str) -> DataFrame | None:
         return None
 
 
-def serialised(rows: DataFrame) -> DataFrame:
-    """(line, sources) of result rows: 'name=value | ...' of bound values, and their IRIs sorted."""
-    parts: list[Column] = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in rows.columns]
-    values = F.array_compact(F.array(*[F.col(c).cast("string") for c in rows.columns]))
-    return rows.select(F.concat_ws(" | ", *parts).alias("line"), F.array_sort(F.array_distinct(F.filter(values, lambda v: F.regexp_like(v, F.lit("^https?://"))))).alias("sources"))
-
-
 def similar(questions: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k nearest passages: vectors (id, embedding, label, entity, pmid, document), queries (question_id, query); sources are ids by rank."""
     asked = queries.join(questions.select("question_id"), "question_id", "left_semi").withColumnRenamed("question_id", "query_id")
@@ -117,20 +91,11 @@ def similar(questions: DataFrame, vectors: DataFrame, queries: DataFrame, k: int
 def written(graph: Graph, questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Rows of each question's written query: answers (question_id, answer); ``miss`` says that there was no acceptable query.
 
-    Every query is a plan of its own, made by the driver one after the other.
+    There is a plan for each shape of query, however many questions have it.
     """
-    none, spark = F.array().cast("array<string>"), questions.sparkSession
-    out = spark.createDataFrame([], "question_id string, query string, miss boolean, context string, sources array<string>")
-    own = questions.select(F.col("question_id").cast("string").alias("question_id")).join(answers.select(F.col("question_id").cast("string").alias("question_id"), "answer"), "question_id", "left")
-    for row in own.toLocalIterator():
-        rows = query_text(graph, row.answer or "")
-        if rows is None:
-            part = spark.range(1).select(F.lit(True).alias("miss"), F.lit("").alias("context"), none.alias("sources"))
-        else:  # (ROWS of them at most, unless the query sets its own limit)
-            lines = serialised(rows).agg(F.array_sort(F.collect_list("line")).alias("l"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
-            part = lines.select(F.lit(False).alias("miss"), F.array_join("l", "\n").alias("context"), "sources")
-        out = out.unionByName(part.select(F.lit(row.question_id).alias("question_id"), F.lit(extract_query(row.answer or "")).alias("query"), "miss", "context", "sources"))
-    return result(out)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    own = questions.select(text("question_id")).join(answers.select(text("question_id"), "answer"), "question_id", "left")
+    return result(answered(graph, own)[0])
 
 
 REGISTRY = {

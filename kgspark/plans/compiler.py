@@ -50,9 +50,9 @@ class Solution:
 class Compiler:
     """graph: ``scan(predicate)`` -> (s, p, o, o_kind), ``object_kind(predicate)``, ``annotations()``."""
 
-    def __init__(self, graph, seeds: DataFrame | None = None):
-        """seeds: IRIs of variables, a column for each; they take the place of VALUES blocks of these variables."""
-        self.graph, self.seeds = graph, seeds
+    def __init__(self, graph, seeds: DataFrame | None = None, seed_kinds: dict[str, str] | None = None):
+        """seeds: values of variables, a column for each (IRIs, unless seed_kinds says otherwise); they take the place of VALUES blocks of these variables."""
+        self.graph, self.seeds, self.seed_kinds = graph, seeds, seed_kinds or {}
         self.fresh = 0
 
     def hidden(self) -> str:
@@ -144,20 +144,20 @@ class Compiler:
         result = Solution(result.df.withColumns(alias), result.kinds | {n: "literal" for n in alias})
         return self._ordered(Query(False, [], False, query.where, order_by=order, limit=query.limit, offset=query.offset), result).select(*[n for n, _ in projection])
 
+    def order_keys(self, found: Solution, expression, down: bool) -> list[Column]:
+        """Unbound before IRIs before literals."""
+        value = self.expression(found, expression)
+        parts = [value.isNotNull()]
+        if isinstance(expression, Var):
+            if expression.name not in found.kinds:
+                return []
+            parts.append(found.kind(expression.name) == "literal")
+        return [p.desc() if down else p.asc() for p in [*parts, value]]
+
     def _ordered(self, query: Query, found: Solution) -> DataFrame:
         df = found.df
         if query.order_by:
-            # unbound before IRIs before literals
-            keys = []
-            for expression, down in query.order_by:
-                value = self.expression(found, expression)
-                parts = [value.isNotNull()]
-                if isinstance(expression, Var):
-                    if expression.name not in found.kinds:
-                        continue
-                    parts.append(found.kind(expression.name) == "literal")
-                keys += [p.desc() if down else p.asc() for p in [*parts, value]]
-            df = df.orderBy(*keys)
+            df = df.orderBy(*[key for expression, down in query.order_by for key in self.order_keys(found, expression, down)])
         if query.offset:
             df = df.offset(query.offset)
         return df.limit(query.limit) if query.limit is not None else df
@@ -251,7 +251,7 @@ class Compiler:
 
     def pattern(self, item) -> Solution:
         if isinstance(item, Values) and self.seeds is not None and item.names == tuple(self.seeds.columns):
-            return Solution(self.seeds, dict.fromkeys(item.names, "iri"))
+            return Solution(self.seeds, {n: self.seed_kinds.get(n, "iri") for n in item.names})
         if isinstance(item, Values):
             spark = self.graph.spark
             kinds = {n: ("iri" if all(isinstance(r[i], Iri) for r in item.rows) else "literal" if all(isinstance(r[i], Lit) for r in item.rows) else None) for i, n in enumerate(item.names)}

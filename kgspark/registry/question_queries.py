@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..operators import adjacency, retrieve, sampling, validate
 from ..sources import graph as g
 from . import draw_sql, query
-from .graph_sql import B, sql
+from .graph_sql import B, i, sql
 
 SEED = sampling.SEED
 
@@ -256,6 +258,43 @@ def rt08(spark, sf_dir):
     return retrieve.query_text(g.from_tables(spark, sf_dir), WRITTEN)
 
 
+def fenced(text: str, *columns: str):
+    """A written answer: text with {} for each column, in a fence."""
+    parts = text.split("{}")
+    return F.concat(F.lit("Here it is:\n```sparql\n" + parts[0]), *[x for c, p in zip(columns, parts[1:]) for x in (F.col(c).cast("string"), F.lit(p))], F.lit("\n```"))
+
+
+def written_answers(spark, sf_dir):
+    """An answer for every part, customer, supplier, order, nation and region; those for regions hold no query."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    row = lambda table, kind, key, answer: read(table).select(F.concat(F.lit(kind + "/"), key).alias("question_id"), answer.alias("answer"))
+    parts = [
+        row("part", "Part", "p_partkey", fenced(f"SELECT ?x WHERE {{ <{B}Part/{{}}> kg:supplied_by ?x }}", "p_partkey")),
+        row("customer", "Customer", "c_custkey", fenced(f"SELECT DISTINCT ?p WHERE {{ VALUES ?c {{ <{B}Customer/{{}}> }} ?c kg:places ?o . ?o kg:contains ?p }}", "c_custkey")),
+        row("supplier", "Supplier", "s_suppkey", fenced(f"SELECT (COUNT(DISTINCT ?p) AS ?n) WHERE {{ ?p kg:supplied_by <{B}Supplier/{{}}> }}", "s_suppkey")),
+        row("orders", "Order", "o_orderkey", fenced(f"PREFIX x: <{B}p/>\nASK {{ <{B}Order/{{}}> x:contains / x:supplied_by <{B}Supplier/1> }}", "o_orderkey")),
+        row("nation", "Nation", "n_nationkey", fenced(f"SELECT ?c ?l WHERE {{ ?c kg:based_in <{B}Nation/{{}}> ; rdfs:label ?l }} ORDER BY DESC(?l) LIMIT 3", "n_nationkey")),
+        row("region", "Region", "r_regionkey", F.lit("I cannot say.")),
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+WRITTEN_SQL = f"""SELECT 'Part/' || p_partkey AS question_id, false AS miss, coalesce(string_agg('x=' || o, chr(10) ORDER BY o), '') AS context, coalesce(string_agg(o, '~' ORDER BY o), '') AS sources FROM part LEFT JOIN supplied_by ON s = {i("Part", "p_partkey")} GROUP BY 1
+UNION ALL SELECT 'Customer/' || c_custkey, false, coalesce(string_agg('p=' || o, chr(10) ORDER BY o), ''), coalesce(string_agg(o, '~' ORDER BY o), '') FROM customer LEFT JOIN (SELECT * FROM (SELECT DISTINCT a.s, b.o FROM places a JOIN contains b ON b.s = a.o) QUALIFY row_number() OVER (PARTITION BY s ORDER BY o) <= 200) ON s = {i("Customer", "c_custkey")} GROUP BY 1, c_custkey
+UNION ALL SELECT 'Supplier/' || s_suppkey, false, 'n=' || count(DISTINCT x.s), '' FROM supplier LEFT JOIN supplied_by x ON x.o = {i("Supplier", "s_suppkey")} GROUP BY 1, s_suppkey
+UNION ALL SELECT 'Order/' || o_orderkey, false, 'boolean=' || ({i("Order", "o_orderkey")} IN (SELECT a.s FROM contains a JOIN supplied_by b ON b.s = a.o WHERE b.o = '{B}Supplier/1')), '' FROM orders
+UNION ALL SELECT 'Nation/' || n_nationkey, false, coalesce(string_agg('c=' || s || ' | l=' || label, chr(10) ORDER BY s), ''), coalesce(string_agg(s, '~' ORDER BY s), '') FROM nation LEFT JOIN (SELECT s, o, label FROM based_in JOIN nodes ON iri = s QUALIFY row_number() OVER (PARTITION BY o ORDER BY label DESC, s) <= 3) ON o = {i("Nation", "n_nationkey")} GROUP BY 1, n_nationkey
+UNION ALL SELECT 'Region/' || r_regionkey, true, '', '' FROM region"""
+
+
+@query("rt08_written_queries", sql(WRITTEN_SQL))
+def rt08_written(spark, sf_dir):
+    """A written query for each part, customer, supplier, order and nation, in five shapes."""
+    answers = written_answers(spark, sf_dir)
+    own = retrieve.retrieve("graph_sparqlgen", g.from_tables(spark, sf_dir), answers.select("question_id"), answers=answers)
+    return own.select("question_id", "miss", "context", F.array_join("sources", "~").alias("sources"))
+
+
 @query("rt12_serialised", sql("SELECT 'o=' || s || ' | p=' || o AS line, list_aggregate(list_sort([s, o]), 'string_agg', '~') AS sources FROM (SELECT * FROM contains ORDER BY 1, 2 LIMIT 200)"))
 def rt12(spark, sf_dir):
     rows = retrieve.serialised(retrieve.query_text(g.from_tables(spark, sf_dir), WRITTEN))
