@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vector import norm
 from ..operators import harness
 from ..plans.compiler import execute
-from ..sources import articles, graph, rdf, runs, scratch, vectors
+from ..sources import articles, graph, json_array, rdf, runs, scratch, vectors
 from ..streaming import runs as streams
 from . import query
 from .graph_sql import sql
@@ -119,23 +119,22 @@ def st03(spark, sf_dir):
     return streams.run_to_end(streams.once(stream(spark, sf_dir)), f"st03_{abs(hash(sf_dir))}", "append").agg(F.count("*").alias("n"))
 
 
+def scanned_graph(spark, sf_dir):
+    path = scratch.new_folder(spark, "arrays")
+    for key, rows in zip(("nodes", "edges"), property_graph(spark, sf_dir)):
+        json_array.write(rows.drop("pos"), key, path)
+    return rdf.read_graph(spark, path)
+
+
 @query("src01_json_nodes", "SELECT 'Customer' AS kind, 'C:' || c_custkey AS identifier, c_name || ' \"x\"\\' AS name FROM customer UNION ALL SELECT 'Part', 'p(' || p_partkey || ')', p_name FROM part UNION ALL SELECT 'Order', '' || o_orderkey, 'Order#' || o_orderkey FROM orders")
 def src01(spark, sf_dir):
-    """Nodes written as JSON lines and scanned again."""
-    path = scratch.new_folder(spark, "lines")
-    nodes, edges = property_graph(spark, sf_dir)
-    nodes.drop("pos").write.json(f"{path}/nodes")
-    edges.drop("pos").write.json(f"{path}/edges")
-    return rdf.read_lines(spark, f"{path}/nodes", f"{path}/edges")[0].select("kind", "identifier", "name")
+    """Nodes and edges written as arrays of JSON objects, and the nodes scanned again."""
+    return scanned_graph(spark, sf_dir)[0].select("kind", "identifier", "name")
 
 
 @query("src02_json_edges", "SELECT 'C:' || o_custkey AS s, '' || o_orderkey AS o, 'places' AS kind FROM orders")
 def src02(spark, sf_dir):
-    path = scratch.new_folder(spark, "lines")
-    nodes, edges = property_graph(spark, sf_dir)
-    nodes.drop("pos").write.json(f"{path}/nodes")
-    edges.drop("pos").write.json(f"{path}/edges")
-    return rdf.read_lines(spark, f"{path}/nodes", f"{path}/edges")[1].select(F.col("source_id")[1].alias("s"), F.col("target_id")[1].alias("o"), "kind")
+    return scanned_graph(spark, sf_dir)[1].select(F.col("source_id")[1].alias("s"), F.col("target_id")[1].alias("o"), "kind")
 
 
 @query("src05_turtle_entities", "SELECT 'cust:' || c_custkey AS term, 'Customer' AS kind, c_name || ' \"x\"\\' AS label FROM customer UNION ALL SELECT '<" + graph.BASE + "Part/p(' || p_partkey || ')>', 'Part', p_name FROM part UNION ALL SELECT 'ord:' || o_orderkey, 'Order', 'Order#' || o_orderkey FROM orders")

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import escape, unescape
+from . import json_array
 
 NODE_SCHEMA = "kind string, identifier string, name string, data string"
 EDGE_SCHEMA = "source_id array<string>, target_id array<string>, kind string, direction string, data string"
@@ -29,9 +30,8 @@ class Names:
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) with a position, from a JSON object with these arrays (.json or .json.bz2) ; data stays JSON text."""
-    whole = spark.read.schema(f"nodes array<struct<{_fields(NODE_SCHEMA)}>>, edges array<struct<{_fields(EDGE_SCHEMA)}>>").option("multiLine", True).json(path)
-    return tuple(whole.select(F.posexplode(c).alias("pos", "r")).select("pos", "r.*") for c in ("nodes", "edges"))
+    """(nodes, edges) with a position, from a JSON object with these arrays (.json or .json.bz2), read by many tasks; data stays JSON text."""
+    return json_array.elements(spark, path, "nodes", NODE_SCHEMA), json_array.elements(spark, path, "edges", EDGE_SCHEMA)
 
 
 def read_lines(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
@@ -40,10 +40,6 @@ def read_lines(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame,
     return spark.read.schema(NODE_SCHEMA).json(nodes).select(order, "*"), spark.read.schema(EDGE_SCHEMA).json(edges).select(order, "*")
 
 
-def _fields(ddl: str) -> str:
-    return ", ".join(f"{n}:{t}" for n, t in (f.split(" ", 1) for f in ddl.split(", ")))
-
-
 def slice_edges(nodes: DataFrame, edges: DataFrame, first: int) -> tuple[DataFrame, DataFrame]:
     """The first edges and only the nodes that they touch."""
     edges = edges.orderBy("pos").limit(first)
