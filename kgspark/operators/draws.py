@@ -66,6 +66,7 @@ def common(left: DataFrame, right: DataFrame, template: str, attempts: int, draw
     candidates of an anchor are tried in the first round, all partners of its hubs being as likely: a partner counts
     only by the least node that the two share.
     """
+    right = written(right, "edges")
     members = right.groupBy("x").agg(F.count("*").alias("degree")).withColumn("slots", F.expr(f"greatest(1, degree div {SLOT})"))
     hubs = written(numbered(members, "x").withColumnRenamed("number", "hub"), "hubs")
     theirs = with_sets(written(right.join(hubs, "x").select("partner", "hub", (hashed(seed, "x", "partner") % F.col("slots")).alias("slot")), "members"), "partner")
