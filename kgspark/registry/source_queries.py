@@ -145,6 +145,30 @@ def src05(spark, sf_dir):
     return rdf.read_entities(spark, path)
 
 
+CUSTOMER, PART, ORDER, KG = (f"'{x}' || " for x in (graph.BASE + "Customer/", graph.BASE + "Part/p(", graph.BASE + "Order/", graph.PREDICATE))
+NODES_SQL = f"""SELECT {CUSTOMER}c_custkey AS s, 'Customer' AS kind, c_name || ' "x"\\' AS label FROM customer UNION ALL SELECT {PART}p_partkey || ')', 'Part', p_name FROM part UNION ALL SELECT {ORDER}o_orderkey, 'Order', 'Order#' || o_orderkey FROM orders"""
+
+
+def turtle(spark, sf_dir):
+    path = scratch.new_folder(spark, "turtle")
+    rdf.write_turtle(*property_graph(spark, sf_dir), NAMES, path)
+    return rdf.read_turtle(spark, path)
+
+
+@query("src05_turtle_triples", f"""WITH n AS ({NODES_SQL}) SELECT s, '{rdf.RDF_TYPE}' AS p, {KG}kind AS o, 'iri' AS o_kind FROM n UNION ALL SELECT s, '{NAMES.prefixes["rdfs"]}label', label, 'literal' FROM n
+UNION ALL SELECT {CUSTOMER}c_custkey, {KG}'segment', c_mktsegment, 'literal' FROM customer UNION ALL SELECT {CUSTOMER}o_custkey, {KG}'places', {ORDER}o_orderkey, 'iri' FROM orders""")
+def src05_triples(spark, sf_dir):
+    """The Turtle of the graph written, and all its triples read back."""
+    return turtle(spark, sf_dir)[0].drop("o_type")
+
+
+@query("src05_turtle_annotations", f"""SELECT {CUSTOMER}o_custkey AS s, {KG}'places' AS p, {ORDER}o_orderkey AS o, {KG}k AS key, v AS value, '{rdf.XSD}' || t AS value_type FROM
+(SELECT o_custkey, o_orderkey, unnest(['direction', 'status', 'sources', 'sources', 'even', 'n', 'half']) AS k, unnest(['both', o_orderstatus, 'X', o_orderpriority, CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE 'false' END, '' || o_custkey, '0.5']) AS v, unnest(['string', 'string', 'string', 'string', 'boolean', 'integer', 'double']) AS t FROM orders)""")
+def src05_annotations(spark, sf_dir):
+    """The annotations of its edges."""
+    return turtle(spark, sf_dir)[1]
+
+
 @query("src11_jsonl", "SELECT conv_id, turn, role, text FROM conversations")
 def src11(spark, sf_dir):
     """Rows written as JSON lines (src12) and read with an explicit schema."""

@@ -7,8 +7,11 @@ can be written.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import escape, unescape
@@ -16,6 +19,7 @@ from . import json_array
 
 NODE_SCHEMA = "kind string, identifier string, name string, data string"
 EDGE_SCHEMA = "source_id array<string>, target_id array<string>, kind string, direction string, data string"
+RDF_TYPE, XSD = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://www.w3.org/2001/XMLSchema#"
 LOCAL = r"^[A-Za-z0-9_][A-Za-z0-9_.\-]*$"
 
 
@@ -113,3 +117,78 @@ def read_entities(spark: SparkSession, path: str, vocabulary: str = "kg") -> Dat
     label = r'^\s*rdfs:label\s+"(.*)"\s*[;.]\s*$'
     pairs = lines.select("value", after.alias("after")).where(F.regexp_like("value", F.lit(node)) & F.regexp_like("after", F.lit(label)))
     return pairs.select(F.regexp_extract("value", node, 1).alias("term"), F.regexp_extract("value", node, 2).alias("kind"), unescape(F.regexp_extract("after", label, 1)).alias("label"))
+
+
+TOKEN = re.compile(r'\s*(?:(<<|>>|[;,])|<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^(?:<([^>]*)>|([\w.\-]+):([\w.\-]*))|@[\w\-]+)?|(true|false)\b|([+-]?[0-9]+(?![\w:.]))|([+-]?[0-9]*\.?[0-9]+(?:[eE][+-]?[0-9]+)?(?![\w:]))|(a)(?=\s)|([\w\-]*):([\w.\-]*)|#[^\n]*(?:\n|$))', re.DOTALL)
+UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
+SIGNS = {"n": "\n", "r": "\r", "t": "\t"}
+STATEMENT = "s string, p string, o string, o_kind string, o_type string, key string, value string, value_type string, error string"
+
+
+def statement(text: str, prefixes: dict[str, str]) -> list[tuple]:
+    """Rows of one statement: triples, or annotations of a quoted one (key and value); an error row if it cannot be read."""
+    terms, at = [], 0
+    while text[at:].strip():
+        m = TOKEN.match(text, at)
+        if not m:
+            return [(None,) * 8 + (f"not understood: {text[at : at + 60]!r}",)]
+        at = m.end()
+        sign, iri, quoted, type_iri, type_prefix, type_local, truth, whole, number, kind, prefix, local = m.groups()
+        if sign:
+            terms.append((sign, None, None))
+        elif iri is not None:
+            terms.append((iri, "iri", None))
+        elif quoted is not None:
+            own = type_iri if type_iri is not None else prefixes.get(type_prefix, type_prefix + ":") + type_local if type_prefix else XSD + "string"
+            terms.append((UNESCAPE.sub(lambda e: SIGNS.get(e[1], e[1]), quoted), "literal", own))
+        elif truth or whole or number:
+            terms.append((truth or whole or number, "literal", XSD + ("boolean" if truth else "integer" if whole else "decimal")))
+        elif kind:
+            terms.append((RDF_TYPE, "iri", None))
+        elif prefix is not None:
+            if prefix not in prefixes:
+                return [(None,) * 8 + (f"no prefix {prefix!r}",)]
+            terms.append((prefixes[prefix] + local, "iri", None))
+    if not terms:
+        return []
+    subject: tuple = ()
+    if terms[0][0] == "<<" and terms[0][1] is None:
+        if len(terms) < 5 or terms[4][:2] != (">>", None):
+            return [(None,) * 8 + ("a quoted triple is not closed",)]
+        subject, terms = tuple(t[0] for t in terms[1:4]), terms[5:]
+    else:
+        subject, terms = (terms[0][0],), terms[1:]
+    out, predicate, i = [], None, 0
+    while i < len(terms):
+        if terms[i][1] is None:
+            predicate = None if terms[i][0] == ";" else predicate
+            i += 1
+        elif predicate is None:
+            predicate, i = terms[i][0], i + 1
+        else:
+            value, kind, own = terms[i]
+            out.append((*subject, None, None, predicate, value, own, None) if len(subject) == 3 else (*subject, predicate, value, kind, own, None, None, None, None))
+            i += 1
+    return out
+
+
+def read_turtle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(triples (s, p, o, o_kind, o_type), annotations (s, p, o, key, value, value_type), errors (error)) of Turtle files.
+
+    A statement ends with a dot at the end of a line, which splits a file among tasks; a string has no line end but an
+    escaped one.  Prefixes hold for all files.  Statements that cannot be read are errors, the others count.
+    """
+    text = spark.read.text(path, lineSep=".\n").where(F.trim("value") != "")
+    head = r"^\s*@?(?i:prefix)\s+([\w\-]*):\s*<([^>]*)>\s*\.?\s*$"
+    prefixes = {r[0]: r[1] for r in text.where(F.regexp_like("value", F.lit(head))).select(F.regexp_extract("value", head, 1), F.regexp_extract("value", head, 2)).distinct().collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in STATEMENT.split(", ")]
+        for batch in batches:
+            rows = [r for value in batch.column("value").to_pylist() for r in statement(re.sub(r"\.\s*\Z", "", value), prefixes)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names)
+
+    rows = text.where(~F.regexp_like("value", F.lit(head))).mapInArrow(run, STATEMENT)
+    triples = rows.where("error is null and key is null").select("s", "p", "o", "o_kind", "o_type").distinct()
+    notes = rows.where("key is not null").select("s", "p", "o", "key", "value", "value_type").distinct()
+    return triples, notes, rows.where("error is not null").select("error")

@@ -135,3 +135,27 @@ def test_articles_in_full_syntax(spark):
     got = sorted(tuple(r) for r in articles.parse_articles(df).collect())
     assert got == [("1", "a < b c", "αβ 5 kg x 2 y"), ("3", "", "plain in two tags"), ("4", "t", "quoted <PubmedArticle>"), ("6", "é", "ü")]
     assert articles.faults(df).count() == 1
+
+
+def test_turtle_read_back_in_full(spark, tmp_path):
+    text = """@prefix k: <x:k/> .
+@prefix : <x:> .
+# a comment
+:a a k:Kind ;
+    k:name "dots . and \\"signs\\" ; \\\\ \\n over . \\t" ;
+    k:n 5 ; k:d -1.5e3 ; k:t true ; k:o :b , <x:c d> .
+:a k:to :b .
+<< :a k:to :b >> k:source "A . B" , "C" ;
+    k:weight "0.25"^^<http://www.w3.org/2001/XMLSchema#double> .
+:c nope:x :d .
+:c k:to [ ] .
+:c k:to :d .
+"""
+    (tmp_path / "g.ttl").write_text(text)
+    triples, notes, errors = rdf.read_turtle(spark, str(tmp_path))
+    assert {(r.s, r.p, r.o, r.o_kind) for r in triples.collect()} == {
+        ("x:a", rdf.RDF_TYPE, "x:k/Kind", "iri"), ("x:a", "x:k/name", 'dots . and "signs" ; \\ \n over . \t', "literal"), ("x:a", "x:k/n", "5", "literal"), ("x:a", "x:k/d", "-1.5e3", "literal"),
+        ("x:a", "x:k/t", "true", "literal"), ("x:a", "x:k/o", "x:b", "iri"), ("x:a", "x:k/o", "x:c d", "iri"), ("x:a", "x:k/to", "x:b", "iri"), ("x:c", "x:k/to", "x:d", "iri"),
+    }
+    assert {tuple(r) for r in notes.collect()} == {("x:a", "x:k/to", "x:b", "x:k/" + k, v, rdf.XSD + t) for k, v, t in (("source", "A . B", "string"), ("source", "C", "string"), ("weight", "0.25", "double"))}
+    assert errors.count() == 2
