@@ -40,3 +40,16 @@ def test_chunks_of_a_very_long_text(spark):
     words = [f"w{i}" for i in range(200_000)]
     out = spark.createDataFrame([(" ".join(words),)], "a string").select(text.chunk_windows(F.col("a")).alias("c")).first().c
     assert out == [" ".join(words[i : i + 180]) for i in range(0, 200_000, 150)]
+
+
+def test_hop_keeps_all_edges_of_a_hub(spark, sf, tmp_path):
+    """rt04_hop: a nation with more customers than a retriever fetches."""
+    import os
+
+    for name in os.listdir(sf):
+        if name != "customer.parquet":
+            os.symlink(f"{sf}/{name}", tmp_path / name)
+    spark.range(5_200).select(F.col("id").alias("c_custkey"), F.lit(3).alias("c_nationkey"), F.format_string("c%d", "id").alias("c_name"), F.lit("x").alias("c_mktsegment")).write.parquet(str(tmp_path / "customer.parquet"))
+    registry.load()
+    found = registry.QUERIES["rt04_hop"](spark, str(tmp_path)).where("question_id like '%Nation/3' and s like '%Customer/%'")
+    assert found.count() == found.distinct().count() == 5_200
