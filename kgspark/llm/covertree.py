@@ -32,7 +32,7 @@ from .kernels import released
 from .vectors import block_count, matrix, packed, usable
 
 LEAF = 96  # points of a leaf at most, unless they are one place
-DATA_BLOCK, QUERY_BLOCK = 8192, 2048
+DATA_BLOCK, QUERY_BLOCK = 8192, 16384
 EXACT = float(1 << 52)
 
 
@@ -48,6 +48,14 @@ class Tree:
             at = np.concatenate(order)
             self.points, self.ids = points[at], ids[at]
 
+    def __getstate__(self) -> dict:
+        """Points travel in the smallest type of whole numbers that holds them all."""
+        small = next((t for t in (np.int16, np.int32) if len(self.ids) and np.abs(self.points).max() <= np.iinfo(t).max), None)
+        return self.__dict__ | ({"points": self.points.astype(small)} if small else {})
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"points": state["points"].astype(np.float64)}
+
     def _grow(self, own: np.ndarray, order: list[np.ndarray]) -> int:
         """Add the node over the rows ``own``; its number."""
         x = self.points[own].astype(float)
@@ -163,7 +171,7 @@ def tree_of(k: int, scale: float) -> Callable:
 
 
 def searcher(k: int) -> Callable:
-    """Rows (q, length, share, query_tree, data_tree), sorted by the first three -> (query_id, vec_id, score)."""
+    """Rows (q, share, length, p, tree), sorted by the first four, the tree of queries first with p = -1 -> (query_id, vec_id, score)."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,12 +183,16 @@ def searcher(k: int) -> Callable:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                key = tuple(batch.column(c)[i].as_py() for c in ("q", "length", "share"))
+                key = tuple(batch.column(c)[i].as_py() for c in ("q", "share", "length"))
                 if key != last:
                     if search:
                         yield results()
-                    last, search = key, Search(pickle.loads(batch.column("query_tree")[i].as_buffer()), k)
-                search.show(pickle.loads(batch.column("data_tree")[i].as_buffer()))
+                    last, search = key, None
+                tree = batch.column("tree")[i].as_buffer
+                if batch.column("p")[i].as_py() < 0:
+                    search = Search(pickle.loads(tree()), k)
+                elif search:  # no queries of this length in the block, if there is none
+                    search.show(pickle.loads(tree()))
         if search:
             yield results()
 
@@ -191,19 +203,23 @@ def top_k(data: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     """(query_id, rank from 1, vec_id, score) of the rows that ``is_query`` marks, against all other rows.
 
     Up to ``shares`` tasks share the data blocks of one block of queries; each
-    returns at most k candidates of a query.
+    returns at most k candidates of a query.  The shuffle is the table's size times
+    the number of query blocks.
     """
     rows = data.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.size(vector_col).alias("length"), F.coalesce(is_query, F.lit(False)).alias("query"))
     counted = rows.agg(F.count("*"), F.count_if("query")).first()
     n_data, n_query = block_count(counted[0], data_block), block_count(counted[1], query_block)
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    index = packed(rows.withColumn("p", place(n_data)), ["p", "length"], tree_of(k, scale), "p int, length int, tree binary").withColumnRenamed("tree", "data_tree")
-    asked = packed(rows.where("query").withColumn("q", place(n_query)), ["q", "length"], tree_of(0, scale), "q int, length int, tree binary").withColumnRenamed("tree", "query_tree")
-    # every query block goes to every data block, by number
-    asked = asked.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))))
-    pairs = asked.join(index, ["p", "length"]).withColumn("share", F.pmod("p", F.lit(max(1, min(shares, n_data)))))
-    found = pairs.repartition(max(1, min(n_query * min(shares, n_data), 10_000)), "q", "length", "share").sortWithinPartitions("q", "length", "share").mapInArrow(searcher(k), "query_id long, vec_id long, score long")
+    index = packed(rows.withColumn("p", place(n_data)), ["p", "length"], tree_of(k, scale), "p int, length int, tree binary")
+    asked = packed(rows.where("query").withColumn("q", place(n_query)), ["q", "length"], tree_of(0, scale), "q int, length int, tree binary")
+    # Every data block goes to every query block, by number, and a query block once to each share: no tree is joined with another,
+    # so none can be broadcast, and the tree of a query block isn't sent once for each data block.
+    shares = max(1, min(shares, n_data))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = index.withColumn("share", F.pmod("p", F.lit(shares))).withColumn("q", each(n_query)).select("q", "share", "length", "p", "tree")
+    sent = sent.unionByName(asked.withColumn("share", each(shares)).select("q", "share", "length", F.lit(-1).alias("p"), "tree"))
+    found = sent.repartition(max(1, min(n_query * shares, 10_000)), "q", "share", "length").sortWithinPartitions("q", "share", "length", "p").mapInArrow(searcher(k), "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

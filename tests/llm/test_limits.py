@@ -70,3 +70,15 @@ def test_repeated_rows_at_the_end_of_a_mix(spark):
     for r in out.select("source", "_mix_target", mixing.taken().alias("t")).collect():
         taken.setdefault(r.source, [r[1], 0])[1] += r.t
     assert all(abs(target - n) < 1 for target, n in taken.values()) and len(taken) == 2
+
+
+def test_trees_are_never_joined(spark):
+    """op1: a join of trees may be planned as a broadcast of all of them through the driver; a tree of whole numbers travels as these."""
+    import pickle
+
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)], "vec_id long, embedding array<double>")
+    plan = covertree.top_k(df, df.vec_id % 50 == 0, data_block=20, query_block=1)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    tree = covertree.Tree(np.arange(4000.0).reshape(-1, 4), np.arange(1000))
+    again = pickle.loads(pickle.dumps(tree, protocol=5))
+    assert again.points.dtype == np.float64 and (again.points == tree.points).all() and len(pickle.dumps(tree.__getstate__()["points"], protocol=5)) < 4000 * 8 // 3
