@@ -39,6 +39,8 @@ SAMPLE = 5_000  # vectors that the rotation and the cells are fitted on
 LEAST_SAMPLE = 50  # of a length; rarer lengths are compared without a rotation, in one cell
 BLOCK = 4096
 TILE = 512
+STRIP_BYTES = 32 << 20  # of the blocks that a task holds, about; every other block that meets one of them is sent to it once
+SHARES = 8  # tasks that share the other blocks of a strip
 SLACK = 1e-5  # for products in single precision
 
 
@@ -139,21 +141,36 @@ class Tile:
 
 
 def compare(axes: dict[int, np.ndarray], least: float) -> Callable:
+    """Rows (strip, share, side, block, length, partners, names, weights, data), sorted by the first three -> (u, v, links).
+
+    Blocks of side 0 are held; one of side 1 is compared with its partners among them.
+    """
+
+    def compared(length: int, left: tuple, right: tuple, same: bool) -> pa.RecordBatch:
+        own = axes.get(length)
+        tile = Tile(left, right, np.eye(length) if own is None else own, least, same)
+        tile.run()
+        names = left[0] if same else np.concatenate((left[0], right[0]))
+        counts = tile.count_a if same else np.concatenate((tile.count_a, tile.count_b))
+        some = np.flatnonzero(counts)
+        u = np.concatenate((names[some], names[[p for p, _ in tile.links]] if tile.links else names[:0]))
+        v = pa.array([None] * len(some) + [int(names[q]) for _, q in tile.links], pa.int64())
+        return pa.RecordBatch.from_pydict({"u": u, "v": v, "links": np.concatenate((counts[some], np.zeros(len(tile.links), np.int64)))})
+
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place = {}, None
         for batch in batches:
-            for row in batch.to_pylist():
-                own = axes.get(row["length"])
-                own = np.eye(row["length"]) if own is None else own
-                blocks = [(np.frombuffer(row[f"{s}_names"], np.int64), np.frombuffer(row[f"{s}_weights"], np.int64), np.frombuffer(row[f"{s}_data"], np.float64).reshape(-1, row["length"])) for s in "ab"]
-                tile = Tile(*blocks, own, least, row["a"] == row["b"])
-                tile.run()
-                names = blocks[0][0] if tile.same else np.concatenate((blocks[0][0], blocks[1][0]))
-                counts = tile.count_a if tile.same else np.concatenate((tile.count_a, tile.count_b))
-                some = np.flatnonzero(counts)
-                u = np.concatenate((names[some], names[[p for p, _ in tile.links]] if tile.links else names[:0]))
-                v = pa.array([None] * len(some) + [int(names[q]) for _, q in tile.links], pa.int64())
-                yield pa.RecordBatch.from_pydict({"u": u, "v": v, "links": np.concatenate((counts[some], np.zeros(len(tile.links), np.int64)))})
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if (row["strip"], row["share"]) != place:
+                    held, place = {}, (row["strip"], row["share"])
+                own = (np.frombuffer(row["names"], np.int64), np.frombuffer(row["weights"], np.int64), np.frombuffer(row["data"], np.float64).reshape(-1, row["length"]))
+                if row["side"] == 0:
+                    held[row["block"]] = own
+                else:
+                    for a in row["partners"]:
+                        yield compared(row["length"], held[a], own, a == row["block"])
 
     return run
 
@@ -218,10 +235,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     pairs = met.join(side(stats, "a", "block", *ball_of), ["length", "a_cell"]).join(side(stats, "b", "block", *ball_of), ["length", "b_cell"])
     pairs = pairs.where((F.col("a_cell") < F.col("b_cell")) | (F.col("a_block") <= F.col("b_block"))).where(reach | (F.col("a_block") == F.col("b_block"))).select("length", "a_block", "b_block")
     pairs = shared.written(pairs, "pairs")
-    data = lambda s: side(blocks, s, "block", "names", "weights", "data").drop("length")
-    tiles = pairs.join(data("a"), "a_block").join(data("b"), "b_block").repartition(max(1, min(10_000, pairs.count())))
-    tiles = tiles.select(F.col("a_block").alias("a"), F.col("b_block").alias("b"), "length", *[f"{s}_{c}" for s in "ab" for c in ("names", "weights", "data")])
-    found = shared.written(tiles.mapInArrow(compare(axes, least), "u long, v long, links long"), "links")
+    # Blocks a are dealt to strips that a task holds, blocks b are sent to the strips that they meet, not to each block of these.
+    strips = block_count(blocks.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0], STRIP_BYTES)
+    dealt = pairs.select(F.pmod(F.xxhash64("a_block"), F.lit(strips)).alias("strip"), F.pmod(F.xxhash64("b_block", F.lit(1)), F.lit(SHARES)).alias("share"), "a_block", "b_block")
+    lefts = dealt.select("strip", "share", F.lit(0).alias("side"), F.col("a_block").alias("block")).distinct().withColumn("partners", F.lit(None).cast("array<long>"))
+    rights = dealt.groupBy("strip", "share", F.lit(1).alias("side"), F.col("b_block").alias("block")).agg(F.collect_list("a_block").alias("partners"))
+    wanted = shared.written(lefts.unionByName(rights), "wanted")
+    shared.drop(pairs)
+    sent = wanted.join(blocks.select("block", "length", "names", "weights", "data"), "block").select("strip", "share", "side", "block", "length", "partners", "names", "weights", "data")
+    sent = sent.repartition(max(1, min(10_000, strips * SHARES)), "strip", "share").sortWithinPartitions("strip", "share", "side")
+    found = shared.written(sent.mapInArrow(compare(axes, least), "u long, v long, links long"), "links")
     classes = components(found.where("v is not null"), "vectors").withColumnRenamed("node", "name")
     linked = found.where("v is null").groupBy(F.col("u").alias("name")).agg(F.sum("links").alias("others"))
     weights = celled.select("name", "weight").join(classes, "name", "left").join(linked, "name", "left")

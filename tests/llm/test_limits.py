@@ -82,3 +82,25 @@ def test_trees_are_never_joined(spark):
     tree = covertree.Tree(np.arange(4000.0).reshape(-1, 4), np.arange(1000))
     again = pickle.loads(pickle.dumps(tree, protocol=5))
     assert again.points.dtype == np.float64 and (again.points == tree.points).all() and len(pickle.dumps(tree.__getstate__()["points"], protocol=5)) < 4000 * 8 // 3
+
+
+def test_blocks_are_sent_to_strips(spark, monkeypatch):
+    """op7: of 40 blocks that all meet, a task holds many, and another block is sent to it once, not once for each of these."""
+    sent = []
+    monkeypatch.setattr(embedding_dedup, "compare", lambda axes, least, real=embedding_dedup.compare: sent.append(least) or real(axes, least))
+    seen = []
+    monkeypatch.setattr(embedding_dedup.shared, "written", lambda df, name, real=embedding_dedup.shared.written: seen.append((name, real(df, name))) or seen[-1][1])
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    x[200:300] = x[:100] + 1e-3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for size in (embedding_dedup.STRIP_BYTES, 2000):  # one strip, and several
+        seen.clear()
+        monkeypatch.setattr(embedding_dedup, "STRIP_BYTES", size)
+        out = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, block=10).collect()}
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = u @ u.T >= 0.9
+        assert all(out[i].n_links == near[i].sum() - 1 for i in range(400))
+        wanted = next(t for name, t in seen if name == "wanted")
+        blocks = wanted.select("block").distinct().count()
+        assert blocks > 30 and (size == 2000 or wanted.count() <= blocks * (embedding_dedup.SHARES + 1))
