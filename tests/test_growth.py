@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from kgspark import registry
-from kgspark.operators import adjacency, matching, retrieve
+from kgspark.operators import adjacency, draws, matching, retrieve, sampling
 from kgspark.session import PARTITION
 from kgspark.sources import graph as g, scratch
 
@@ -61,3 +61,23 @@ def test_partitions_grow_with_the_tables(spark, sf, tmp_path):
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) > 12
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_draws_store_hubs_of_their_anchors_only(spark, monkeypatch):
+    """sm12_order_reaches_supplier, sm12_suppliers_of_one_only: of a hundred hubs one belongs to the anchor."""
+    kept, written = {}, draws.written
+    monkeypatch.setattr(draws, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    left = spark.createDataFrame([("a", "x7")], "anchor string, x string")
+    right = spark.createDataFrame([(f"p{i}", f"x{i % 100}") for i in range(1000)], "partner string, x string")
+    assert draws.common(left, right, "t", 1, 32, seed="s").count() == 1
+    assert kept["edges"].count() == 10
+    assert sorted(r.partner for r in draws.apart(left, right, left.select("anchor"), "t", "s").collect()) != [] and "right" not in kept
+
+
+def test_pairs_of_five_anchors_are_not_drawn_for_all(spark, sf, monkeypatch):
+    """sm09_sample_pairs: anchors are gone through in the order in which five are taken."""
+    sizes, paired = [], sampling.paired
+    monkeypatch.setattr(sampling, "paired", lambda graph, anchors, *a, **k: sizes.append(anchors.count()) or paired(graph, anchors, *a, **k))
+    registry.load()
+    assert registry.QUERIES["sm09_sample_pairs"](spark, sf).count() == 5
+    assert sizes == [50]
