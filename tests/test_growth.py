@@ -88,3 +88,11 @@ def test_pairs_of_five_anchors_are_not_drawn_for_all(spark, sf, monkeypatch):
     registry.load()
     assert registry.QUERIES["sm09_sample_pairs"](spark, sf).count() == 5
     assert sizes == [50]
+
+
+def test_literals_do_not_meet_patterns_of_nodes(spark, sf):
+    """gq22_count_edges: objects that must have a class are IRIs; literals are dropped before the joins."""
+    from kgspark.plans.compiler import execute
+
+    plan = execute(g.from_tables(spark, sf), "SELECT (COUNT(*) AS ?n) WHERE { ?s ?p ?o . ?s a ?st . ?o a ?ot }")._jdf.queryExecution().executedPlan().toString()
+    assert "o_orderstatus" not in plan and "p_brand" not in plan and "l_partkey" in plan
