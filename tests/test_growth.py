@@ -96,3 +96,15 @@ def test_literals_do_not_meet_patterns_of_nodes(spark, sf):
 
     plan = execute(g.from_tables(spark, sf), "SELECT (COUNT(*) AS ?n) WHERE { ?s ?p ?o . ?s a ?st . ?o a ?ot }")._jdf.queryExecution().executedPlan().toString()
     assert "o_orderstatus" not in plan and "p_brand" not in plan and "l_partkey" in plan
+
+
+def test_parts_that_cannot_meet_are_not_read(spark, sf):
+    """qt04_three_hop, sm12_nations_supplying: suppliers are no parts, and what they are based in is no customer's."""
+    from kgspark.plans.compiler import execute
+
+    own = g.from_tables(spark, sf)
+    plan = lambda text: execute(own, text)._jdf.queryExecution().executedPlan().toString()
+    got = plan("SELECT DISTINCT ?c ?n ?l WHERE { ?c kg:places ?o . ?o kg:involves ?s . ?s a c:Supplier ; kg:based_in ?n . ?n rdfs:label ?l }")
+    assert "l_suppkey" in got and "n_name" in got and "l_partkey" not in got and "c_nationkey" not in got and "p_name" not in got
+    assert "l_partkey" in plan("SELECT ?x WHERE { ?o kg:involves ?x }")
+    assert execute(own, "SELECT ?x WHERE { ?x kg:within ?y . ?x kg:brand ?z }").count() == 0
