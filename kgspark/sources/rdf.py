@@ -35,7 +35,8 @@ class Names:
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with a position, from a JSON object with these arrays (.json or .json.bz2), read by many tasks; data stays JSON text."""
-    return json_array.elements(spark, path, "nodes", NODE_SCHEMA), json_array.elements(spark, path, "edges", EDGE_SCHEMA)
+    nodes, edges = json_array.arrays(spark, path, {"nodes": NODE_SCHEMA, "edges": EDGE_SCHEMA})
+    return nodes, edges
 
 
 def read_lines(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:

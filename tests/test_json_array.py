@@ -71,3 +71,18 @@ def test_written_arrays_are_read(spark, tmp_path):
     json_array.write(rows.limit(0), "edges", str(tmp_path))
     assert sorted(map(tuple, json_array.elements(spark, str(tmp_path), "nodes", "id long, t string").drop("pos").collect())) == sorted(map(tuple, rows.collect()))
     assert json_array.elements(spark, str(tmp_path), "edges", "id long, t string").count() == 0
+
+
+def test_arrays_are_cut_once(spark, split, tmp_path, monkeypatch):
+    """src01_json_nodes, src02_json_edges: two arrays are read of one cut, without a shuffle of whole elements, and blanks are none."""
+    cuts, cutter = [], json_array.cutter
+    monkeypatch.setattr(json_array, "cutter", lambda entry: cuts.append(1) or cutter(entry))
+    text = '{"edges": [\n\t], "nodes": [' + ",\n".join(json.dumps({"k": i, "t": "}" * (i % 9)}) for i in range(40)) + '\n], "x": {"nodes": [1]}, "edges": [ {"k": 7}\r\n], "nodes": [{"k": 40}, {"k": 41}]}'
+    (tmp_path / "o.json").write_text(text)
+    for size in (1 << 20, 50, 23):
+        split(size)
+        nodes, edges = json_array.arrays(spark, str(tmp_path / "o.json"), {"nodes": SCHEMA, "edges": SCHEMA})
+        assert sorted((r.pos, r.k) for r in nodes.collect()) == [(i, i) for i in range(42)], size
+        assert [(r.pos, r.k) for r in edges.collect()] == [(0, 7)]
+        assert "Window" not in nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert len(cuts) == 3
