@@ -12,10 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import escape, unescape
-from . import json_array
+from . import json_array, scratch
 
 NODE_SCHEMA = "kind string, identifier string, name string, data string"
 EDGE_SCHEMA = "source_id array<string>, target_id array<string>, kind string, direction string, data string"
@@ -73,50 +74,105 @@ def literal(json: Column) -> Column:
     return F.when(is_text, F.concat(F.lit('"'), escape(text), F.lit('"'))).when(json.isin("true", "false") | F.regexp_like(json, F.lit("^-?[0-9]+$")), json).otherwise(F.concat(F.lit('"'), json, F.lit('"^^xsd:double')))
 
 
-def annotations(edges: DataFrame) -> DataFrame:
-    """(pos, n, key, value): an edge's data as literals, lists as several; direction first."""
-    own = edges.select("pos", "direction", F.coalesce("data", F.lit("{}")).alias("data")).withColumn("keys", F.json_object_keys("data"))
-    pairs = own.select("pos", "data", F.posexplode("keys").alias("k", "key")).withColumn("value", F.expr("variant_get(parse_json(data), concat('$[\"', key, '\"]'), 'variant')"))
-    is_list = F.startswith(F.schema_of_variant("value"), F.lit("ARRAY"))
-    items = F.when(is_list, F.expr("try_cast(value as array<variant>)")).otherwise(F.array("value"))
-    lists = pairs.select("pos", "k", "key", F.posexplode(items).alias("i", "item"))
-    first = own.select("pos", F.lit(-1).alias("n"), F.lit("direction").alias("key"), F.concat(F.lit('"'), escape(F.col("direction")), F.lit('"')).alias("value"))
-    return first.unionByName(lists.select("pos", (F.col("k") * 1_000_000 + F.col("i")).alias("n"), "key", literal(F.to_json("item")).alias("value")))
+def annotations(direction: Column, data: Column, vocabulary: str) -> Column:
+    """The clauses of an edge: its direction, then its data as literals in the order of their keys, lists as several."""
+    data = F.coalesce(data, F.lit("{}"))
+    keys = F.json_object_keys(data)
+    clause = lambda key, value: F.concat(F.lit(f"{vocabulary}:"), key, F.lit(" "), value)
 
+    def items(value: Column) -> Column:
+        is_list = F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))
+        return F.when(is_list, value.try_cast("array<variant>")).otherwise(F.array(value))
 
-def node_lines(nodes: DataFrame, names: Names) -> DataFrame:
-    """(pos, line) of node declarations: type, label and the attributes written for the kind."""
+    once = lambda value, use: F.flatten(F.transform(F.array(value), use))  # noqa: E731  (what is used twice is made once)
+
+    def of_key(v: Column, key: Column) -> Column:
+        texts = once(F.variant_get(v, F.concat(F.lit('$["'), key, F.lit('"]')), "variant"), lambda value: F.transform(items(value), lambda item: F.to_json(item)))
+        return F.transform(texts, lambda json: clause(key, literal(json)))
+
+    own = F.when(F.size(keys) > 0, F.flatten(F.transform(F.array(F.parse_json(data)), lambda v: F.flatten(F.transform(keys, lambda key: of_key(v, key))))))
+    return F.concat(F.array(clause(F.lit("direction"), F.concat(F.lit('"'), escape(direction), F.lit('"')))), F.coalesce(own, F.array().cast("array<string>")))
+
+
+def node_line(names: Names) -> Column:
+    """A node's declaration: type, label and the attributes written for the kind."""
     clauses = [F.concat(F.lit(f"a {names.vocabulary}:"), class_name(F.col("kind"))), F.concat(F.lit('rdfs:label "'), escape(F.col("name")), F.lit('"'))]
     for kind, keys in names.attributes.items():
         for key in keys:
             value = F.get_json_object("data", f"$.{key}")
             clauses.append(F.when((F.col("kind") == kind) & (value != ""), F.concat(F.lit(f"{names.vocabulary}:{key} "), literal(F.expr(f"to_json(variant_get(parse_json(data), '$.{key}', 'variant'))")))))
-    return nodes.select("pos", F.concat(term(names, F.col("kind"), F.col("identifier")), F.lit(" "), F.concat_ws(" ;\n    ", *clauses), F.lit(" .")).alias("line"))
+    return F.concat(term(names, F.col("kind"), F.col("identifier")), F.lit(" "), F.concat_ws(" ;\n    ", *clauses), F.lit(" ."))
 
 
-def edge_lines(edges: DataFrame, names: Names) -> DataFrame:
-    """(pos, line): the triple and its annotations."""
+def edge_line(names: Names) -> Column:
+    """An edge's triple and its annotations."""
     s, o = (term(names, F.col(c)[0], F.col(c)[1]) for c in ("source_id", "target_id"))
-    base = edges.select("pos", F.concat_ws(" ", s, F.concat(F.lit(f"{names.vocabulary}:"), "kind"), o).alias("t"))
-    notes = annotations(edges).groupBy("pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit(f"{names.vocabulary}:"), "key", F.lit(" "), "value").alias("c")))), lambda x: x["c"]), " ;\n    ").alias("n"))
-    return base.join(notes, "pos").select("pos", F.concat("t", F.lit(" .\n<< "), "t", F.lit(" >> "), "n", F.lit(" .")).alias("line"))
+    t = F.concat_ws(" ", s, F.concat(F.lit(f"{names.vocabulary}:"), "kind"), o)
+    return F.concat(t, F.lit(" .\n<< "), t, F.lit(" >> "), F.array_join(annotations(F.col("direction"), F.col("data"), names.vocabulary), " ;\n    "), F.lit(" ."))
+
+
+def node_lines(nodes: DataFrame, names: Names) -> DataFrame:
+    """(pos, line) of node declarations."""
+    return nodes.select("pos", node_line(names).alias("line"))
+
+
+def edge_lines(edges: DataFrame, names: Names) -> DataFrame:
+    """(pos, line) of edges."""
+    return edges.select("pos", edge_line(names).alias("line"))
 
 
 def write_turtle(nodes: DataFrame, edges: DataFrame, names: Names, path: str) -> None:
-    """Text files: prefixes, nodes, edges, in order of their positions."""
+    """Text files: prefixes, nodes, edges, in order of their positions; lines are made of what is in order."""
     spark = nodes.sparkSession
     head = spark.createDataFrame([(0, i, f"@prefix {p}: <{iri}> .") for i, (p, iri) in enumerate(names.prefixes.items())], "part int, pos long, line string")
-    body = [df.select(F.lit(i).alias("part"), F.col("pos").cast("long").alias("pos"), "line") for i, df in ((1, node_lines(nodes, names)), (2, edge_lines(edges, names)))]
-    head.unionByName(body[0]).unionByName(body[1]).orderBy("part", "pos").select("line").write.mode("overwrite").text(path)
+    rows = head
+    for i, df, columns in ((1, nodes, ("kind", "identifier", "name", "data")), (2, edges, ("kind", "source_id", "target_id", "direction", "data"))):
+        rows = rows.unionByName(df.select(F.lit(i).alias("part"), F.col("pos").cast("long").alias("pos"), *columns), allowMissingColumns=True)
+    line = F.when(F.col("part") == 0, F.col("line")).when(F.col("part") == 1, node_line(names)).otherwise(edge_line(names))
+    rows.orderBy("part", "pos").select(line.alias("line")).write.mode("overwrite").text(path)
+
+
+ENTITY = "file string, begin long, ends boolean, value string, after string"
+
+
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines that follow each other within a split, and a row for each split with its last line and its first."""
+    key, first, last = None, None, pa.array([], pa.string())
+
+    def made(own: tuple[str, int], ends: bool, value: pa.Array, after: pa.Array) -> pa.RecordBatch:
+        n = len(value)
+        return pa.RecordBatch.from_arrays([pa.array([own[0]] * n, pa.string()), pa.array([own[1]] * n, pa.int64()), pa.array([ends] * n, pa.bool_()), value, after], [c.split()[0] for c in ENTITY.split(", ")])
+
+    for own, texts in json_array.by_split(batches):
+        texts = texts.cast(pa.string())
+        if own != key:
+            if key is not None:
+                yield made(key, True, last, first)
+            key, first, last = own, texts.slice(0, 1), texts.slice(0, 0)
+        lines = pa.concat_arrays([last, texts])
+        value, after = lines.slice(0, len(lines) - 1), lines.slice(1)
+        both = pc.and_(value.is_valid(), after.is_valid())
+        yield made(own, False, value.filter(both), after.filter(both))
+        last = lines.slice(len(lines) - 1)
+    if key is not None:
+        yield made(key, True, last, first)
 
 
 def read_entities(spark: SparkSession, path: str, vocabulary: str = "kg") -> DataFrame:
-    """(term, kind, label) of node declarations: a line with the class, then one with the label, ended by ; or a dot."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    after = F.lead("value").over(Window.partitionBy("file").orderBy("at"))
+    """(term, kind, label) of node declarations: a line with the class, then one with the label, ended by ; or a dot.
+
+    Lines meet within their split; only its last and its first go to its neighbours.
+    """
     node = rf"^(\S+)\s+a\s+{vocabulary}:(\w+)\s*;"
     label = r'^\s*rdfs:label\s+"(.*)"\s*[;.]\s*$'
-    pairs = lines.select("value", after.alias("after")).where(F.regexp_like("value", F.lit(node)) & F.regexp_like("after", F.lit(label)))
+    some = F.regexp_like("value", F.lit(node)) | F.regexp_like("value", F.lit(label))
+    lines = spark.read.text(path).select(F.when(some, F.col("value")).alias("value"), F.hex(F.xxhash64("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("begin"))
+    folder = scratch.new_folder(spark, "lines")
+    lines.mapInArrow(neighbours, ENTITY).where(F.col("ends") | F.regexp_like("value", F.lit(node)) & F.regexp_like("after", F.lit(label))).write.parquet(folder)
+    found = spark.read.schema(ENTITY).parquet(folder)
+    over = found.where("ends").select("value", F.lead("after").over(Window.partitionBy("file").orderBy("begin")).alias("after"))
+    over = over.where(F.regexp_like("value", F.lit(node)) & F.regexp_like("after", F.lit(label)))
+    pairs = found.where("not ends").select("value", "after").unionByName(over)
     return pairs.select(F.regexp_extract("value", node, 1).alias("term"), F.regexp_extract("value", node, 2).alias("kind"), unescape(F.regexp_extract("after", label, 1)).alias("label"))
 
 
@@ -189,7 +245,9 @@ def read_turtle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
             rows = [r for value in batch.column("value").to_pylist() for r in statement(re.sub(r"\.\s*\Z", "", value), prefixes)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names)
 
-    rows = text.where(~F.regexp_like("value", F.lit(head))).mapInArrow(run, STATEMENT)
-    triples = rows.where("error is null and key is null").select("s", "p", "o", "o_kind", "o_type").distinct()
+    own = text.where(~F.regexp_like("value", F.lit(head)))
+    rows = own.mapInArrow(run, STATEMENT)
+    plain = own.where(~F.regexp_like("value", F.lit(r"^\s*<<"))).mapInArrow(run, STATEMENT)  # (a quoted triple gives none)
+    triples = plain.where("error is null and key is null").select("s", "p", "o", "o_kind", "o_type").distinct()
     notes = rows.where("key is not null").select("s", "p", "o", "key", "value", "value_type").distinct()
     return triples, notes, rows.where("error is not null").select("error")

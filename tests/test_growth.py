@@ -108,3 +108,37 @@ def test_parts_that_cannot_meet_are_not_read(spark, sf):
     assert "l_suppkey" in got and "n_name" in got and "l_partkey" not in got and "c_nationkey" not in got and "p_name" not in got
     assert "l_partkey" in plan("SELECT ?x WHERE { ?o kg:involves ?x }")
     assert execute(own, "SELECT ?x WHERE { ?x kg:within ?y . ?x kg:brand ?z }").count() == 0
+
+
+def test_annotations_are_told_apart_as_numbers(spark, sf):
+    """src16_bulk_load, src16_stored_query: a line is sent once, not its IRIs for each of three annotations."""
+    notes = g.from_tables(spark, sf).annotations()
+    plan = notes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(l_orderkey" in plan
+    assert notes.count() == notes.distinct().count() and notes.where("key is null").count() == 0
+
+
+def test_lines_of_turtle_meet_within_their_splits(spark, tmp_path):
+    """src05_turtle_entities: declarations are found at every split, and no shuffle takes the lines of a file."""
+    from kgspark.sources import rdf
+
+    text = "".join(f'n:{i} a kg:K ;\n    rdfs:label "x{i}" ;\n    kg:a 1 .\nn:{i} kg:to n:0 .\n' for i in range(60)) + 'n:60 a kg:K ;\n\n    rdfs:label "apart" .\n'
+    (tmp_path / "g.ttl").write_text(text)
+    sizes = {"maxPartitionBytes": "37", "openCostInBytes": "1"}
+    for key, value in sizes.items():
+        spark.conf.set(f"spark.sql.files.{key}", value)
+    try:
+        found = rdf.read_entities(spark, str(tmp_path / "g.ttl"))
+    finally:
+        for key in sizes:
+            spark.conf.unset(f"spark.sql.files.{key}")
+    assert sorted(map(tuple, found.collect())) == sorted((f"n:{i}", "K", f"x{i}") for i in range(60))
+    assert "mapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_annotations_of_edges_are_made_without_a_join(spark, sf):
+    """src05_turtle_triples: an edge's lines are made of its own row, and quoted triples are not parsed for triples."""
+    from kgspark.registry import source_queries as own
+
+    lines = own.rdf.edge_lines(own.property_graph(spark, sf)[1], own.NAMES)
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
