@@ -35,6 +35,17 @@ def test_two_hops_make_edges_of_nodes_that_are_met(spark, sf, monkeypatch):
     assert sum(m.runs.where("node like '%/Order/%' or node like '%/Part/%'").count() for m in made) == 0
 
 
+def test_edges_of_other_nodes_are_not_sent(spark, sf, monkeypatch):
+    """rt05_two_hops: of all orders' edges those of the one that is met go to their far ends, and labels of others to no node."""
+    sent, named = [], adjacency.named
+    monkeypatch.setattr(adjacency, "named", lambda graph, rows, *a: sent.append(rows) or named(graph, rows, *a))
+    own = g.from_tables(spark, sf)
+    nodes = spark.createDataFrame([(g.BASE + "Order/7",)], "iri string")
+    got = adjacency.build(own, nodes=nodes, hops=1).runs.collect()
+    assert [r.node for r in got] == [g.BASE + "Order/7"]
+    assert 0 < sent[0].count() == len({tuple(x) for x in got[0]["items"]})
+
+
 def test_linking_reads_no_names_in_the_driver(spark, monkeypatch):
     """rt03_linked: names of any number are joined, in either way, with the same result."""
     monkeypatch.setattr(matching, "through", None)
