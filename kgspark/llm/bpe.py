@@ -2,9 +2,10 @@
 
 Two tiers.  A minimal perfect hash over the vocabulary's byte strings resolves
 a pre-token that is itself a token; any other pre-token is merged by a heap of
-candidate pairs over a doubly linked list of its bytes.  Vocabularies are read,
-never trained.  A bounded memo in each Python worker keeps the ids of
-pre-tokens met before.
+candidate pairs over a doubly linked list of its bytes, pairs being looked up by
+their two ids.  Vocabularies are read, never trained.  Bounded memos in each
+Python worker keep the ids of pre-tokens met before and, under patterns whose
+pre-tokens hold a blank only in front, of words with the blank before them.
 
 Null and empty texts give no ids.  Repeated rows give equal results; no row
 depends on another, so nothing is shuffled.  Texts of any length are encoded
@@ -19,6 +20,8 @@ import functools
 import hashlib
 import heapq
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .kernels import released
 
-MEMO_ENTRIES = 400_000  # pre-tokens remembered in a worker before the memo is emptied
+MEMO_ENTRIES = 400_000  # pre-tokens, and words, remembered in a worker before the memo is emptied
+SHORT = 40  # bytes of a pre-token up to which its pairs are looked through, not kept in a heap
+NONE = 1 << 32  # no pair; above all ranks
+MARKS = ".,;:!?)]}\"-"
+NATIVE = array("I").itemsize == 4 and sys.byteorder == "little"
+
+# Under these a blank and the word after it are cut alike whatever stands around them: no pre-token goes on from a word
+# to white space, and white space before them is a pre-token of its own.
+WORDS_APART = {r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""}
 
 
 class PerfectHash:
@@ -36,7 +47,7 @@ class PerfectHash:
 
     def __init__(self, keys: list[bytes]):
         n = len(keys)
-        self.size, self.n_buckets = n, max(1, n // 4)
+        self.size, self.n_buckets = n, max(1, n // 2)  # (so few keys that a bucket alone, placed last, has many free slots left to its others)
         both = [self._hash(k) for k in keys]
         buckets: list[list[int]] = [[] for _ in range(self.n_buckets)]
         for i, (h, _) in enumerate(both):
@@ -98,53 +109,118 @@ class Encoder:
         self.hash = PerfectHash(self.tokens)
         self.ranks = ranks
         self.by_id = {i: t for t, i in ranks.items()}
+        self.single = [ranks.get(bytes([b])) for b in range(256)]
+        self.pairs = {left << 32 | right: r for t, r in ranks.items() for i in range(1, len(t)) if (left := ranks.get(t[:i])) is not None and (right := ranks.get(t[i:])) is not None}
+        self.first = [self.pairs.get(-1 if a is None or b is None else a << 32 | b, NONE) for a in self.single for b in self.single]  # pairs of bytes
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] | None = {} if pattern in WORDS_APART else None
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token: the leftmost pair of least rank is merged until no pair is a token."""
-        ranks = self.ranks
-        n = len(piece)
-        part = [piece[i : i + 1] for i in range(n)]
+        pair, n = self.pairs.get, len(piece)
+        own = [self.single[b] for b in piece]
+        if n <= SHORT:
+            first = self.first
+            return self._merge_short(own, [first[a << 8 | b] for a, b in zip(piece, piece[1:])])
+        least = [pair(a << 32 | b, -1) for a, b in zip(own, own[1:])] + [-1]  # of the pair that begins here
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        heap = [r << 32 | i for i, r in enumerate(least) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i] if part[i] is not None else n
-            if j >= n or len(part[i]) + len(part[j]) != size:
+            at = heapq.heappop(heap)
+            r, i = at >> 32, at & 0xFFFFFFFF
+            if least[i] != r:
                 continue  # one of the two has grown or gone since
-            part[i] += part[j]
-            part[j] = None
+            j = after[i]
             k = after[i] = after[j]
+            own[i], own[j], least[i], least[j] = r, -1, -1, -1
             if k < n:
                 before[k] = i
-                if (r := ranks.get(part[i] + part[k])) is not None:
-                    heapq.heappush(heap, (r, i, len(part[i]) + len(part[k])))
-            if (h := before[i]) >= 0 and (r := ranks.get(part[h] + part[i])) is not None:
-                heapq.heappush(heap, (r, h, len(part[h]) + len(part[i])))
-        return [ranks[p] for p in part if p is not None]
+                if (found := pair(r << 32 | own[k], -1)) >= 0:
+                    least[i] = found
+                    heapq.heappush(heap, found << 32 | i)
+            if (h := before[i]) >= 0:
+                found = least[h] = pair(own[h] << 32 | r, -1)
+                if found >= 0:
+                    heapq.heappush(heap, found << 32 | h)
+        return [i for i in own if i >= 0]
+
+    def _merge_short(self, own: list[int], least: list[int]) -> list[int]:
+        """The same by looking through all pairs each time, which is faster for few; least: ranks of the pairs."""
+        pair = self.pairs.get
+        while least and (r := min(least)) != NONE:
+            i = least.index(r)
+            own[i] = r
+            del own[i + 1], least[i]
+            if i < len(least):
+                least[i] = pair(r << 32 | own[i + 1], NONE)
+            if i:
+                least[i - 1] = pair(own[i - 1] << 32 | r, NONE)
+        return own
 
     def piece(self, text: str) -> bytes:
         """Little-endian 32-bit ids of one pre-token."""
         raw = text.encode("utf-8", "surrogatepass")
         at = self.hash.find(raw)
         ids = [self.ids[at]] if at >= 0 else self.merge(raw)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", ids).tobytes() if NATIVE else struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, word: str) -> bytes:
+        """Ids of a blank and a word without white space: letters, and marks after them, need no pattern to be told apart."""
+        core = word.rstrip(MARKS)
+        if not core.isalpha():
+            return self.pieces(" " + word)
+        if len(core) == len(word):
+            return self.piece(" " + word)
+        own, tail = self.words.get(core), word[len(core) :]
+        if own is None:
+            own = self.remembered(self.words, core, self.piece(" " + core))
+        return own + (self.memo.get(tail) or self.remembered(self.memo, tail, self.piece(tail)))
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
+    @staticmethod
+    def remembered(memo: dict[str, bytes], key: str, got: bytes) -> bytes:
+        if len(memo) >= MEMO_ENTRIES:
+            memo.clear()
+        if len(key) <= 64:
+            memo[key] = got
+        return got
+
+    def pieces(self, text: str) -> bytes:
+        """Ids of all pre-tokens of a text."""
         memo, out = self.memo, []
         for found in self.pattern.findall(text):
             got = memo.get(found)
             if got is None:
-                got = self.piece(found)
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
-                if len(found) <= 64:
-                    memo[found] = got
+                got = self.remembered(memo, found, self.piece(found))
             out.append(got)
         return b"".join(out)
 
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        words = self.words
+        if words is None:
+            return self.pieces(text)
+        parts = text.split(" ")
+        out = list(map(words.get, parts))  # (a word stands for itself and the blank before it)
+        out[0] = None
+        n, i = len(parts), 0
+        while i < n:
+            if out[i] is not None:
+                i += 1
+                continue
+            part, start = parts[i], i
+            i += 1
+            if start and part.split() == [part]:
+                got = out[start] = words.get(part)  # (it may have been met since)
+                if got is None:
+                    out[start] = self.remembered(words, part, self.word(part))
+                continue
+            while i < n and out[i] is None and parts[i].split() != [parts[i]]:  # several blanks, and words with other white space
+                i += 1
+            out[start] = self.pieces(" " * (start > 0) + " ".join(parts[start:i]))
+            out[start + 1 : i] = [b""] * (i - start - 1)
+        return b"".join(out)
+
     def decode(self, ids: np.ndarray | list[int]) -> bytes:
         return b"".join(map(self.by_id.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
