@@ -153,3 +153,16 @@ def test_annotations_of_edges_are_made_without_a_join(spark, sf):
 
     lines = own.rdf.edge_lines(own.property_graph(spark, sf)[1], own.NAMES)
     assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_a_question_are_not_sent_again(spark, sf):
+    """rt08_written_queries: a question's rows are cut and made one text in the same task."""
+    from kgspark.operators import written
+    from kgspark.registry import question_queries as own
+
+    answers = own.written_answers(spark, sf).where("question_id rlike '^(Part|Customer|Region)/'")
+    got, plans = written.answered(g.from_tables(spark, sf), answers)
+    lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [i for i, line in enumerate(lines) if "[collect_list(" in line]
+    assert plans == 2 and at and not any("Exchange" in lines[i + 1] for i in at)
+    assert got.count() == answers.count() and got.where("miss").count() == 5
