@@ -87,3 +87,29 @@ def test_numbers_are_positions(spark):
     own = draws.numbered(spark.createDataFrame([(f"{i * 7919 % 1000:04d}",) for i in range(1000)], "k string").repartition(7), "k")
     assert sorted((r.k, r.number) for r in own.collect()) == [(f"{i:04d}", i) for i in range(1000)]
     assert draws.numbered(own.drop("number").limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("start, tries", [("e", 12), ("n/", 12), ("n/", 1)])
+def test_first_candidates_are_those_of_common(spark, monkeypatch, start, tries):
+    """sm10_sample_boolean: slots without sets give each anchor the partner that slots with sets give, with names as numbers or as they are."""
+    monkeypatch.setattr(draws, "TRIES", tries)
+    node = lambda name: start + (name[1:].lstrip("0") or "0" if name[1:].isdigit() else "9" * len(name))
+    edges = [(node(a), "x/" + node(x)) for a, x in graph(80, 12)]
+    for draws_ in (2,):
+        left, right = (draws.written(df, "t") for df in frames(spark, edges, edges))
+        assert (draws.Names([left.select("anchor"), left.select("x")]).starts is None) == (start == "e")
+        want = {(r.anchor, r.partner) for r in draws.common(left, right, "t", 1, draws_, seed="s").collect()}
+        got = draws.one(left, right, "t", draws_, "s").collect()
+        assert want and {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_slots_of_one_draw_hold_no_sets(spark, sf, monkeypatch):
+    """sm10_sample_boolean: what a partner points at does not travel with each of its edges, and edges are made once."""
+    from kgspark import registry
+
+    kept, own = [], draws.written
+    monkeypatch.setattr(draws, "written", lambda df, name: kept.append((name, dict(df.dtypes))) or own(df, name))
+    registry.load()
+    assert registry.QUERIES["sm10_sample_boolean"](spark, sf).count() == 5
+    assert not any("struct" in kind for kind in next(kinds for name, kinds in kept if name == "slots").values())
+    assert [name for name, _ in kept].count("left") == 1
