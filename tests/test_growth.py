@@ -166,3 +166,14 @@ def test_lines_of_a_question_are_not_sent_again(spark, sf):
     at = [i for i, line in enumerate(lines) if "[collect_list(" in line]
     assert plans == 2 and at and not any("Exchange" in lines[i + 1] for i in at)
     assert got.count() == answers.count() and got.where("miss").count() == 5
+
+
+def test_edges_of_the_only_node_are_not_sent_to_its_question(spark, sf):
+    """rt06_capped, rt07_context: questions of one node are cut where it is; those of two are what they were."""
+    own = g.from_tables(spark, sf)
+    rows = [("a", "Nation/1"), ("b", "Nation/1"), ("b", "Nation/2"), ("c", "Region/1"), ("c", "Region/1")]
+    parts = adjacency.kept(own, spark.createDataFrame([(q, g.BASE + n) for q, n in rows], "question_id string, iri string"))
+    alone, rest = parts
+    assert alone[1] == ("node", "question_id") and "hashpartitioning(question_id" not in alone[0]._jdf.queryExecution().executedPlan().toString()
+    ids = lambda df: {r[0] for r in df.select("question_id").collect()}
+    assert ids(alone[0]) == {"a", "c"} and ids(rest[0]) == {"b"}
