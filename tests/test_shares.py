@@ -24,3 +24,11 @@ def test_no_edges(spark):
     edges = graph()
     left, right = frames(spark, edges, edges)
     assert shares.pairs(left.limit(0), right).count() == shares.pairs(left, right.limit(0)).count() == 0
+
+
+def test_a_list_holds_partners_of_a_wide_range(spark):
+    """sm03_paired, sm04_bridge_exists: an anchor's edge is sent once for each 200,000 partners at least, not for each 65,536."""
+    assert shares.RANGE >= 200_000
+    right = spark.range(70_000).selectExpr("concat('p', id) AS partner", "'x' AS x")
+    got = shares.pairs(spark.createDataFrame([("a", "x")], "anchor string, x string"), right)
+    assert got.count() == got.select("partner").distinct().count() == 70_000
